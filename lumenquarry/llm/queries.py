@@ -6,7 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import quality_rules, secrets, sharding
 from .common import table
 from .decontamination import contamination
 from .near_duplicates import near_duplicates
@@ -44,3 +46,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = quality_rules.judged(docs.drop("lang"), quality_rules.references(docs))
+    return found.select("doc_id", "quality.*").drop("text")
+
+
+QUERIES["op3_quality_rules"] = op3_quality_rules
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents", "doc_id", "text"), secrets.train(secrets.sample(spark)))
+    base, spans = found["secrets"]["base"], found["secrets"]["spans"]
+    counts = [F.size(F.filter(base, lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES["op1_secret_scans"] = op1_secret_scans
+QUERIES["op2_sharding"] = op2_sharding

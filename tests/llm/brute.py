@@ -72,3 +72,33 @@ def pieces(docs, tokenizer, size=2048):
 
 def crc_of(ids):
     return zlib.crc32(b"".join(int(x).to_bytes(4, "little") for x in ids))
+
+
+ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def secrets(text):
+    """The base spans (start, kind, end)."""
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def listed(spans):
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"""
+    text = text or ""
+    w = re.findall(SPACE, text)
+    lines = [x for x in text.split("\n") if re.search(SPACE, x)]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    count = {}
+    for g in grams:
+        count[g] = count.get(g, 0) + 1
+    repeat = {j for i, g in enumerate(grams) if count[g] > 1 for j in range(i, i + 3)}
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(repeat), len(w) < 50 or 100 * len(repeat) > 50 * len(w)

@@ -34,8 +34,9 @@ VALUES, BITS = 64, 4
 CHUNKS, CHUNK, ERRORS = 14, 4, 1
 #: At 75 % a pair differs in 15 of 64 4-bit values on average (3.4); above this in one of a million.
 FAR = 32
-#: Rounds of comparison with a leader before members of different components are paired.
-STAR_ROUNDS = 2
+#: Rounds of comparison with a leader go on until pairs of members of different components are at most so many for
+#: each member, or for so many rounds. Whatever is left is paired.
+PAIRS_EACH, STAR_ROUNDS = 2, 8
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
@@ -158,35 +159,40 @@ def _links(docs: DataFrame, classes: DataFrame, work: Workspace, width: int, per
     members = members.withColumn("size", F.count("*").over(by_key)).where("size > 1").select("key", "cls")
     members = work.keep(members, "members")
     light = classes.select("cls", "n", "sketch", "first")
-    found, component = None, None
-    for step in range(STAR_ROUNDS + 1):
+    found, component, step = None, None, 0
+    while True:
         if component is None:
             open_ = members.withColumn("component", F.col("cls"))
         else:
             open_ = members.join(component, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
             open_ = open_.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo <> hi").drop("lo", "hi")
         open_ = work.keep(open_, f"open-{step}")
-        if step < STAR_ROUNDS:
-            # Another leader in each round: the least by a hash that depends on the round.
-            leader = F.min(F.struct(F.xxhash64("cls", F.lit(step)).alias("h"), "cls", "component"))
-            pairs = open_.withColumn("lead", leader.over(by_key)).where("component <> lead.component")
+        sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        left = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()
+        last = step == STAR_ROUNDS or (step > 0 and left["pairs"] <= PAIRS_EACH * left["n"])
+        if not last:
+            # The centre of a group shares more keys with the others than they do with each other: it leads
+            # in even rounds, and in odd ones a member chosen by a hash.
+            shared = open_.withColumn("size", F.count("*").over(by_key)).groupBy("cls").agg(F.sum("size").alias("shared"))
+            order = F.struct(F.col("shared") if step % 2 == 0 else F.xxhash64("cls", F.lit(step)), "cls", "component")
+            pairs = open_.join(shared, "cls").withColumn("lead", F.max(order).over(by_key)).where("component <> lead.component")
             pairs = pairs.select(F.least("cls", "lead.cls").alias("u"), F.greatest("cls", "lead.cls").alias("v")).distinct()
             a, b = light.alias("a"), light.alias("b")
             pairs = pairs.join(a, F.col("u") == F.col("a.cls")).join(b, F.col("v") == F.col("b.cls"))
             pairs = pairs.where(_near("a", "b", percent)).select("u", "v")
         else:
-            side = open_.join(light.drop("first"), "cls")
-            side = work.keep(side, "sides")
+            side = work.keep(open_.join(light.drop("first"), "cls"), "sides")
             a, b = side.alias("a"), side.alias("b")
             pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component")) & _near("a", "b", percent))
             pairs = pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
         pairs = work.keep(pairs, f"pairs-{step}")
         new = work.keep(_confirm(docs, classes, pairs, work, step, width, percent), f"links-{step}")
         found = new if found is None else found.unionByName(new)
-        if step < STAR_ROUNDS:
-            component = work.keep(connected_components(found, work, f"star-{step}").withColumnRenamed("node", "cls"), f"component-{step}")
-        work.drop(f"texts-{step}", f"pairs-{step}")
-    return found
+        work.drop(f"texts-{step}", f"pairs-{step}", f"open-{step}", f"wanted-{step}")
+        if last:
+            return found
+        component = work.keep(connected_components(found, work, f"star-{step}").withColumnRenamed("node", "cls"), f"component-{step}")
+        step += 1
 
 
 def _near(a: str, b: str, percent: int) -> Column:

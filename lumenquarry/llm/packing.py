@@ -10,9 +10,11 @@ buckets of bounded size, and find their window by their number.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -40,6 +42,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.t, self.cache = Tokenizer.from_file(path), {}
@@ -74,9 +77,15 @@ class Encoder:
         return out
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks that a Python worker runs, so that its cache stays."""
+    return Encoder(path)
+
+
 def _tokenised(path: str, size: int, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, last = Encoder(path), np.array([END], "<u4").tobytes()
+        encoder, last = encoder_of(path), np.array([END], "<u4").tobytes()
         for batch in batches:
             ids, rows = batch["doc_id"].tolist(), []
             for i in range(0, len(batch), 256):

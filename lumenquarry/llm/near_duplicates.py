@@ -212,3 +212,19 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Worksp
     texts = work.keep(texts.select("cls", "text").groupBy("cls").agg(F.first("text").alias("text")), f"texts-{step}")
     rows = pairs.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("cls").alias("v"), F.col("text").alias("text_v")), "v")
     return rows.mapInPandas(_confirmed(width, percent), "u binary, v binary")
+
+
+def first_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, of which each is the one that stays of its group.
+
+    It has the group's smallest doc_id and, where rows share this id, the smallest hash of its text; of rows that share both,
+    one stays. Documents without words are groups of their own, but for repeated rows.
+    """
+    work = Workspace(docs.sparkSession, "first-documents")
+    stay = near_duplicates(docs, width, percent).where("first_of_group").select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key")).distinct()
+    stay = work.keep(stay, "stay").alias("s")
+    inner = docs.toDF(*[c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)])
+    keyed = inner.withColumn("text_key", F.xxhash64(text_or_empty("text"))).alias("d")
+    found = keyed.join(stay, F.col("d.text_key").eqNullSafe(F.col("s.stay_key")) & F.col("d.doc_id").eqNullSafe(F.col("s.stay_id")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("text_key", "doc_id").orderBy("text_key"))
+    return found.withColumn("row", one).where("row = 1").select(*inner.columns).toDF(*docs.columns)

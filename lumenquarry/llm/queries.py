@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secrets, sharding
+from . import chat, html_text, quality_classifier, quality_rules, secrets, sharding, warc
 from .common import table
 from .decontamination import contamination
 from .near_duplicates import near_duplicates
@@ -71,3 +71,43 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_secret_scans"] = op1_secret_scans
 QUERIES["op2_sharding"] = op2_sharding
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = F.lit(f"{chat.END}{chat.START}assistant ok").alias("text")
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat.summary(chat.rendered(chat.folded(chat.events_of_turns(turns.unionByName(extra)))))
+
+
+QUERIES["op4_html_extraction"] = op4_html_extraction
+QUERIES["op5_warc"] = op5_warc
+QUERIES["op10_chat_formatting"] = op10_chat_formatting
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_classifier.fitted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    found = quality_classifier.scored(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES["op8_quality_classifier"] = op8_quality_classifier
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

@@ -24,7 +24,7 @@ def size_of(text: str) -> Column:
 
 def virtual_slot(slots: int = SLOTS) -> Column:
     """A record's slot. The text takes part, so that records that share an id, or have none, are spread."""
-    return F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(F.encode(text_or_empty("text"), "UTF-8"))), F.lit(slots)).cast("int")
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(text_or_empty("text").cast("binary"))), F.lit(slots)).cast("int")
 
 
 def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -92,7 +92,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str
     weights = slot_bytes(rows, slots)
     write_map(spark, path, version, rebalanced(read_map(spark, path, edit[0]), weights, shards) if edit else first_map(weights, shards))
     shard_of = F.lit(read_map(spark, path, version)).cast("array<int>")
-    crc = F.crc32(F.encode(text_or_empty("text"), "UTF-8"))
+    crc = F.crc32(text_or_empty("text").cast("binary"))
     light = rows.select("doc_id", size_of("text").alias("size"), crc.alias("text_crc32"), virtual_slot(slots).alias("virtual_slot"))
     light = light.withColumn("shard", F.element_at(shard_of, F.col("virtual_slot") + 1))
     # Places: counted by virtual slot, summed over the slots of a shard, and numbered within a virtual slot alone.

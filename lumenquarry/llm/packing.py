@@ -28,12 +28,18 @@ from .common import Workspace
 SIZE, END = 2048, 1
 #: Pieces of one length that one task numbers at a time, about.
 BUCKET = 50_000
-CACHED_CHUNKS, LONG_CHUNK = 500_000, 64
+CACHED_CHUNKS, LONG_CHUNK = 1_200_000, 64
 #: Texts with one of these are neither lower-cased nor split by Python's rules beforehand.
 _ODD = re.compile("[\x1c-\x1f̀-\U0010ffff]|<\\|")
+#: Such among ASCII characters.
+_ODD_ASCII = "\x1c", "\x1d", "\x1e", "\x1f", "<|"
 _BLANK = re.compile("[ \t\n\r]+")
 
 
+def _plain(text: str) -> bool:
+    return not any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD.search(text) is None
+
+
 class Encoder:
     """Token ids as little-endian uint32 bytes, with a cache of what stands between blanks.
 
@@ -50,7 +56,7 @@ class Encoder:
         self.mark = self.t.token_to_id(self.mark_text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower().split() if _ODD.search(t) is None else [x for x in _BLANK.split(t) if x]) for t in texts]
+        split = [(t.lower().split() if _plain(t) else [x for x in _BLANK.split(t) if x]) for t in texts]
         new = [x for x in set(chain.from_iterable(split)) if x not in self.cache]
         if len(self.cache) + len(new) > CACHED_CHUNKS:
             self.cache.clear()

@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "compone
     """
     now = edges.where("u is not null and v is not null and u <> v")
     now = work.keep(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    i = 0
+    i, before = 0, None
     while True:
         # Large star: every larger neighbour of u is linked with the least neighbour of u.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,9 +38,9 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "compone
         small = _with_minimum(large.distinct())
         after = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         after = work.keep(after.where("u <> v").distinct(), f"{name}-{i + 1}")
-        changed = after.exceptAll(now).limit(1).count() + now.exceptAll(after).limit(1).count()
+        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
         work.drop(f"{name}-{i}")
-        now, i = after, i + 1
+        now, i, changed, before = after, i + 1, mark != before, mark
         if not changed:
             roots = now.select(F.col("v").alias("node")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

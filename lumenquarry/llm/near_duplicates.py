@@ -8,10 +8,11 @@ All ways to leave ERRORS values of a chunk out are enumerated as keys, so an equ
 such pair. At a similarity of 0.75 a pair differs in 14 of 56 values on average (standard deviation 3.2);
 27 are guaranteed, and the join misses a pair only if all 14 chunks have two errors or more: 7e-9.
 
-Large buckets are never turned into all their pairs: every member is first compared with one leader of its
-bucket, confirmed links are contracted to components, and only members of different components of a bucket are
-paired, within the join's own condition on set sizes and signature distance. All links count: nothing is
-capped. Links are confirmed on full sets, made again from whole texts.
+Pairs are never listed where a family of similar texts is large. First the relation "share a key, and neither sizes
+nor signatures rule a link out" is turned into coarse groups: every member of a bucket is compared with one leader,
+near ones are contracted, and only members of different groups that still share a bucket are paired. Then each
+coarse group is cut by set size into blocks of bounded weight, and pairs of blocks are compared on full sets, made again
+from whole texts; they give the links that a spanning forest needs. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ VALUES, BITS = 64, 4
 CHUNKS, CHUNK, ERRORS = 14, 4, 1
 #: At 75 % a pair differs in 15 of 64 4-bit values on average (3.4); above this in one of a million.
 FAR = 32
-#: Rounds of comparison with a leader go on until pairs of members of different components are at most so many for
+#: Rounds of comparison with a leader go on until pairs of members of different groups are at most so many for
 #: each member, or for so many rounds. Whatever is left is paired.
-PAIRS_EACH, STAR_ROUNDS = 2, 8
+PAIRS_EACH, STAR_ROUNDS = 2, 3
+#: Shingles in one block, and how many a small document counts as (which bounds the documents in a block).
+BLOCK, LEAST_WEIGHT = 200_000, 400
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
@@ -98,18 +101,56 @@ def _signed(width: int):
     return run
 
 
-def _confirmed(width: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            ok, last, a = np.zeros(len(batch), bool), None, None
-            for i, (u, text_u, text_v) in enumerate(zip(batch["u"], batch["text_u"], batch["text_v"], strict=True)):
-                if a is None or u != last:
-                    last, a = u, shingle_hashes(text_u, width, hashes)
-                b = shingle_hashes(text_v, width, hashes)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield batch.loc[ok, ["u", "v"]]
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b. Shingles that only one side has take no part."""
+    known = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    rows = []
+    for side in (a, b):
+        flat, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+        ok = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+        order = np.argsort(at[ok], kind="stable")
+        rows.append((at[ok][order], owner[ok][order]))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(known), 2048):
+        parts = []
+        for (at, owner), side in zip(rows, (a, b), strict=True):
+            lo, hi = np.searchsorted(at, (start, start + 2048))
+            m = np.zeros((len(side), min(2048, len(known) - start)), np.float32)
+            m[owner[lo:hi], at[lo:hi] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _linked(width: int, percent: int):
+    """Links between the members of a pair of blocks (or within one), as many as a spanning forest has."""
+    hashes = WordHashes()
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, left = table.column("cls").to_pylist(), np.array(table.column("block").to_pylist()) == table.column("i")[0].as_py()
+        sets = [shingle_hashes(t, width, hashes) for t in table.column("text").to_pylist()]
+        same = table.column("i")[0] == table.column("j")[0]
+        x, y = np.flatnonzero(left), np.arange(len(ids)) if same else np.flatnonzero(~left)
+        u, v = [], []
+        if len(x) and len(y):
+            both = _shared([sets[i] for i in x], [sets[i] for i in y])
+            n = np.array([len(s) for s in sets], np.float64)
+            ok = 100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)
+            root = list(range(len(ids)))
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                p, q = int(x[i]), int(y[j])
+                for _ in range(2):
+                    k = p
+                    while root[k] != k:
+                        root[k] = k = root[root[k]]
+                    p, q = q, k
+                # p and q are the roots now, in the order in which they were asked for.
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    u.append(ids[int(x[i])])
+                    v.append(ids[int(y[j])])
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     return run
 
@@ -154,11 +195,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def _links(docs: DataFrame, classes: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) between classes, enough for all components."""
+    groups = _coarse_groups(classes, work, percent)
+    # Blocks of each group in the order of set sizes: sets of too different sizes are never compared.
+    by_size = Window.partitionBy("component").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0)
+    members = groups.join(classes.select("cls", "n", "first.doc_id", "first.text_key"), "cls")
+    members = members.withColumn("block", F.floor((F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).over(by_size) - 1) / BLOCK).cast("int"))
+    members = work.keep(members, "blocks")
+    ranges = members.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a, b = ranges.alias("a"), ranges.alias("b")
+    meet = (F.col("a.component") == F.col("b.component")) & (F.col("a.block") <= F.col("b.block")) & (F.lit(100) * F.col("a.hi") >= F.lit(percent) * F.col("b.lo"))
+    meetings = a.join(b, meet).select(F.col("a.component").alias("component"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
+    meetings = work.keep(meetings, "meetings")
+    sides = meetings.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    texts = _texts(docs, members, work)
+    rows = texts.join(sides, ["component", "block"])
+    links = rows.groupBy("component", "i", "j").applyInArrow(_linked(width, percent), "u binary, v binary")
+    return work.keep(links, "links")
+
+
+def _coarse_groups(classes: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """(cls, component) for all classes that share a key with a near one: two near ones that share a key have one component."""
     members = classes.select("cls", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     members = members.withColumn("size", F.count("*").over(by_key)).where("size > 1").select("key", "cls")
     members = work.keep(members, "members")
-    light = classes.select("cls", "n", "sketch", "first")
+    light = classes.select("cls", "n", "sketch")
     found, component, step = None, None, 0
     while True:
         if component is None:
@@ -166,52 +227,46 @@ def _links(docs: DataFrame, classes: DataFrame, work: Workspace, width: int, per
         else:
             open_ = members.join(component, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
             open_ = open_.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo <> hi").drop("lo", "hi")
-        open_ = work.keep(open_, f"open-{step}")
+        open_ = work.keep(open_.join(light, "cls"), f"open-{step}")
         sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         left = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()
         last = step == STAR_ROUNDS or (step > 0 and left["pairs"] <= PAIRS_EACH * left["n"])
         if not last:
-            # The centre of a group shares more keys with the others than they do with each other: it leads
+            # The centre of a family shares more keys with the others than they do with each other: it leads
             # in even rounds, and in odd ones a member chosen by a hash.
-            shared = open_.withColumn("size", F.count("*").over(by_key)).groupBy("cls").agg(F.sum("size").alias("shared"))
-            order = F.struct(F.col("shared") if step % 2 == 0 else F.xxhash64("cls", F.lit(step)), "cls", "component")
-            pairs = open_.join(shared, "cls").withColumn("lead", F.max(order).over(by_key)).where("component <> lead.component")
-            pairs = pairs.select(F.least("cls", "lead.cls").alias("u"), F.greatest("cls", "lead.cls").alias("v")).distinct()
-            a, b = light.alias("a"), light.alias("b")
-            pairs = pairs.join(a, F.col("u") == F.col("a.cls")).join(b, F.col("v") == F.col("b.cls"))
-            pairs = pairs.where(_near("a", "b", percent)).select("u", "v")
+            rows = open_
+            if step % 2 == 0:
+                shared = open_.withColumn("size", F.count("*").over(by_key)).groupBy("cls").agg(F.sum("size").alias("shared"))
+                rows = open_.join(shared, "cls")
+            order = F.struct(F.col("shared") if step % 2 == 0 else F.xxhash64("cls", F.lit(step)), "cls", "component", "n", "sketch")
+            pairs = rows.withColumn("lead", F.max(order).over(by_key)).where(F.col("component") != F.col("lead.component"))
+            pairs = pairs.where(_near(F.col("n"), F.col("sketch"), F.col("lead.n"), F.col("lead.sketch"), percent)).select(F.col("cls").alias("u"), F.col("lead.cls").alias("v"))
         else:
-            side = work.keep(open_.join(light.drop("first"), "cls"), "sides")
-            a, b = side.alias("a"), side.alias("b")
-            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component")) & _near("a", "b", percent))
-            pairs = pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
-        pairs = work.keep(pairs, f"pairs-{step}")
-        new = work.keep(_confirm(docs, classes, pairs, work, step, width, percent), f"links-{step}")
+            a, b = open_.alias("a"), open_.alias("b")
+            near = _near(F.col("a.n"), F.col("a.sketch"), F.col("b.n"), F.col("b.sketch"), percent)
+            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component")) & near)
+            pairs = pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
+        new = work.keep(pairs.distinct(), f"near-{step}")
         found = new if found is None else found.unionByName(new)
-        work.drop(f"texts-{step}", f"pairs-{step}", f"open-{step}", f"wanted-{step}")
-        if last:
-            return found
         component = work.keep(connected_components(found, work, f"star-{step}").withColumnRenamed("node", "cls"), f"component-{step}")
+        work.drop(f"open-{step}")
+        if last:
+            return component
         step += 1
 
 
-def _near(a: str, b: str, percent: int) -> Column:
+def _near(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
     """Set sizes and signatures that don't rule a link out."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (distance(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= FAR)
+    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (distance(sketch, other) <= FAR)
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Workspace, step: int, width: int, percent: int) -> DataFrame:
-    """Of pairs of classes, those whose full sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = work.keep(wanted.join(classes.select("cls", "first.doc_id", "first.text_key"), "cls"), f"wanted-{step}")
-    few = broadcast_if_small(wanted, wanted.count())
+def _texts(docs: DataFrame, members: DataFrame, work: Workspace) -> DataFrame:
+    """The members with a whole text of each class."""
+    few = broadcast_if_small(members, members.count())
     source = docs.select("doc_id", "text", F.xxhash64(text_or_empty("text")).alias("text_key")).alias("d")
     texts = source.join(few.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key")))
     # Repeated rows give one text more than once; any of them will do.
-    texts = work.keep(texts.select("cls", "text").groupBy("cls").agg(F.first("text").alias("text")), f"texts-{step}")
-    rows = pairs.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("cls").alias("v"), F.col("text").alias("text_v")), "v")
-    return rows.mapInPandas(_confirmed(width, percent), "u binary, v binary")
+    return work.keep(texts.select("component", "block", "cls", "text").groupBy("component", "block", "cls").agg(F.first("text").alias("text")), "texts")
 
 
 def first_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

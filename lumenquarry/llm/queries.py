@@ -50,7 +50,7 @@ ORACLES: dict[str, str] = {}
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    found = quality_rules.judged(docs.drop("lang"), quality_rules.references(docs))
+    found = quality_rules.judged(docs, quality_rules.references(docs))
     return found.select("doc_id", "quality.*").drop("text")
 
 

@@ -150,7 +150,7 @@ def _linked(width: int, percent: int):
                     root[max(p, q)] = min(p, q)
                     u.append(ids[int(x[i])])
                     v.append(ids[int(y[j])])
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -173,17 +173,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     work = Workspace(docs.sparkSession, "near-duplicates")
     rows = work.keep(signatures(docs, width), "rows")
-    # One row for each class; copies are aggregated on the map side first.
-    classes = rows.where("cls is not null").groupBy("cls").agg(
+    # One row for each class; copies are aggregated on the map side first. From here on a number stands for the
+    # class: written once with the table, it is fixed.
+    classes = rows.where("cls is not null").groupBy(F.col("cls").alias("digest")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"),
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
     )
-    classes = work.keep(classes, "classes")
+    classes = work.keep(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     links = _links(docs, classes, work, width, percent)
     labels = connected_components(links, work, "labels")
-    named = classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = classes.select("digest", "cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    named = work.keep(named.select("cls", "component").join(least, "component").select("cls", "least"), "named")
+    named = work.keep(named.select("digest", "component").join(least, "component").select(F.col("digest").alias("cls"), "least"), "named")
     out = rows.select("doc_id", "text_key", "n_shingles", "cls").join(named, "cls", "left")
     own = F.col("cls").isNull()
     component = F.when(own, F.col("doc_id")).otherwise(F.col("least.doc_id"))
@@ -209,7 +210,7 @@ def _links(docs: DataFrame, classes: DataFrame, work: Workspace, width: int, per
     sides = meetings.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
     texts = _texts(docs, members, work)
     rows = texts.join(sides, ["component", "block"])
-    links = rows.groupBy("component", "i", "j").applyInArrow(_linked(width, percent), "u binary, v binary")
+    links = rows.groupBy("component", "i", "j").applyInArrow(_linked(width, percent), "u bigint, v bigint")
     return work.keep(links, "links")
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 WINDOW, SHINGLE = 10, 3
 #: Windows in one block: so few that a word's number has 21 bits.
 BLOCK = 100_000
@@ -189,12 +191,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """The columns of docs (doc_id, text and any others) and n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or wordless text has no words and no hits; a null or wordless item has no window; items
-    with one item_id count once; a null item_id counts as the empty string. Repeated rows get equal results.
+    with one item_id count once; a null item_id counts as the empty string. Repeated rows get equal results. Where docs
+    has a column of such a name, the added one ends in underscores.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    clash = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"} & {c.lower() for c in columns}
-    if clash:
-        raise ValueError(f"documents have columns that this operator adds: {sorted(clash)}")
+    spark, own = docs.sparkSession, docs
+    # By position, so that no column's name can clash.
+    docs = own.toDF(*[c if c == "text" else f"column {i}" for i, c in enumerate(own.columns)])
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     windows = items.mapInPandas(_windows(window), "item string, window string").groupBy("window").agg(F.collect_set("item").alias("items"))
     blocks = max(1, -(-windows.count() * 5 // (4 * block)))  # a fifth less than `block` each on average
@@ -206,7 +208,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             out = out.mapInArrow(_searched(shared, False), T.StructType(kind.fields + [T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]))
         else:
             out = out.mapInArrow(_searched(shared, True), T.StructType(kind.fields + [T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())]))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    out = out.withColumn("contaminated", F.col("n_hit") > 0)
+    return out.toDF(*own.columns, *[unused(own, c) for c in out.columns[len(own.columns) :]])
 
 
 def _prepared(spark: SparkSession, docs: DataFrame, rows: list, window: int, shingle: int):

@@ -30,6 +30,10 @@ def test_odd_rows_in_one_and_many_blocks(spark, block):
     kept = without_contaminated(more, b)
     assert kept.columns == more.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, x in want.items() if not x[4]}
+    found = contamination(more, b, block=block)
+    assert found.columns == [*more.columns, "n_words_", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert {r.doc_id: (r.n_words_, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()} == want
+    assert {r.n_words for r in found.collect()} == {"c"}
 
 
 def test_empty_tables(spark):

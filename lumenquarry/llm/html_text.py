@@ -3,8 +3,8 @@
 A page is a sequence of blocks, each with the path of block elements from the root to it. For each path the text length and
 the punctuation of its blocks are summed and divided by their number; both ratios are smoothed over the paths in
 page order, fused by multiplication, and paths over the threshold (a share of the standard deviation) are content. The
-article is the smallest element around the content paths with the most text; all its blocks are kept, but
-for those in menus, forms, notices, adverts or reader comments.
+article is the smallest element around all content blocks and the headline, or the article or main element around that; all its
+blocks are kept, but for those in menus, forms, notices, adverts or reader comments.
 """
 
 from __future__ import annotations
@@ -23,26 +23,41 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("head title button select option iframe object canvas audio video".split())
 BESIDE = frozenset("nav header footer aside form menu dialog".split())
 BESIDE_NAME = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|sidebar|header|footer|masthead|comments?|replies|respond|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|widget|login|search)(?:$|[-_\s])", re.I)
+#: Elements that mark an article, and those that can be one.
+ARTICLE = frozenset("article main".split())
+AROUND = frozenset("html body main article section div".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*?)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """(path, text, beside) of each block with text, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label with its class, whether it's beside the article
+class Element:
+    """A block element: path is a number for the tags and classes from the root to it; ids are no part of it."""
+
+    __slots__ = ("parent", "tag", "path", "depth", "beside", "inside")
+
+    def __init__(self, parent: Element | None, tag: str, path: int, beside: bool):
+        self.parent, self.tag, self.path, self.beside, self.inside = parent, tag, path, beside, False
+        self.depth = parent.depth + 1 if parent else 0
+
+
+def _parsed(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """All block elements in page order, the root first, and (element, text) of each block with text."""
+    root = Element(None, "", 0, False)
+    elements, stack, paths = [root], [root], {}
     out, parts, hidden = [], [], 0
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append((tuple(x[1] for x in stack), text, any(x[2] for x in stack)))
+            out.append((stack[-1], text))
 
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
@@ -61,22 +76,52 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             continue
         flush()
         if m["end"]:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
+            if any(x.tag == tag for x in stack):
+                while stack.pop().tag != tag:
                     pass
             continue
         hidden = 0  # an unclosed one ends here
         # A paragraph ends where any block begins; items and cells end where the next begins.
-        if stack and stack[-1][0] == "p":
+        if stack[-1].tag == "p":
             stack.pop()
         if tag in _CLOSES:
-            while stack and stack[-1][0] in _CLOSES[tag]:
+            while stack[-1].tag in _CLOSES[tag]:
                 stack.pop()
         if tag not in VOID:
             names = " ".join(x for y in _NAME.findall(m["rest"]) for x in y if x)
-            stack.append((tag, f"{tag}.{names}" if names else tag, tag in BESIDE or tag == "head" or bool(names and BESIDE_NAME.search(names))))
+            classes = " ".join(x for y in _CLASS.findall(m["rest"]) for x in y if x)
+            top = stack[-1]
+            path = paths.setdefault((top.path, tag, classes), len(paths) + 1)
+            beside = top.beside or tag in BESIDE or tag == "head" or bool(names and BESIDE_NAME.search(names))
+            stack.append(Element(top, tag, path, beside))
+            elements.append(stack[-1])
     flush()
-    return out
+    return elements, out
+
+
+def blocks(page: str) -> list[tuple[int, str, bool]]:
+    """(path, text, beside) of each block with text, in page order."""
+    return [(e.path, text, e.beside) for e, text in _parsed(page)[1]]
+
+
+def _common(a: Element, b: Element) -> Element:
+    """The lowest element around both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
+def _outermost(e: Element) -> Element | None:
+    """The outermost article or main element around e, if there is one."""
+    found = None
+    while e:
+        if e.tag in ARTICLE:
+            found = e
+        e = e.parent
+    return found
 
 
 def _smooth(values: list[float], radius: int = 1) -> list[float]:
@@ -88,13 +133,34 @@ def _smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
+def _top(found: list[tuple[Element, str]], content: set[int]) -> Element:
+    """The lowest element around all content blocks and the headline."""
+    held: dict[Element, int] = {}
+    for e, text in found:
+        if e.path in content:
+            held[e] = held.get(e, 0) + len(text)
+    # Where articles hold most of the content, content outside them isn't the article's.
+    marked = [e for e in held if _outermost(e)]
+    chosen = marked if 2 * sum(held[e] for e in marked) > sum(held.values()) else list(held)
+    headlines = {e for e, _ in found if e.tag == "h1"}
+    if len(headlines) == 1:
+        chosen += headlines
+    top = chosen[0]
+    for e in chosen[1:]:
+        top = _common(top, e)
+    while top.parent and top.tag not in AROUND:  # a list or a table isn't the whole article
+        top = top.parent
+    return _outermost(top) or top
+
+
 def main_text(page: str | None, share: float = 0.5) -> str:
-    found = [b for b in blocks(page or "") if not b[2]]
+    elements, found = _parsed(page or "")
+    found = [b for b in found if not b[0].beside]
     if not found:
         return ""
-    paths: dict[tuple[str, ...], list[float]] = {}
-    for path, text, _ in found:
-        x = paths.setdefault(path, [0, 0, 0])
+    paths: dict[int, list[float]] = {}
+    for e, text in found:
+        x = paths.setdefault(e.path, [0, 0, 0])
         x[0] += len(text)
         x[1] += len(_PUNCTUATION.findall(text))
         x[2] += 1
@@ -105,17 +171,11 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     mean = sum(fused) / len(fused)
     threshold = share * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     content = [p for p, x in zip(order, fused, strict=True) if x >= threshold] or order
-    # Around the content with the most text: the parent of its blocks. A deeper path with less text doesn't move it.
-    weight: dict[tuple[str, ...], float] = {}
-    for p in content:
-        weight[p[:-1]] = weight.get(p[:-1], 0) + paths[p][0]
-    top = max(weight, key=lambda p: (weight[p], -len(p)))
-    for p in sorted(weight, key=len):  # an enclosing element that itself holds content of that order
-        if len(p) < len(top) and top[: len(p)] == p and len(p) > 2 and weight[p] >= 0.3 * weight[top]:
-            top = p
-            break
-    inside = [text for path, text, _ in found if path[: len(top)] == top]
-    return "\n".join(inside)
+    # A path without any mark passes by its neighbours alone: it doesn't widen the article.
+    top = _top(found, set([p for p in content if paths[p][1]] or content))
+    for e in elements:
+        e.inside = e is top or (e.parent is not None and e.parent.inside)
+    return "\n".join(text for e, text in found if e.inside)
 
 
 def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,3 +31,27 @@ def test_odd_pages(spark):
     assert [out[i] for i in (0, 1, 2, 3, 4, 5, 6)] == ["", "", "", "plain text, only.", "", "", ""]
     assert out[8] == "one two" and out[9] == "deep, text." and out[10] == "\n".join(["x."] * 20_000) and out[11] == "é é é &bogus; &am" and out[12] == "" and out[None] == "a"
     assert extracted(d.limit(0)).count() == 0
+
+
+def _prose(n, seed=0):
+    return " ".join(f"Sentence {seed} {i} goes on, and on." for i in range(n))
+
+
+def test_the_whole_article_whatever_its_sections():
+    a, b, c = _prose(20, 1), _prose(6, 2), _prose(3, 3)
+    ided = f"<body><nav>x</nav><article><h1>Head</h1><section id=a><p>{a}</p></section><section id=b><p>{b}</p></section><section id=c class=k><p>{c}</p></section></article></body>"
+    assert main_text(ided) == f"Head\n{a}\n{b}\n{c}"
+    assert main_text(ided.replace("article>", "div>").replace("section", "div")) == f"Head\n{a}\n{b}\n{c}"
+    one = f"<body><article><h1>Head</h1><section id=a><p>{a}</p><p>{b}</p></section></article></body>"
+    assert main_text(one) == f"Head\n{a}\n{b}"
+    lead = f"<body><div class=story><h1>Head</h1><p>A short lead, as usual.</p><div class=body><p>{a}</p><p>{a}</p></div></div></body>"
+    assert main_text(lead) == f"Head\nA short lead, as usual.\n{a}\n{a}"
+    items = [_prose(5, i) for i in range(8)]
+    assert main_text("<body><div><p>An intro, first.</p><ul>" + "".join(f"<li>{x}" for x in items) + "</ul></div></body>") == "\n".join(["An intro, first.", *items])
+    rows = "".join(f"<tr><td>{x}</td></tr>" for x in items)
+    assert main_text(f"<body><div><p>An intro, first.</p><table><tbody>{rows}</tbody></table></div></body>") == "\n".join(["An intro, first.", *items])
+
+
+def test_text_outside_the_article_stays_outside():
+    a = _prose(20)
+    assert main_text(f"<body><div class=links><ul><li>Home<li>News</ul></div><article><p>{a}</p></article><div><p>Imprint, terms.</p></div></body>") == a

@@ -9,6 +9,7 @@ blocks are kept, but for those in menus, forms, notices, adverts or reader comme
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -21,35 +22,64 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title button select option iframe object canvas audio video".split())
-BESIDE = frozenset("nav header footer aside form menu dialog".split())
-BESIDE_NAME = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|sidebar|header|footer|masthead|comments?|replies|respond|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|widget|login|search)(?:$|[-_\s])", re.I)
+BESIDE = frozenset("nav header footer aside menu dialog".split())
+#: Parts of names that tell what isn't the article, and parts that may stand beside them in a name.
+BESIDE_PART = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|sidebar|complementary|contentinfo|footer|masthead|comments?|replies|respond|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|widget|login|search", re.I)
+NEUTRAL_PART = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|bar|box|list|links?|buttons?|icons?|area|section|block|wrap(?:per)?|container|inner|outer|form|signup|thread|user|reader|posts?|articles?|stories|items?|[0-9]+", re.I)
+SITE_HEADER = re.compile(r"(?:(?:site|main|global|top)[-_]+)?header", re.I)
 #: Elements that mark an article, and those that can be one.
 ARTICLE = frozenset("article main".split())
-AROUND = frozenset("html body main article section div".split())
+AROUND = frozenset("html body main article section div form".split())
+#: Elements that no name makes other than the article, and those that show where the article is.
+NEVER = frozenset("html body main article".split())
+HEADS = frozenset("h1 article main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*?)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
+def _names(rest: str) -> tuple[list[str], str]:
+    """The names in a tag's class, id and role, and its class."""
+    names, classes = [], ""
+    if "=" in rest:
+        for name, *values in _ATTRIBUTE.findall(rest):
+            if (name := name.lower()) in ("class", "id", "role"):
+                value = values[0] or values[1] or values[2]
+                names += value.split()
+                classes = value if name == "class" else classes
+    return names, classes
+
+
+@functools.lru_cache(10_000)
+def _suggests(name: str) -> bool:
+    """Whether a whole name, each part of it, suggests what isn't the article."""
+    parts = [x for x in re.split("[-_]+", name) if x]
+    known = [bool(BESIDE_PART.fullmatch(x)) for x in parts]
+    return bool(SITE_HEADER.fullmatch(name)) or (any(known) and all(k or NEUTRAL_PART.fullmatch(x) for k, x in zip(known, parts, strict=True)))
+
+
 class Element:
-    """A block element: path is a number for the tags and classes from the root to it; ids are no part of it."""
+    """A block element: path is a number for the tags and classes from the root to it; ids are no part of it.
+
+    beside: it is, or lies in, what isn't the article by its element. named: its name, or that it is a form, suggests so.
+    """
 
-    __slots__ = ("parent", "tag", "path", "depth", "beside", "inside")
+    __slots__ = ("parent", "tag", "path", "depth", "beside", "named", "inside", "size", "heads")
 
-    def __init__(self, parent: Element | None, tag: str, path: int, beside: bool):
-        self.parent, self.tag, self.path, self.beside, self.inside = parent, tag, path, beside, False
+    def __init__(self, parent: Element | None, tag: str, path: int, beside: bool, named: bool):
+        self.parent, self.tag, self.path, self.beside, self.named, self.inside = parent, tag, path, beside, named, False
+        self.size = self.heads = 0
         self.depth = parent.depth + 1 if parent else 0
 
 
 def _parsed(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """All block elements in page order, the root first, and (element, text) of each block with text."""
-    root = Element(None, "", 0, False)
+    root = Element(None, "", 0, False, False)
     elements, stack, paths = [root], [root], {}
     out, parts, hidden = [], [], 0
 
@@ -88,17 +118,34 @@ def _parsed(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             while stack[-1].tag in _CLOSES[tag]:
                 stack.pop()
         if tag not in VOID:
-            names = " ".join(x for y in _NAME.findall(m["rest"]) for x in y if x)
-            classes = " ".join(x for y in _CLASS.findall(m["rest"]) for x in y if x)
+            names, classes = _names(m["rest"])
             top = stack[-1]
             path = paths.setdefault((top.path, tag, classes), len(paths) + 1)
-            beside = top.beside or tag in BESIDE or tag == "head" or bool(names and BESIDE_NAME.search(names))
-            stack.append(Element(top, tag, path, beside))
+            # The header of an article holds its headline.
+            beside = top.beside or tag == "head" or (tag in BESIDE and not (tag == "header" and _outermost(top)))
+            stack.append(Element(top, tag, path, beside, tag == "form" or (tag not in NEVER and any(map(_suggests, names)))))
             elements.append(stack[-1])
     flush()
+    _judge(elements, out)
     return elements, out
 
 
+def _judge(elements: list[Element], found: list[tuple[Element, str]]) -> None:
+    """Settles beside for named elements: one that wraps the article, with most of the page's text, isn't beside it."""
+    for e, text in found:
+        if not e.beside:
+            e.size += len(text)
+    for e in elements:
+        e.heads += not e.beside and e.tag in HEADS
+    for e in reversed(elements[1:]):
+        e.parent.size += e.size
+        e.parent.heads += e.heads
+    root = elements[0]
+    for e in elements[1:]:
+        wraps = 2 * e.size > root.size and (e.heads > 0 or root.heads == 0)
+        e.beside = e.beside or e.parent.beside or (e.named and not wraps)
+
+
 def blocks(page: str) -> list[tuple[int, str, bool]]:
     """(path, text, beside) of each block with text, in page order."""
     return [(e.path, text, e.beside) for e, text in _parsed(page)[1]]

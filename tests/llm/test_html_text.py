@@ -55,3 +55,17 @@ def test_the_whole_article_whatever_its_sections():
 def test_text_outside_the_article_stays_outside():
     a = _prose(20)
     assert main_text(f"<body><div class=links><ul><li>Home<li>News</ul></div><article><p>{a}</p></article><div><p>Imprint, terms.</p></div></body>") == a
+
+
+def test_names_that_only_hold_a_word_do_not_drop_the_article():
+    a = _prose(20)
+    page = f"<html><body class='has-sidebar'><nav>x</nav><article class='post comments-open'><header class=entry-header><h1>Head</h1></header><p>{a}</p></article><div class='sidebar'><p>Beside, it.</p></div></body></html>"
+    want = f"Head\n{a}"
+    assert main_text(page) == want
+    assert main_text(page.replace("has-sidebar", "single no-sidebar")) == want and main_text(page.replace("has-sidebar", "sidebar").replace("post comments-open", "widget")) == want
+    assert main_text(f"<body><form id=f>{page}</form></body>") == want and main_text(page.replace("<article", "<form><article").replace("</article>", "</article></form>")) == want
+    built = f"<body><div class='elementor-widget elementor-widget-theme-post-content'><p>{a}</p></div><div class='widget'><p>Ask us, now.</p></div></body>"
+    assert main_text(built) == a and main_text(built.replace("elementor-widget ", "widget ")) == a
+    assert main_text(f"<body><div data-id='menu' data-role=search title='class=ad'><p>{a}</p></div><p>More, of it.</p></body>") == f"{a}\nMore, of it."
+    comments = f"<body><div><h1>Head</h1><p>{_prose(3)}</p></div><div class=comments><p>{_prose(40)}</p></div></body>"
+    assert main_text(comments) == f"Head\n{_prose(3)}"

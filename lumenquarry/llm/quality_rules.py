@@ -1,9 +1,10 @@
 """Quality rules: base counts and divergence from language references. Only DataFrame functions.
 
 Two histograms describe a document: classes of its characters, and common words of several languages (and all
-others) among its words. References are the mean histograms of each language's documents, computed over the whole corpus. A
-document fails where even its nearest reference is far in Jensen-Shannon distance and it is long enough for
-this to mean something.
+others) among its words. References are the mean histograms of each language's sound documents, computed over the whole corpus;
+those of the built-in languages are smoothed towards fixed ones, so that few documents or none are enough. A document
+fails where the built-in references and that of its own language are all far in Jensen-Shannon distance and it is
+long enough for this to mean something.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, unused
+from .common import Workspace, text_or_empty, unused
 
 # Frequent function words, as they are written inside a sentence.
 COMMON_WORDS = {
@@ -23,6 +24,16 @@ COMMON_WORDS = {
     "es": "el la los de y que en un una por con se".split(),
 }
 WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
+#: Rounded occurrences of the words above in 1000 words of ordinary prose, and shares of CLASSES in it.
+OCCURRENCES = {
+    "en": [61, 31, 28, 26, 21, 11, 11, 10, 9, 9, 7, 7],
+    "fr": [25, 28, 20, 48, 19, 25, 13, 12, 12, 15, 9, 9],
+    "de": [32, 34, 11, 28, 9, 18, 13, 11, 11, 9, 8, 7],
+    "es": [30, 38, 17, 60, 26, 31, 27, 11, 8, 9, 9, 13],
+}
+PROSE = [0.92, 0.03, 0.01, 0.035, 0.0, 0.005]
+#: A document of a greater share of a class has no part in references.
+MOST = {"upper": 0.5, "digit": 0.3, "pause": 0.2, "symbol": 0.05}
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = ["lower", "upper", "digit", "pause", "symbol", "other"]
@@ -36,9 +47,19 @@ class Limits:
     min_words: int = 150
     far_chars: float = 0.26
     far_words: float = 0.26
-    #: Only languages with so many documents get a reference, and at most so many of them.
+    #: Other than built-in languages get a reference with so many documents; a fixed reference weighs as much as so many.
     least_documents: int = 10
-    languages: int = 32
+
+
+@dataclass(frozen=True)
+class References:
+    """Histograms (characters, words) of the built-in languages, and a table (lang, c, w) of other languages to judge.
+
+    c and w are null where a language has documents enough, but few sound ones: the built-in references alone judge it.
+    """
+
+    built_in: dict[str, tuple[list[float], list[float]]]
+    others: DataFrame | None = None
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -70,26 +91,48 @@ def _histograms(df: DataFrame) -> DataFrame:
     return df.withColumn("char_hist", chars).withColumn("word_hist", words)
 
 
-def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[list[float], list[float]]]:
-    """language -> mean character and word histograms over all its documents that pass the length guards.
+def _fixed(language: str) -> tuple[list[float], list[float]]:
+    counts = dict(zip(COMMON_WORDS[language], OCCURRENCES[language], strict=True))
+    words = [counts.get(w, 0) / 1000 for w in WORDS]
+    return PROSE, [*words, 1 - sum(words)]
 
-    One row for each language comes to the driver, for the ``limits.languages`` largest. Null is a language like others.
+
+def references(docs: DataFrame, limits: Limits = Limits()) -> References:
+    """Mean histograms of each language's sound documents that pass the length guards.
+
+    A row for each built-in language comes to the driver; those of others, without a limit to their number, stay a table.
+    Null is a language like others, and the same as an empty one.
     """
-    df = _histograms(_counts(docs.select("text", "lang")))
+    df = _histograms(_counts(docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))))
     long = (F.col("n_words") >= limits.min_words) & (F.col("word_chars") >= limits.min_chars)
-    mean = lambda x: F.avg(F.when(long, x))
+    sound = long
+    for name, most in MOST.items():
+        sound &= F.col("char_hist")[CLASSES.index(name)] <= most
+    mean = lambda x: F.avg(F.when(sound, x))
     means = [mean(F.col("char_hist")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [mean(F.col("word_hist")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    rows = df.groupBy("lang").agg(F.count_if(long).alias("n"), *means).where(F.col("n") >= limits.least_documents).orderBy(F.desc("n"), "lang").limit(limits.languages).collect()
-    return {r["lang"] or "": ([r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(len(WORDS) + 1)]) for r in rows}
-
-
-def _js(shares: str, reference: list[float]) -> Column:
+    c, w = F.array(*[f"c{i}" for i in range(len(CLASSES))]), F.array(*[f"w{i}" for i in range(len(WORDS) + 1)])
+    rows = df.groupBy("lang").agg(F.count_if(long).alias("n_long"), F.count_if(sound).alias("n"), *means).select("lang", "n_long", "n", c.alias("c"), w.alias("w"))
+    rows = Workspace(docs.sparkSession, "references").keep(rows, "languages")
+    known = F.col("lang").isin(list(COMMON_WORDS))
+    found = {r["lang"]: r for r in rows.where(known & (F.col("n") > 0)).collect()}
+    built_in, k = {}, limits.least_documents
+    for language in COMMON_WORDS:
+        n, own = (found[language]["n"], found[language]) if language in found else (0, None)
+        built_in[language] = tuple([(n * x + k * y) / (n + k) for x, y in zip(own[h], fixed, strict=True)] if own else fixed for h, fixed in zip("cw", _fixed(language), strict=True))
+    others = rows.where(~known & (F.col("n_long") >= k))
+    enough = F.col("n") >= k
+    others = others.select("lang", F.when(enough, F.col("c")).alias("c"), F.when(enough, F.col("w")).alias("w"))
+    return References(built_in, others if others.head(1) else None)
+
+
+def _js(shares: str, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of an array of shares from a reference."""
 
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(F.lit(2.0) * x / (x + y))).otherwise(F.lit(0.0))
 
-    parts = F.zip_with(shares, F.array(*[F.lit(float(x)) for x in reference]), lambda x, y: part(x, y) + part(y, x))
+    reference = reference if isinstance(reference, Column) else F.array(*[F.lit(float(x)) for x in reference])
+    parts = F.zip_with(shares, reference, lambda x, y: part(x, y) + part(y, x))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.lit(2.0)))
 
 
@@ -111,25 +154,37 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(F.when(F.size("starts") > 0, total), F.lit(0)).cast("bigint"))
 
 
-def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], limits: Limits = Limits()) -> DataFrame:
+def judged(docs: DataFrame, refs: References | dict, limits: Limits = Limits()) -> DataFrame:
     """All columns of docs, and one struct ``quality`` with the counts, both distances, base_failed and kept.
 
-    Where docs has a column lang, documents of a language without a reference are judged by the base rule alone; null is a
-    language of its own. A null text has no words: it fails the base rule, as any text of under 50 words. Without references (an empty
-    corpus, or one of few documents) only the base rule decides. Repeated rows are judged alike.
+    The nearest of the built-in references and, where docs has a column lang, that of a document's own language counts. Documents
+    of other languages with too few long documents for a reference are judged by the base rule alone; null is a
+    language of its own. A null text has no words: it fails the base rule, as any text of under 50 words. With {} for references
+    only the base rule decides. Repeated rows are judged alike.
     """
     inner = docs.toDF(*[c if c == "text" else f"column {i}" for i, c in enumerate(docs.columns)])
-    df = _repeat_words(_histograms(_counts(inner)))
+    df = inner
+    refs = refs if isinstance(refs, References) else References(dict(refs))
+    lang = F.coalesce(F.col(inner.columns[docs.columns.index("lang")]).cast("string"), F.lit("")) if "lang" in docs.columns else None
+    joined = lang is not None and refs.others is not None
+    if joined:
+        df = df.join(refs.others.select(F.col("lang").alias("own lang"), F.col("c").alias("own c"), F.col("w").alias("own w")), lang == F.col("own lang"), "left")
+    df = _repeat_words(_histograms(_counts(df)))
     lines = F.filter(F.split(text_or_empty("text"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"))
-    nothing = F.lit(0.0)
-    char_js = F.least(*[_js("char_hist", c) for c, _ in refs.values()], F.lit(1.0)) if refs else nothing
-    word_js = F.least(*[_js("word_hist", w) for _, w in refs.values()], F.lit(1.0)) if refs else nothing
+
+    def nearest(shares: str, i: int) -> Column:
+        if not refs.built_in:
+            return F.lit(0.0)
+        own = [F.when(F.col(f"own {'cw'[i]}").isNotNull(), _js(shares, F.col(f"own {'cw'[i]}")))] if joined else []
+        return F.least(*[_js(shares, x[i]) for x in refs.built_in.values()], *own, F.lit(1.0))  # least() skips nulls
+
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    df = df.withColumn("char_js", char_js).withColumn("word_js", word_js).withColumn("base_failed", failed)
+    df = df.withColumn("char_js", nearest("char_hist", 0)).withColumn("word_js", nearest("word_hist", 1)).withColumn("base_failed", failed)
     strange = ((F.col("word_chars") >= limits.min_chars) & (F.col("char_js") > limits.far_chars)) | ((F.col("n_words") >= limits.min_words) & (F.col("word_js") > limits.far_words))
-    if "lang" in docs.columns:
-        strange &= F.coalesce(F.col(inner.columns[docs.columns.index("lang")]), F.lit("")).isin(list(refs))
+    if lang is not None:
+        known = lang.isin(list(refs.built_in))
+        strange &= (known | F.col("own lang").isNotNull()) if joined else known
     verdict = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_js", "word_js", "base_failed", (~F.col("base_failed") & ~strange).alias("kept"))
     return df.select(*[F.col(c).alias(d) for c, d in zip(inner.columns, docs.columns, strict=True)], verdict.alias(unused(docs, "quality")))
 

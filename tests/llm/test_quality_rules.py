@@ -58,3 +58,32 @@ def test_junk_goes_and_clean_text_stays(spark):
     kept = {r.doc_id for r in q.kept_documents(d).collect() if r.lang == "en"}
     assert {r.doc_id for r in q.kept_documents(d).collect() if r.lang == "xx"} == {i for i, _, _ in rare}
     assert kept == set(range(60)) and not any(brute.quality(t)[5] for t in clean + junk)
+
+
+def _prose(i, words=("the", "of", "and", "in"), n=240):
+    r = random.Random(i)
+    return " ".join(words[(i + j) % 4] if j % 4 == 0 else "".join(r.choice(("tri", "mon", "sel", "ca", "ver", "lan")) for _ in range(3)) + ("." if j % 11 == 0 else "") for j in range(n))
+
+
+def _kept(spark, rows):
+    d = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    return {r.doc_id for r in q.kept_documents(d).collect()}
+
+
+def test_few_documents_are_judged_too(spark):
+    """A document of a built-in language gets the same verdict alone and among many."""
+    fillers = _prose(1, ("tri", "mon", "sel", "ver"), 300).split()
+    often = "the of and to the in that the it was and of with is a on the to for and".split()
+    clean = " ".join(often[i // 4 % len(often)] if i % 4 == 0 else w for i, w in enumerate(fillers))
+    junk = [" ".join(w.upper() + "!!" for w in _prose(1).split()), " ".join(w + "###" for w in _prose(2).split())]
+    for lang in ("en", "de"):
+        assert _kept(spark, [(clean, lang), *[(t, lang) for t in junk]]) == {0}
+        assert _kept(spark, [(junk[0], lang)]) == set()
+
+
+def test_languages_beyond_the_32nd_are_judged_and_junk_founds_no_reference(spark):
+    sound = [(_prose(i, ("uno", "dva", "tri", "shti")), f"l{k:02}") for k in range(33) for i in range(11 if k < 32 else 10)]
+    shout = [" ".join(w.upper() + "!!" for w in _prose(i).split()) for i in range(12)]
+    noise = [" ".join(w + "###" for w in _prose(i).split()) for i in range(12)]
+    rows = [*sound, (noise[0], "l32"), *[(t, "zz") for t in noise], *[(t, None) for t in shout], (shout[0], "en"), (noise[0], "fr")]
+    assert _kept(spark, rows) == set(range(len(sound)))

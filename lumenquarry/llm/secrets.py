@@ -2,7 +2,7 @@
 
 Base patterns find assignments, access keys and long hexadecimal strings. Besides, two character Markov models of first
 order, one of random strings and one of ordinary identifiers, score every other long token: the log-likelihood
-ratio of its transitions decides. The models are trained from labelled samples.
+ratio of its transitions, over the token or stretches of it, decides. The models are trained from labelled samples.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 #: Tokens that the models score.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: A token is a secret if random strings explain it better by so many bits in all, and so many for each transition.
+#: A token or stretch is a secret if random strings explain it better by so many bits in all, and so many for each transition.
 BITS, BITS_EACH = 20.0, 0.8
 _SPANS = "array<struct<s:int,k:int,e:int>>"
 _NONE = f"cast(array() as {_SPANS})"
@@ -88,18 +88,70 @@ def _where(text: str, found: str, pattern: str, kind: int, least: Column | None
     return F.when(F.size(found) > 0, F.aggregate(both, start, step)["out"]).otherwise(F.expr(_NONE))
 
 
-def _score(token: Column, model: Column, codes: Column) -> Column:
-    """The log-likelihood ratio of a token's transitions, in hundredths of bits."""
+def _segments(token: Column, model: Column, codes: Column) -> Column:
+    """Segments (s, e) of a token that random strings explain better: the whole token, or the stretches between falls of the ratio.
+
+    A transition that was among the last few different ones tells nothing new and counts as none. A stretch reaches
+    to the separators around it.
+    """
+    floor, least = int(100 * BITS_EACH), int(100 * BITS)
     numbers = F.transform(F.split(token, ""), lambda c: F.element_at(codes, F.ascii(c) + 1))
-    step = lambda acc, x: F.struct(F.when(acc["last"] < 0, F.lit(0)).otherwise(acc["sum"] + F.element_at(model, acc["last"] * len(ALPHABET) + x + 1)).alias("sum"), x.alias("last"))
-    return F.aggregate(numbers, F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("last")), step)["sum"]
+    start = F.expr(
+        "named_struct('i', 0, 'last', -1, 'seen', cast(array() as array<int>), 'sum', 0, 'cur', 0, 'raw', 0, 'from', 0, 'best', 0, 'got', 0, 'to', 0, 'out', cast(array() as array<struct<s:int,e:int>>))"
+    )
+    ended = lambda acc: F.when(acc["got"] >= least, F.concat(acc["out"], F.array(F.struct(acc["from"].alias("s"), acc["to"].alias("e"))))).otherwise(acc["out"])
+
+    def pack(acc: Column, **new: Column) -> Column:
+        names = ["i", "last", "seen", "sum", "cur", "raw", "from", "best", "got", "to", "out"]
+        return F.struct(*[new.get(n, acc[n]).alias(n) for n in names])
+
+    def step(acc: Column, x: Column) -> Column:
+        pair = acc["last"] * len(ALPHABET) + x + 1
+        old = F.array_contains(acc["seen"], pair) | (acc["last"] == x) | (acc["last"] < 0)
+        gain = F.when(old, 0).otherwise(F.element_at(model, F.greatest(pair, F.lit(1))))
+        seen = F.when(old, acc["seen"]).otherwise(F.slice(F.concat(F.array(pair), acc["seen"]), 1, 8))
+        cur, raw = acc["cur"] + F.when(acc["last"] < 0, 0).otherwise(gain - floor), acc["raw"] + gain
+        up, down = cur > acc["best"], (cur <= 0) | (cur < acc["best"] - least // 2)
+        at = acc["i"] + 1
+        on = pack(acc, i=at, last=x, seen=seen, sum=acc["sum"] + gain, cur=cur, raw=raw, best=F.when(up, cur).otherwise(acc["best"]), got=F.when(up, raw).otherwise(acc["got"]), to=F.when(up, at).otherwise(acc["to"]))
+        zero = F.lit(0)
+        off = pack(acc, **{"i": at, "last": x, "seen": seen, "sum": acc["sum"] + gain, "cur": zero, "raw": zero, "from": acc["i"], "best": zero, "got": zero, "to": zero, "out": ended(acc)})
+        return F.when(down, off).otherwise(on)
+
+    def finish(acc: Column) -> Column:
+        whole = (acc["sum"] >= least) & (acc["sum"] >= (acc["i"] - 1) * floor)
+        return F.when(whole, F.array(F.struct(F.lit(0).alias("s"), acc["i"].alias("e")))).otherwise(ended(acc))
+
+    def wide(x: Column) -> Column:
+        inner = F.substring(token, x["s"] + 1, x["e"] - x["s"])
+        before, after = F.regexp_extract(F.substring(token, F.lit(1), x["s"]), "[^/_=-]*$", 0), F.regexp_extract(F.substring(token, x["e"] + 1, F.length(token)), "^[^/_=-]*", 0)
+        # The last letters of a word before the first separator, or the first ones after the last, don't draw that word in.
+        first, last = F.regexp_extract(inner, "^[^/_=-]{0,2}[/_=-]+", 0), F.regexp_extract(inner, "[/_=-]+[^/_=-]{0,2}$", 0)
+        s = F.when((before != "") & (first != ""), x["s"] + F.length(first)).otherwise(x["s"] - F.length(before))
+        e = F.when((after != "") & (last != ""), x["e"] - F.length(last)).otherwise(x["e"] + F.length(after))
+        return F.struct(s.alias("s"), e.alias("e"))
+
+    return F.array_distinct(F.transform(F.aggregate(numbers, start, step, finish), wide))
+
+
+def _uncovered(span: Column, base: str) -> Column:
+    """The pieces of a span that no base span covers."""
+    piece = lambda s, e: F.array(F.struct(s.alias("s"), F.lit(3).alias("k"), e.alias("e")))
+    start = F.struct(span["s"].alias("at"), F.expr(_NONE).alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        out = F.when(b["s"] > acc["at"], F.concat(acc["out"], piece(acc["at"], b["s"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), out.alias("out"))
+
+    over = F.filter(base, lambda b: (b["s"] < span["e"]) & (span["s"] < b["e"]))
+    return F.aggregate(over, start, step, lambda acc: F.when(acc["at"] < span["e"], F.concat(acc["out"], piece(acc["at"], span["e"]))).otherwise(acc["out"]))
 
 
 def scanned(docs: DataFrame, model: list[int]) -> DataFrame:
     """All columns of docs, and a struct ``secrets`` with the arrays base and spans of (s, k, e), by start and kind.
 
-    s and e count code points, e is exclusive, k is an index of KINDS. A null text is empty. Markov spans are
-    added where they don't overlap a base span.
+    s and e count code points, e is exclusive, k is an index of KINDS. A null text is empty. Of Markov spans what no
+    base span covers is added.
     """
     inner = docs.toDF(*[c if c == "text" else f"column {i}" for i, c in enumerate(docs.columns)])
     df = inner.withColumn("t", text_or_empty("text"))
@@ -109,12 +161,14 @@ def scanned(docs: DataFrame, model: list[int]) -> DataFrame:
     base = F.concat(_where("t", "f0", ASSIGN, 0, values), _where("t", "f1", ACCESS, 1), _where("t", "f2", HEX, 2))
     df = df.withColumn("base", F.array_sort(base))
     lits, codes = F.lit(model).cast("array<int>"), F.lit([max(0, ALPHABET.find(chr(i))) for i in range(128)]).cast("array<int>")
-    good = lambda t: (_score(t, lits, codes) >= F.greatest(F.lit(int(100 * BITS)), (F.length(t) - 1) * int(100 * BITS_EACH))) & t.rlike("[0-9]") & t.rlike("[A-Za-z]")
     # Only where some candidate scores are places looked for.
-    df = df.withColumn("good", F.when(F.size("f3") > 0, F.filter("f3", good)))
+    df = df.withColumn("good", F.when(F.size("f3") > 0, F.filter("f3", lambda t: F.size(_segments(t, lits, codes)) > 0)))
     placed = F.when(F.size("good") > 0, _where("t", "f3", CANDIDATE, 3))
     df = df.withColumn("placed", placed)
-    rest = F.filter("placed", lambda p: F.array_contains("good", F.substring("t", p["s"] + 1, p["e"] - p["s"])) & ~F.exists("base", lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"])))
+    cut = lambda p: F.substring("t", p["s"] + 1, p["e"] - p["s"])
+    parts = lambda p: F.transform(_segments(cut(p), lits, codes), lambda x: F.struct((p["s"] + x["s"]).alias("s"), (p["s"] + x["e"]).alias("e")))
+    df = df.withColumn("markov", F.flatten(F.transform(F.filter("placed", lambda p: F.array_contains("good", cut(p))), parts)))
+    rest = F.flatten(F.transform("markov", lambda x: _uncovered(x, "base")))
     spans = F.when(F.size("good") > 0, F.array_sort(F.concat("base", rest))).otherwise(F.col("base"))
     found = F.struct("base", spans.alias("spans"))
     return df.select(*[F.col(c).alias(d) for c, d in zip(inner.columns, docs.columns, strict=True)], found.alias(unused(docs, "secrets")))

@@ -64,3 +64,14 @@ def test_training_ignores_nulls_and_other_characters(spark):
     d = spark.createDataFrame([("ab", True), (None, True), ("cd", None), ("é!", False), ("x", False)], "text string, secret boolean")
     m = secrets.train(d)
     assert len(m) == len(secrets.ALPHABET) ** 2 and max(m) > 0 and re.fullmatch("[A-Za-z0-9+/_=-]+", secrets.ALPHABET)
+
+
+def test_keys_inside_long_runs_and_without_digits(spark, model):
+    key, letters = "q7Zt0LmXw9Rk2VbNs4Hd8PqX", "qZtKLmXwJRkGVbNsYHdWfPxQ"
+    path = "customer/account/index/order/product/document/"
+    texts = [f"see {path}{key}/{path}name", letters, f"{path}{key}/{path}{key}", f"token=abcdefgh.{'x' * 3} é", "+" + "------+" * 12, "-=" * 20, f"AKIA{'A' * 12}_{key}_end"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.doc_id: [texts[r.doc_id][x.s : x.e] for x in r.secrets.spans if x.k == 3] for r in secrets.scanned(d, model).collect()}
+    assert found[0] == [key] and found[1] == [letters] and found[2] == [key, key] and found[3] == [] and found[4] == [] and found[5] == []
+    out = {r.doc_id: r.text for r in secrets.redacted(d, model).collect()}
+    assert key not in out[6] and "AKIA" not in out[6] and out[0] == f"see {path}[REDACTED]/{path}name"

@@ -1,18 +1,49 @@
-"""Connected components of an edge table, by alternating large and small stars.
+"""Connected components of an edge table: union-find within each partition, then alternating large and small stars.
 
 Each round reads and writes a table in the shared folder; the number of rounds grows with the
-logarithm of the longest path. Neighbours' minima are pre-aggregated and joined on salted keys,
-so that a node with very many edges is spread over tasks.
+logarithm of the longest path that is left between partitions. Neighbours' minima are pre-aggregated and joined on
+salted keys, so that a node with very many edges is spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 SALTS = 8
+#: Edges that union-find holds at a time in one task.
+HELD = 1_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) in, (node, least node of its tree) out: the trees that a task's edges make, HELD edges at a time."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    def out() -> pa.RecordBatch:
+        pairs = [(x, r) for x in root if (r := find(x)) != x]
+        a = np.array(pairs, np.int64).reshape(-1, 2)
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        if len(root) > HELD:
+            yield out()
+    yield out()
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
@@ -25,11 +56,12 @@ def _with_minimum(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
     """(node, component) for every node that has an edge; the component is its least node.
 
-    ``edges`` has columns u and v of one orderable type. Rows with a null end and loops are ignored.
+    ``edges`` has bigint columns u and v. Rows with a null end and loops are ignored; repeated edges count once. An empty
+    table has no components.
     """
-    now = edges.where("u is not null and v is not null and u <> v")
-    now = work.keep(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    i, before = 0, None
+    now = edges.where("u is not null and v is not null and u <> v").select("u", "v").mapInArrow(_forest, "u bigint, v bigint")
+    now = work.keep(now.distinct(), f"{name}-0")
+    i, before = 0, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
     while True:
         # Large star: every larger neighbour of u is linked with the least neighbour of u.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

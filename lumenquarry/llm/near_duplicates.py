@@ -2,17 +2,20 @@
 
 A document's set is its distinct 5-word shingles. Documents with equal sets form a class; from then on
 one row stands for a class, so copies are never paired. Each class has a signature of ``VALUES`` b-bit
-MinHash values. The first ``CHUNKS * CHUNK`` of them are cut into chunks; of two signatures that differ in
+MinHash values (b = ``BITS``). The first ``CHUNKS * CHUNK`` of them are cut into chunks; of two signatures that differ in
 at most ``CHUNKS * (ERRORS + 1) - 1`` of these values, some chunk differs in at most ERRORS (pigeonhole).
 All ways to leave ERRORS values of a chunk out are enumerated as keys, so an equi-join on keys finds every
 such pair. At a similarity of 0.75 a pair differs in 14 of 56 values on average (standard deviation 3.2);
 27 are guaranteed, and the join misses a pair only if all 14 chunks have two errors or more: 7e-9.
 
-Pairs are never listed where a family of similar texts is large. First the relation "share a key, and neither sizes
-nor signatures rule a link out" is turned into coarse groups: every member of a bucket is compared with one leader,
-near ones are contracted, and only members of different groups that still share a bucket are paired. Then each
-coarse group is cut by set size into blocks of bounded weight, and pairs of blocks are compared on full sets, made again
-from whole texts; they give the links that a spanning forest needs. Nothing is capped.
+Pairs are never listed where a family of similar texts is large. A bucket is all classes with one key. First every member
+of a bucket is joined with the bucket's least class, and those that neither sizes nor signatures rule out are contracted.
+Buckets that still hold different groups are listed as pairs if they are small and contracted as a whole if they are
+large. That gives coarse groups, which hold every pair to be confirmed; they are confirmed on full sets, made again from
+whole texts. Each coarse group is cut by set size into blocks of bounded weight, and all pairs within a block
+are compared. A group of several blocks goes on with one representative of what each block linked, in new blocks, as long as that
+links more; only what then isn't linked with the group's largest part is compared with all blocks. So a text of a
+family that holds together is shuffled a bounded number of times. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -31,19 +34,19 @@ from .graph import connected_components
 from .shingles import MinHash, WordHashes, mix64, set_digest, shingle_hashes
 
 WIDTH, PERCENT = 5, 75
-VALUES, BITS = 64, 4
+VALUES, BITS = 64, 16
 CHUNKS, CHUNK, ERRORS = 14, 4, 1
-#: At 75 % a pair differs in 15 of 64 4-bit values on average (3.4); above this in one of a million.
-FAR = 32
-#: Rounds of comparison with a leader go on until pairs of members of different groups are at most so many for
-#: each member, or for so many rounds. Whatever is left is paired.
-PAIRS_EACH, STAR_ROUNDS = 2, 3
+#: Signatures are compared by the low SKETCH bits of each value. At 75 % a pair differs in 15 of 64 of these on average (standard
+#: deviation 3.4), and above FAR in one of a million.
+SKETCH, FAR = 4, 32
+#: Buckets of at most so many members are listed as pairs; that is so many pairs for each member at most.
+SMALL = 32
 #: Shingles in one block, and how many a small document counts as (which bounds the documents in a block).
 BLOCK, LEAST_WEIGHT = 200_000, 400
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """64-bit keys of each row: for each chunk, one for each way to leave ERRORS of its values out."""
+    """64-bit keys of each row of b-bit values: for each chunk, one for each way to leave ERRORS of its values out."""
     s = signatures.astype(np.uint64)
     out = []
     for c in range(CHUNKS):
@@ -56,17 +59,17 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def packed(signatures: np.ndarray) -> np.ndarray:
-    """VALUES b-bit values of each row as int64 words."""
-    low = (signatures & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(len(signatures), VALUES * BITS // 64, 64 // BITS)
-    shifts = np.arange(0, 64, BITS, dtype=np.uint64)
+    """The low SKETCH bits of VALUES values of each row, as int64 words."""
+    low = (signatures & np.uint32(2**SKETCH - 1)).astype(np.uint64).reshape(len(signatures), VALUES * SKETCH // 64, 64 // SKETCH)
+    shifts = np.arange(0, 64, SKETCH, dtype=np.uint64)
     return np.bitwise_or.reduce(low << shifts, axis=2).view(np.int64)
 
 
 def distance(a: Column, b: Column) -> Column:
-    """In how many of VALUES b-bit values two packed signatures differ."""
-    ones = F.lit(sum(1 << i for i in range(0, 64, BITS)))
+    """In how many of VALUES values of SKETCH bits two packed signatures differ."""
+    ones = F.lit(sum(1 << i for i in range(0, 64, SKETCH)))
     total = None
-    for i in range(VALUES * BITS // 64):
+    for i in range(VALUES * SKETCH // 64):
         x = F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones)
@@ -90,7 +93,7 @@ def _signed(width: int):
                 part = batch.slice(start, 1000)
                 sets = [shingle_hashes(t, width, hashes) for t in part.column("text").to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                values = np.array([minhash.signature(sets[i]) for i in full], np.uint32).reshape(-1, VALUES)
+                values = np.array([minhash.signature(sets[i]) for i in full], np.uint32).reshape(-1, VALUES) & np.uint32(2**BITS - 1)
                 columns = {
                     "doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "cls": pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
@@ -123,34 +126,52 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(width: int, percent: int):
-    """Links between the members of a pair of blocks (or within one), as many as a spanning forest has."""
+def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a are linked with which of b."""
+    both = _shared(a, b)
+    n, m = np.array([len(x) for x in a], np.float64)[:, None], np.array([len(x) for x in b], np.float64)[None, :]
+    return 100 * both >= percent * (n + m - both)
+
+
+def _within(width: int, percent: int):
+    """(component, block, cls, n, root) for the classes of a block: root is the least class that its links reach."""
+    hashes = WordHashes()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cls")
+        sets = [shingle_hashes(t, width, hashes) for t in table.column("text").to_pylist()]
+        root = np.full(len(sets), -1)
+        if len(sets) > 1:
+            ok = _similar(sets, sets, percent)
+            for i in range(len(sets)):
+                if root[i] < 0:  # all that i reaches
+                    new = np.zeros(len(sets), bool)
+                    new[i] = True
+                    while new.any():
+                        root[new] = i
+                        new = ok[new].any(axis=0) & (root < 0)
+        else:
+            root[:] = 0
+        cls = table.column("cls").to_numpy()
+        return table.select(["component", "block", "cls", "n"]).append_column("root", pa.array(cls[root], pa.int64()))
+
+    return run
+
+
+def _between(width: int, percent: int):
+    """Links (u, v) between what the roots of one block stand for and those of another."""
     hashes = WordHashes()
 
     def run(table: pa.Table) -> pa.Table:
-        ids, left = table.column("cls").to_pylist(), np.array(table.column("block").to_pylist()) == table.column("i")[0].as_py()
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        right = table.column("right").to_numpy(zero_copy_only=False)
         sets = [shingle_hashes(t, width, hashes) for t in table.column("text").to_pylist()]
-        same = table.column("i")[0] == table.column("j")[0]
-        x, y = np.flatnonzero(left), np.arange(len(ids)) if same else np.flatnonzero(~left)
-        u, v = [], []
+        root, x, y = table.column("root").to_numpy(), np.flatnonzero(left), np.flatnonzero(right)
+        pairs = np.empty((0, 2), np.int64)
         if len(x) and len(y):
-            both = _shared([sets[i] for i in x], [sets[i] for i in y])
-            n = np.array([len(s) for s in sets], np.float64)
-            ok = 100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)
-            root = list(range(len(ids)))
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                p, q = int(x[i]), int(y[j])
-                for _ in range(2):
-                    k = p
-                    while root[k] != k:
-                        root[k] = k = root[root[k]]
-                    p, q = q, k
-                # p and q are the roots now, in the order in which they were asked for.
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    u.append(ids[int(x[i])])
-                    v.append(ids[int(y[j])])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            i, j = np.nonzero(_similar([sets[k] for k in x], [sets[k] for k in y], percent) & (root[x][:, None] != root[y][None, :]))
+            pairs = np.unique(np.stack([root[x[i]], root[y[j]]], axis=1), axis=0)
+        return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
@@ -180,9 +201,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
     )
     classes = work.keep(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    links = _links(docs, classes, work, width, percent)
-    labels = connected_components(links, work, "labels")
-    named = classes.select("digest", "cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    labels = _labels(docs, classes, work, width, percent)
+    named = classes.select("digest", "cls", "first").join(labels.withColumnRenamed("root", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = work.keep(named.select("digest", "component").join(least, "component").select(F.col("digest").alias("cls"), "least"), "named")
     out = rows.select("doc_id", "text_key", "n_shingles", "cls").join(named, "cls", "left")
@@ -194,66 +214,109 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
 
 
-def _links(docs: DataFrame, classes: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
-    """Confirmed links (u, v) between classes, enough for all components."""
+def _blocked(members: DataFrame, *keys: str) -> DataFrame:
+    """Adds block to (component, cls, n, ...): in each group by keys, blocks of about BLOCK shingles in the order of set sizes.
+
+    Only sums by set size pass through a window; classes of one size are dealt to blocks by hash.
+    """
+    weight = F.greatest("n", F.lit(LEAST_WEIGHT))
+    sums = members.groupBy(*keys, "n").agg(F.sum(weight).alias("weight"))
+    before = F.sum("weight").over(Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*keys, "n", F.floor(F.coalesce(before, F.lit(0)) / BLOCK).cast("int").alias("base"), F.ceil(F.col("weight") / BLOCK).cast("int").alias("parts"))
+    return members.join(sums, [*keys, "n"]).withColumn("block", F.col("base") + F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("base", "parts")
+
+
+def _compared(blocks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(component, block, cls, n, root) of classes in blocks, all pairs within each block compared."""
+    rows = blocks.select("component", "block", "cls", "n").join(texts, "cls")
+    return rows.groupBy("component", "block").applyInArrow(_within(width, percent), "component bigint, block int, cls bigint, n bigint, root bigint")
+
+
+def _in_several(blocks: DataFrame) -> DataFrame:
+    """The components that have several blocks."""
+    return blocks.groupBy("component").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("component")
+
+
+def _labels(docs: DataFrame, classes: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
+    """(cls, root) for classes that may have links: classes have one root if confirmed links join them."""
     groups = _coarse_groups(classes, work, percent)
-    # Blocks of each group in the order of set sizes: sets of too different sizes are never compared.
-    by_size = Window.partitionBy("component").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0)
     members = groups.join(classes.select("cls", "n", "first.doc_id", "first.text_key"), "cls")
-    members = members.withColumn("block", F.floor((F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).over(by_size) - 1) / BLOCK).cast("int"))
-    members = work.keep(members, "blocks")
-    ranges = members.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = ranges.alias("a"), ranges.alias("b")
-    meet = (F.col("a.component") == F.col("b.component")) & (F.col("a.block") <= F.col("b.block")) & (F.lit(100) * F.col("a.hi") >= F.lit(percent) * F.col("b.lo"))
-    meetings = a.join(b, meet).select(F.col("a.component").alias("component"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
-    meetings = work.keep(meetings, "meetings")
-    sides = meetings.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    members = work.keep(_blocked(members, "component"), "blocks")
     texts = _texts(docs, members, work)
-    rows = texts.join(sides, ["component", "block"])
-    links = rows.groupBy("component", "i", "j").applyInArrow(_linked(width, percent), "u bigint, v bigint")
-    return work.keep(links, "links")
+    own = work.keep(_compared(members, texts, width, percent), "own")
+    several = work.keep(_in_several(members), "several")
+    if not several.head(1):
+        return own.select("cls", "root")
+    large = work.keep(own.join(several, "component", "left_semi"), "large")
+    # Representatives of the parts that blocks linked, in ever fewer blocks.
+    reps, links, level = large.where("cls = root").select("component", "cls", "n"), None, 0
+    while True:
+        blocks = work.keep(_blocked(reps, "component"), f"level-{level}")
+        found = work.keep(_compared(blocks, texts, width, percent), f"linked-{level}")
+        new = found.where("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v"))
+        links = new if links is None else links.unionByName(new)
+        left, had = found.where("cls = root").count(), found.count()
+        if 2 * left > had or not _in_several(blocks).head(1):
+            break
+        reps, level = found.where("cls = root").select("component", "cls", "n"), level + 1
+    links = work.keep(links, "links")
+    joined = work.keep(_joined(large, links, work, "joined"), "parts")
+    # What isn't in a group's largest part may still be linked with any text of another part.
+    sizes = joined.groupBy("component", "root").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("component").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    apart = work.keep(joined.join(main, "component").withColumn("rest", F.col("root") != F.col("main")).select("component", "cls", "n", "root", "rest"), "apart")
+    if apart.head(1):
+        links = links.unionByName(_met(apart, texts, work, width, percent))
+        joined = _joined(large, links, work, "all")
+    return own.join(several, "component", "left_anti").select("cls", "root").unionByName(joined.select("cls", "root"))
+
+
+def _joined(parts: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The rows of parts (cls, root, ...) with the roots that links between roots lead to."""
+    ends = connected_components(links, work, name).toDF("root", "end")
+    return parts.join(ends, "root", "left").withColumn("root", F.coalesce("end", "root")).drop("end")
+
+
+def _met(apart: DataFrame, texts: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
+    """Links between all that is not in a group's largest part and all of the group."""
+    blocks = work.keep(_blocked(apart, "component", "rest"), "apart-blocks")
+    ranges = work.keep(blocks.groupBy("component", "rest", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "ranges")
+    a, b = ranges.where("rest").alias("a"), ranges.alias("b")
+    meet = (F.col("a.component") == F.col("b.component")) & (~F.col("b.rest") | (F.col("a.block") <= F.col("b.block")))
+    sized = (F.lit(100) * F.col("a.hi") >= F.lit(percent) * F.col("b.lo")) & (F.lit(100) * F.col("b.hi") >= F.lit(percent) * F.col("a.lo"))
+    meetings = a.join(b, meet & sized).select(F.col("a.component").alias("component"), F.col("a.block").alias("i"), F.col("b.rest").alias("other"), F.col("b.block").alias("j"))
+    sides = meetings.select("*", F.explode(F.array(F.struct(F.lit(True).alias("rest"), F.col("i").alias("block"), F.lit(True).alias("left")), F.struct(F.col("other").alias("rest"), F.col("j").alias("block"), F.lit(False).alias("left")))).alias("side"))
+    # A block that meets itself is one side and the other.
+    sides = sides.groupBy("component", "i", "other", "j", "side.rest", "side.block").agg(F.bool_or("side.left").alias("left"), F.bool_or(~F.col("side.left")).alias("right"))
+    rows = blocks.select("component", "rest", "block", "cls", "root").join(texts, "cls").join(sides, ["component", "rest", "block"])
+    return work.keep(rows.groupBy("component", "i", "other", "j").applyInArrow(_between(width, percent), "u bigint, v bigint"), "met")
 
 
 def _coarse_groups(classes: DataFrame, work: Workspace, percent: int) -> DataFrame:
-    """(cls, component) for all classes that share a key with a near one: two near ones that share a key have one component."""
+    """(cls, component) such that two classes that share a key, and that nothing rules out, have one component. Classes alone are left out."""
     members = classes.select("cls", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    members = members.withColumn("size", F.count("*").over(by_key)).where("size > 1").select("key", "cls")
-    members = work.keep(members, "members")
+    buckets = work.keep(members.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("lead")).where("size > 1"), "buckets")
+    members = work.keep(members.join(buckets, "key"), "members")
     light = classes.select("cls", "n", "sketch")
-    found, component, step = None, None, 0
-    while True:
-        if component is None:
-            open_ = members.withColumn("component", F.col("cls"))
-        else:
-            open_ = members.join(component, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-            open_ = open_.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo <> hi").drop("lo", "hi")
-        open_ = work.keep(open_.join(light, "cls"), f"open-{step}")
-        sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()
-        last = step == STAR_ROUNDS or (step > 0 and left["pairs"] <= PAIRS_EACH * left["n"])
-        if not last:
-            # The centre of a family shares more keys with the others than they do with each other: it leads
-            # in even rounds, and in odd ones a member chosen by a hash.
-            rows = open_
-            if step % 2 == 0:
-                shared = open_.withColumn("size", F.count("*").over(by_key)).groupBy("cls").agg(F.sum("size").alias("shared"))
-                rows = open_.join(shared, "cls")
-            order = F.struct(F.col("shared") if step % 2 == 0 else F.xxhash64("cls", F.lit(step)), "cls", "component", "n", "sketch")
-            pairs = rows.withColumn("lead", F.max(order).over(by_key)).where(F.col("component") != F.col("lead.component"))
-            pairs = pairs.where(_near(F.col("n"), F.col("sketch"), F.col("lead.n"), F.col("lead.sketch"), percent)).select(F.col("cls").alias("u"), F.col("lead.cls").alias("v"))
-        else:
-            a, b = open_.alias("a"), open_.alias("b")
-            near = _near(F.col("a.n"), F.col("a.sketch"), F.col("b.n"), F.col("b.sketch"), percent)
-            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component")) & near)
-            pairs = pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
-        new = work.keep(pairs.distinct(), f"near-{step}")
-        found = new if found is None else found.unionByName(new)
-        component = work.keep(connected_components(found, work, f"star-{step}").withColumnRenamed("node", "cls"), f"component-{step}")
-        work.drop(f"open-{step}")
-        if last:
-            return component
-        step += 1
+    lead = light.select(F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    stars = members.where("cls <> lead").select("cls", "lead").distinct().join(light, "cls").join(lead, "lead")
+    stars = stars.where(_near(F.col("n"), F.col("sketch"), F.col("m"), F.col("other"), percent)).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
+    stars = work.keep(connected_components(stars, work, "stars").withColumnRenamed("node", "cls"), "stars")
+    rows = work.keep(members.join(stars, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "placed")
+    spread = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    spread = work.keep(spread.select("key", "lo", "size"), "spread")
+    apart = rows.join(spread, "key")
+    whole = apart.where((F.col("size") > SMALL) & (F.col("component") > F.col("lo"))).select(F.col("component").alias("u"), F.col("lo").alias("v")).distinct()
+    few = work.keep(apart.where(F.col("size") <= SMALL).join(light, "cls").select("key", "cls", "component", "n", "sketch"), "few")
+    a, b = few.alias("a"), few.alias("b")
+    near = _near(F.col("a.n"), F.col("a.sketch"), F.col("b.n"), F.col("b.sketch"), percent)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & near)
+    pairs = pairs.select(F.col("b.component").alias("u"), F.col("a.component").alias("v")).distinct()
+    ends = connected_components(whole.unionByName(pairs), work, "groups").toDF("component", "end")
+    found = rows.select("cls", "component").distinct().join(ends, "component", "left").select("cls", F.coalesce("end", "component").alias("component"))
+    found = work.keep(found, "coarse")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select("component")
+    return found.join(sizes, "component", "left_semi")
 
 
 def _near(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
@@ -262,12 +325,12 @@ def _near(n: Column, sketch: Column, m: Column, other: Column, percent: int) ->
 
 
 def _texts(docs: DataFrame, members: DataFrame, work: Workspace) -> DataFrame:
-    """The members with a whole text of each class."""
-    few = broadcast_if_small(members, members.count())
+    """(cls, text): a whole text of each class among the members."""
+    few = broadcast_if_small(members.select("doc_id", "text_key", "cls"), members.count())
     source = docs.select("doc_id", "text", F.xxhash64(text_or_empty("text")).alias("text_key")).alias("d")
     texts = source.join(few.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key")))
     # Repeated rows give one text more than once; any of them will do.
-    return work.keep(texts.select("component", "block", "cls", "text").groupBy("component", "block", "cls").agg(F.first("text").alias("text")), "texts")
+    return work.keep(texts.select("cls", "text").groupBy("cls").agg(F.first("text").alias("text")), "texts")
 
 
 def first_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

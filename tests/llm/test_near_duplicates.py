@@ -1,6 +1,7 @@
 import random
 
 import brute
+import lumenquarry.llm.near_duplicates as nd
 from lumenquarry.llm.near_duplicates import near_duplicates
 from lumenquarry.llm.queries import op6_near_duplicates
 
@@ -14,6 +15,46 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     assert result(op6_near_duplicates(spark, sf_dir)) == brute.near_duplicates(rows)
 
 
+def test_a_larger_table_against_brute_force(spark):
+    """Recall of links at sf0.01: all of them."""
+    found = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{found}/documents.parquet").select("doc_id", "text").collect()]
+    assert result(op6_near_duplicates(spark, found)) == brute.near_duplicates(rows)
+
+
+def test_families_of_many_blocks(spark, monkeypatch):
+    """Small blocks and buckets, so that groups take representatives, levels and meetings: members linked with the centre alone, chains and near misses."""
+    monkeypatch.setattr(nd, "BLOCK", 4000)
+    monkeypatch.setattr(nd, "SMALL", 4)
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+
+    def changed(words, times):
+        x = list(words)
+        for i in r.sample(range(len(x)), times):
+            x[i] = word()
+        return x
+
+    base = [word() for _ in range(100)]
+    rows = [(1000, " ".join(base))]
+    rows += [(1001 + i, " ".join(changed(base, r.choice((1, 2, 2, 3, 4))))) for i in range(300)]
+    chain = [word() for _ in range(70)]
+    for i in range(200):
+        chain = changed(chain, 1)
+        rows.append((5000 - i, " ".join(chain)))
+    r.shuffle(rows)
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute.near_duplicates(rows)
+
+
+def test_a_family_of_20000(spark):
+    """Copies of one text with a word changed: all are linked, whatever the order of their ids."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(7 * i % 20011, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(20_000) for k in [r.randrange(60)]]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("component_id").count().collect()
+    assert [(x["component_id"], x["count"]) for x in got] == [(0, 20_000)]
+
+
 def test_chains_and_a_large_group(spark):
     """Documents that drift away from the first one word at a time: neighbours are linked, ends aren't."""
     r = random.Random(1)

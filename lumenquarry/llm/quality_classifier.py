@@ -11,6 +11,7 @@ to the driver is bounded by this and by ``VOCABULARY``. Scoring is one narrow pa
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,22 +42,24 @@ def pieces(token: str) -> list[str]:
         elif x.isalpha():
             out += [x.lower(), "Aa" if x.istitle() else "AA" if x.isupper() else "aa" if x.islower() else "aA"]
         else:
-            out.append(x[:4])
+            out.append(x)
     return out
 
 
-def index_vector(word: str) -> np.ndarray:
-    """A sparse vector of NONZERO entries of 1 or -1."""
-    seed = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    r = np.random.Generator(np.random.PCG64(seed))
-    out = np.zeros(SIZE, np.float32)
-    out[r.choice(SIZE, NONZERO, replace=False)] = r.choice((-1.0, 1.0), NONZERO)
+def index_vectors(words: list[str]) -> np.ndarray:
+    """A sparse vector of NONZERO entries of 1 or -1 for each word, one in each NONZERO-th of the dimensions, from the bits of its hash."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    out, rows, part = np.zeros((len(words), SIZE), np.float32), np.arange(len(words)), SIZE // NONZERO
+    for k in range(NONZERO):
+        x = ((h >> np.uint64(64 // NONZERO * k)) & np.uint64(2 ** (64 // NONZERO) - 1)).astype(np.int64)
+        out[rows, k * part + x % part] = 1 - 2 * (x // part % 2)
     return out
 
 
 @dataclass
 class Model:
     contexts: dict[str, np.ndarray]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
     mean: np.ndarray = field(default_factory=lambda: np.zeros(SIZE))
     spread: np.ndarray = field(default_factory=lambda: np.ones(SIZE))
     layers: tuple | None = None  # None: no labelled rows of both classes, every score is ``prior``
@@ -77,32 +80,42 @@ class Pooler:
     """Means of words' vectors, by document. Tokens' sums are kept until there are CACHED_WORDS."""
 
     def __init__(self, contexts: dict[str, np.ndarray]):
-        self.contexts, self.place, self.used = contexts, {}, 0
+        self.contexts = contexts
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
         self.sums, self.words = np.zeros((1024, SIZE), np.float32), np.zeros(1024, np.float32)
 
-    def _add(self, token: str) -> int:
-        if self.used == len(self.sums):
-            self.sums, self.words = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.words, np.zeros_like(self.words)])
-        own = pieces(token)
-        for w in own:
-            v = self.contexts.get(w)
-            self.sums[self.used] += index_vector(w) if v is None else v
-        self.words[self.used] = len(own)
-        self.place[token] = self.used
-        self.used += 1
-        return self.used - 1
+    def _learn(self, tokens: list[str]) -> None:
+        """Sums of the vectors of new tokens' words."""
+        own = [pieces(t) for t in tokens]
+        at = {w: i for i, w in enumerate({w: None for x in own for w in x})}
+        vectors = index_vectors(list(at))
+        for w, i in at.items():
+            if (v := self.contexts.get(w)) is not None:
+                vectors[i] = v
+        first, last = len(self.place), len(self.place) + len(tokens)
+        if last > len(self.sums):
+            more = max(len(self.sums), last - len(self.sums))
+            self.sums, self.words = np.pad(self.sums, ((0, more), (0, 0))), np.pad(self.words, (0, more))
+        self.sums[first:last] = 0
+        sizes = np.array([len(x) for x in own])
+        np.add.at(self.sums, first + np.repeat(np.arange(len(own)), sizes), vectors[[at[w] for x in own for w in x]])
+        self.words[first:last] = sizes
+        self.place.update(zip(tokens, range(first, last), strict=True))
 
     def pooled(self, texts) -> np.ndarray:
         out = np.zeros((len(texts), SIZE))
         for i, text in enumerate(texts):
-            if self.used > CACHED_WORDS:
-                self.place, self.used = {}, 0
-                self.sums, self.words = np.zeros((1024, SIZE), np.float32), np.zeros(1024, np.float32)
+            if len(self.place) > CACHED_WORDS:
+                self.clear()
             tokens = text.split() if text else []
             if not tokens:
                 continue
-            get, add = self.place.get, self._add
-            at = [j if (j := get(t)) is not None else add(t) for t in tokens]
+            if new := [t for t in dict.fromkeys(tokens) if t not in self.place]:
+                self._learn(new)
+            at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
             total, n = np.zeros(SIZE), 0.0
             for k in range(0, len(at), 4096):
                 part = at[k : k + 4096]
@@ -112,6 +125,16 @@ class Pooler:
         return out
 
 
+#: The pooler of the newest model in this worker: tasks that follow one another share it.
+_KEPT: list = [None, None]
+
+
+def _pooler(model: Model) -> Pooler:
+    if _KEPT[0] != model.name:
+        _KEPT[:] = model.name, Pooler(model.contexts)
+    return _KEPT[1]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(doc_id, text, quality): the sample. Rows with crc32(doc_id) mod 3 = 1 and null labels take no part."""
     chosen = labels.where("quality in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "quality").distinct()
@@ -130,29 +153,24 @@ def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _contexts(vocabulary: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, rest = {w: i for i, w in enumerate(vocabulary)}, {}
-        vectors = [index_vector(w) for w in vocabulary]
+        place = {w: i for i, w in enumerate(vocabulary)}
+        vectors = index_vectors(vocabulary)
         out = np.zeros((len(vocabulary), SIZE), np.float32)
         for batch in batches:
             for text in batch["text"]:
                 words = [w for t in (text or "").split() for w in pieces(t)]
-                for i, w in enumerate(words):
-                    if w not in place and w not in rest:
-                        rest[w] = len(vectors)
-                        vectors.append(index_vector(w))
                 if not words:
                     continue
-                at = np.array([place.get(w, -1) if w in place else rest[w] for w in words])
-                table = np.array([vectors[i] for i in at])
+                rest = {w: len(vocabulary) + i for i, w in enumerate({w: None for w in words if w not in place})}
+                table = np.concatenate([vectors, index_vectors(list(rest))]) if rest else vectors
+                at = np.array([place[w] if w in place else rest[w] for w in words])
+                table = table[at]
                 around = np.zeros_like(table)
                 for k in range(1, NEIGHBOURS + 1):
                     around[k:] += table[:-k]
                     around[:-k] += table[k:]
                 known = at < len(vocabulary)
                 np.add.at(out, at[known], around[known])
-                if len(vectors) > len(vocabulary) + 100_000:
-                    del vectors[len(vocabulary) :]
-                    rest.clear()
         yield pd.DataFrame({"m": [out.tobytes()]})
 
     return run
@@ -160,7 +178,7 @@ def _contexts(vocabulary: list[str]):
 
 def _pooled(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pooler = Pooler(shared.value.contexts)
+        pooler = _pooler(shared.value)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "v": list(pooler.pooled(batch["text"].tolist()))})
 
@@ -205,7 +223,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         total = np.sum([np.frombuffer(r["m"], np.float32).reshape(len(vocabulary), SIZE) for r in sums], axis=0, dtype=np.float64)
         # Contexts at the length of an index vector, so that frequent words don't outweigh the others.
         total *= (NONZERO**0.5 / np.maximum(np.linalg.norm(total, axis=1), 1e-9))[:, None]
-        contexts = {w: (index_vector(w) + c).astype(np.float32) for w, c in zip(vocabulary, total, strict=True)}
+        contexts = dict(zip(vocabulary, (index_vectors(vocabulary) + total).astype(np.float32), strict=True))
     model = Model(contexts)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -222,7 +240,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 def _scored(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Model = shared.value
-        pooler = Pooler(model.contexts)
+        pooler = _pooler(model)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.scores(pooler.pooled(batch["text"].tolist()))})
 
@@ -230,7 +248,10 @@ def _scored(shared):
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row. A null or empty text is a document without words: its vector is zero."""
+    """doc_id and score of every row. A null or empty text is a document without words: its vector is zero.
+
+    Repeated rows have equal scores; an empty table has an empty result. Other columns aren't read.
+    """
     kind, shared = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
     found = docs.selectExpr("cast(doc_id as string) as doc_id", "text").mapInPandas(_scored(shared), "doc_id string, score double")
     return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "score")

@@ -13,6 +13,7 @@ import functools
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,11 +34,10 @@ AROUND = frozenset("html body main article section div form".split())
 #: Elements that no name makes other than the article, and those that show where the article is.
 NEVER = frozenset("html body main article".split())
 HEADS = frozenset("h1 article main".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*?)>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+#: Elements whose content isn't markup; theirs isn't shown either.
+RAW = frozenset("script style noscript template textarea svg math".split())
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_MARK = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -77,11 +77,83 @@ class Element:
         self.depth = parent.depth + 1 if parent else 0
 
 
+class _Ends:
+    """Where the next end tag of a name begins and ends. Answers are kept, so that a page is searched once for each name."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def after(self, tag: str, at: int) -> tuple[int, int] | None:
+        if tag not in self.known or (self.known[tag] and self.known[tag][0] < at):
+            m = re.compile(rf"</{tag}(?![a-zA-Z0-9])[^>]*>", re.I).search(self.page, at)
+            self.known[tag] = m.span() if m else None
+        return self.known[tag]
+
+
+def _end_of_tag(page: str, at: int, without: set[str]) -> int:
+    """The place of the > that ends a tag whose name ends at ``at``; -1 if the page ends first.
+
+    A quote opens a value after = if what follows the next such quote can follow a value; other quotes are
+    signs like others. ``without`` keeps which quotes the rest of the page has none of.
+    """
+    while m := _MARK.search(page, at):
+        at = m.end()
+        quote = m[0]
+        if quote == ">":
+            return m.start()
+        if quote in without or not page[max(0, m.start() - 20) : m.start()].rstrip().endswith("="):
+            continue
+        close = page.find(quote, at)
+        if close < 0:
+            without.add(quote)
+        elif close + 1 == len(page) or page[close + 1] in " \t\r\n\f/>":
+            at = close + 1
+    return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(tag, "/" for an end tag, what else is in the tag), or ("", "", text). Time grows with the page's length alone.
+
+    What the page's end cuts off, within a tag, comment or raw element, is left out.
+    """
+    at, ends, without = 0, _Ends(page), set()
+    while True:
+        lt = page.find("<", at)
+        if lt != at and page[at : lt if lt >= 0 else None]:
+            yield "", "", page[at : lt if lt >= 0 else None]
+        if lt < 0:
+            return
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3
+        elif m := _TAG.match(page, lt + 1):
+            end = _end_of_tag(page, m.end(), without)
+            at, tag, rest = end + 1, m[2].lower(), page[m.end() : end]
+            if end >= 0 and tag in RAW and not m[1]:
+                if rest.endswith("/"):
+                    continue
+                found = ends.after(tag, at)
+                end = at = found[1] if found else -1
+            elif end >= 0:
+                yield tag, m[1], rest
+        elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+            end = page.find(">", lt + 1)
+            at = end + 1
+        else:
+            yield "", "", "<"
+            at = end = lt + 1
+        if end < 0:
+            return
+
+
 def _parsed(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """All block elements in page order, the root first, and (element, text) of each block with text."""
     root = Element(None, "", 0, False, False)
-    elements, stack, paths = [root], [root], {}
-    out, parts, hidden = [], [], 0
+    elements, stack, paths, open_tags = [root], [root], {}, Counter()
+    out, parts = [], []
+    hidden: list[tuple[str, int, bool]] = []  # tag, depth, and whether an end tag follows
+    tokens = list(_tokens(page))
+    ends = Counter(tag for tag, end, _ in tokens if end)
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
@@ -89,41 +161,55 @@ def _parsed(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if text:
             out.append((stack[-1], text))
 
-    for m in _TOKEN.finditer(page):
-        if (text := m["text"]) is not None:
+    def pop() -> str:
+        tag = stack.pop().tag
+        open_tags[tag] -= 1
+        while hidden and hidden[-1][1] > len(stack):  # what is open in an element ends with it
+            hidden.pop()
+        return tag
+
+    for tag, end, rest in tokens:
+        ends[tag] -= bool(end)
+        if not tag:
             if not hidden:
-                parts.append(html.unescape(text))
-            continue
-        if not m["tag"]:
+                parts.append(html.unescape(rest))
             continue
-        tag = m["tag"].lower()
         if tag in HIDDEN and tag != "head":
-            hidden = max(0, hidden - 1) if m["end"] else hidden + (not m["rest"].endswith("/"))
+            if end:
+                if any(h[0] == tag for h in hidden):
+                    while hidden.pop()[0] != tag:
+                        pass
+            elif not rest.endswith("/"):
+                if tag == "option" and hidden and hidden[-1][0] == tag:
+                    hidden.pop()
+                hidden.append((tag, len(stack), ends[tag] > 0))
             continue
         if tag == "br":
             parts.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
-        if m["end"]:
-            if any(x.tag == tag for x in stack):
-                while stack.pop().tag != tag:
+        if end:
+            if open_tags[tag]:
+                while pop() != tag:
                     pass
             continue
-        hidden = 0  # an unclosed one ends here
+        while hidden and not hidden[-1][2]:  # one that is never closed ends where a block begins
+            hidden.pop()
         # A paragraph ends where any block begins; items and cells end where the next begins.
         if stack[-1].tag == "p":
-            stack.pop()
+            pop()
         if tag in _CLOSES:
             while stack[-1].tag in _CLOSES[tag]:
-                stack.pop()
+                pop()
         if tag not in VOID:
-            names, classes = _names(m["rest"])
+            names, classes = _names(rest)
             top = stack[-1]
             path = paths.setdefault((top.path, tag, classes), len(paths) + 1)
             # The header of an article holds its headline.
             beside = top.beside or tag == "head" or (tag in BESIDE and not (tag == "header" and _outermost(top)))
             stack.append(Element(top, tag, path, beside, tag == "form" or (tag not in NEVER and any(map(_suggests, names)))))
+            open_tags[tag] += 1
             elements.append(stack[-1])
     flush()
     _judge(elements, out)

@@ -1,4 +1,7 @@
-from lumenquarry.llm.html_text import blocks, extracted, main_text
+import time
+from html.parser import HTMLParser
+
+from lumenquarry.llm.html_text import extracted, main_text
 from lumenquarry.llm.queries import op4_html_extraction
 
 LAYOUT = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -14,14 +17,59 @@ def test_layout_with_boilerplate():
     assert main_text(LAYOUT) == "Head & line\nFirst paragraph, with a bold word <and> more.\nSecond one, goes on. It has a link.\nAn item, of note.\nAnother\nA quote, said."
 
 
+class Article(HTMLParser):
+    """The blocks of the tables' articles, read by Python's own parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in ("article", "h1", "p", "div", "ul", "li"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "h1", "p", "div", "ul", "li"):
+            self.blocks.append("")
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
 def test_tables_pages(spark, sf_dir):
-    rows = {r.page_id: r for r in op4_html_extraction(spark, sf_dir).collect()}
-    for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
-        r = rows[p.page_id]
-        assert r.url == p.url and r.n_chars == len(r.text)
-        inner = p.html[p.html.index("<article>") + 9 :].split("</article>")[0]
-        want = [x for x in ("".join(t).split() for t in [[b[1]] for b in blocks(f"<article>{inner}</article>")]) if x]
-        assert r.text == "\n".join(" ".join(x) for x in want)
+    for folder in (sf_dir, "/root/testdata/sf0.01"):
+        rows = {r.page_id: r for r in op4_html_extraction(spark, folder).collect()}
+        for p in spark.read.parquet(f"{folder}/pages.parquet").collect():
+            r, wanted = rows[p.page_id], Article()
+            wanted.feed(p.html)
+            assert r.url == p.url and r.n_chars == len(r.text)
+            assert r.text == "\n".join(" ".join(x.split()) for x in wanted.blocks if x.split())
+
+
+def test_long_and_broken_markup_takes_linear_time():
+    began = time.time()
+    for page in ("<a " * 350_000, "<p>x</p><img " + 'a="v" ' * 200_000, '<p>x</p><i "' + "\"'" * 500_000, "<p>x</p><b " + "=\"'" * 300_000, "<p>x</p>" + "<script>" * 100_000, "<p>x</p>" + "<button>" * 100_000, "<p>x</p>" + "</div>" * 150_000, "<!--" * 200_000, "<p>x</p>" + "<" * 300_000, "<p>x</p>" + "<select><option>" * 60_000):
+        assert main_text(page)[:2] in ("", "x", "x\n")
+        assert time.time() - began < 10
+        began = time.time()
+
+
+def test_cut_and_quoted_tags():
+    assert main_text('<p>one, two.</p><img alt="x" ' + " ".join('a="v"' for _ in range(24))) == "one, two."
+    assert main_text('<p>one, <a title="a > b" href=\'c"d\'>two</a>.</p>') == "one, two."
+    assert main_text('<p>one, <a title="open>two</a>.</p><p class="x">three, four.</p>') == "one, two.\nthree, four."
+    assert main_text("<p>a < b, it's <b>so</b>.</p>") == "a < b, it's so."
+
+
+def test_nothing_of_forms_leaks():
+    assert main_text("<article><p>One, two.</p><button>Go<div>leak</div></button><p>Three, four.</p></article>") == "One, two.\nThree, four."
+    assert main_text("<article><p>One, two.</p><select><option>a<option>b<p>leak</p></select><p>Three, four.</p></article>") == "One, two.\nThree, four."
+    assert main_text("<article><p>One, two.</p><div><button>never closed</div><p>Three, four.</p></article>") == "One, two.\nThree, four."
 
 
 def test_odd_pages(spark):

@@ -13,6 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to so many bytes for each core, a table in fewer files than cores is worth a shuffle.
+SPREAD_BYTES = 32 * 2**20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer files than there are cores, dealt to all cores; others stay as they are.
+
+    A file of one row group is read by one task, however the scan is split. Spark pushes filters and columns below the deal.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a declared schema; blank lines are skipped, broken ones stay in ``_corrupt_record``."""
     lines = spark.read.text(path).where(F.trim("value") != "")

@@ -12,49 +12,59 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Characters in one streamed delta of the log that is made from a table of turns.
-DELTA = 4096
+#: Characters in one streamed delta, and of a draft that is taken back, in the log that is made from a table of turns.
+DELTA, DRAFT = 4096, 16
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """The log of a table of finished turns (conv_id, turn, role, text): each is opened, then streamed.
+    """The log of a table of finished turns (conv_id, turn, role, text) as a service would have written it.
 
-    Turns go by number, then role, then text; a null number comes first. Every row is a message of its own, repeated
-    ones too. Null texts and roles are empty.
+    An assistant's turn is opened, a draft is streamed, it is regenerated and streamed in full. Another turn is opened
+    with a draft, edited, and what doesn't fit the edit is streamed. Turns go by number, then role, then text; a null number comes first.
+    Every row is a message of its own, repeated ones too. Null texts and roles are empty. Messages' numbers are places in the order of
+    all turns, dealt by ranges of (conv_id, turn), so that no conversation is sorted in one task.
     """
-    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("message", F.row_number().over(ordered).cast("bigint"))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / DELTA).cast("int")), lambda i: F.substring("text", i * DELTA + 1, F.lit(DELTA)))
-    deltas = F.transform(F.when(F.length("text") > 0, parts).otherwise(F.expr("cast(array() as array<string>)")), lambda t, i: F.struct((i + 1).alias("n"), F.lit("delta").alias("kind"), t.alias("text")))
-    opened = F.array(F.struct(F.lit(0).alias("n"), F.lit("open").alias("kind"), F.lit("").alias("text")))
-    rows = rows.withColumn("event", F.explode(F.concat(opened, deltas)))
+    rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("message", F.monotonically_increasing_id())
+    part = lambda i: F.substring("text", i * DELTA + 1, F.lit(DELTA))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / DELTA)).cast("int")), part)
+    event = lambda n, kind, text: F.struct(n.alias("n"), kind.alias("kind"), text.alias("text"))
+    assistant, draft = F.col("role") == "assistant", F.substring("text", 1, DRAFT)
+    first = F.array(event(F.lit(0), F.lit("open"), F.when(assistant, "").otherwise(draft)), event(F.lit(1), F.lit("delta"), F.when(assistant, draft).otherwise("")))
+    again = F.array(event(F.lit(2), F.when(assistant, "regenerate").otherwise("edit"), F.when(assistant, "").otherwise(part(F.lit(0)))))
+    streamed = F.transform(parts, lambda t, i: event(i + 3, F.lit("delta"), F.when(assistant | (i > 0), t).otherwise("")))
+    rows = rows.withColumn("event", F.explode(F.concat(first, again, streamed)))
     return rows.select("conv_id", F.struct("message", F.col("event.n").alias("n")).alias("seq"), F.col("event.kind").alias("kind"), "message", "role", F.col("event.text").alias("text"))
 
 
-def folded(events: DataFrame) -> DataFrame:
+def folded(events: DataFrame, rewinds: bool = True) -> DataFrame:
     """(conv_id, message, role, text): final messages. seq may be of any orderable type; rows without message are left out.
 
     A message without open, edit or regenerate has no version and is left out, as are deltas before its first version. The role
-    is that of the first version. Of repeated events each counts.
+    is that of the first version. Of repeated events each counts. A log that is known to hold no rewinds needn't be read for them.
     """
-    own = Window.partitionBy("conv_id", "message").orderBy("seq", "kind", "text")
     begins = F.col("kind").isin("open", "edit", "regenerate")
-    rows = events.where("message is not null and kind <> 'rewind'").withColumn("version", F.count_if(begins).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("newest", F.max("version").over(Window.partitionBy("conv_id", "message"))).where("version > 0")
-    pieces = F.sort_array(F.collect_list(F.when(F.col("version") == F.col("newest"), F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text")))))
-    role = F.min_by("role", F.when(begins, F.struct("seq", "kind")))
-    messages = rows.groupBy("conv_id", "message").agg(role.alias("role"), F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"), F.max(F.when(begins, F.col("seq"))).alias("begun"))
-    rewinds = events.where("kind = 'rewind' and message is not null").groupBy("conv_id", "message").agg(F.max("seq").alias("rewound"))
-    joined = messages.withColumn("here", F.lit(1)).join(rewinds.withColumnsRenamed({"conv_id": "c", "message": "m"}), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message") == F.col("m")), "full_outer")
-    joined = joined.select(F.coalesce("conv_id", "c").alias("conv_id"), F.coalesce("message", "m").alias("message"), "role", "text", "begun", "rewound", "here")
-    before = F.max("rewound").over(Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1))
-    return joined.withColumn("before", before).where("here = 1 and (before is null or begun > before)").select("conv_id", "message", "role", "text")
+    place = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))
+    rows = events.where("message is not null and kind <> 'rewind'").groupBy("conv_id", "message")
+    rows = rows.agg(F.collect_list(place).alias("all"), F.max(F.when(begins, place)).alias("newest"), F.min_by("role", F.when(begins, place)).alias("role")).where("newest is not null")
+    newest = F.sort_array(F.filter("all", lambda e: e >= F.col("newest")))
+    messages = rows.select("conv_id", "message", "role", F.array_join(F.transform(newest, lambda e: e["text"]), "").alias("text"))
+    if not rewinds:
+        return messages
+    # Only numbers of the conversations that were rewound pass through a window; texts don't.
+    marks = events.where("kind = 'rewind' and message is not null").groupBy("conv_id", "message").agg(F.max("seq").alias("rewound"))
+    few = marks.select(F.col("conv_id").alias("c")).distinct()
+    begun = events.where(begins & F.col("message").isNotNull()).select("conv_id", "message", "seq").join(few, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    begun = begun.groupBy("conv_id", "message").agg(F.max("seq").alias("begun"))
+    both = begun.withColumn("rewound", F.lit(None).cast(marks.schema["rewound"].dataType)).unionByName(marks.withColumn("begun", F.lit(None).cast(marks.schema["rewound"].dataType)))
+    before = F.max("rewound").over(Window.partitionBy("conv_id").orderBy("message").rangeBetween(Window.unboundedPreceding, -1))
+    gone = both.withColumn("before", before).where("begun <= before").select(F.col("conv_id").alias("c"), F.col("message").alias("m"))
+    return messages.join(gone, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message") == F.col("m")), "left_anti")
 
 
 def escaped(text: Column) -> Column:
@@ -86,31 +96,33 @@ def read_back(segments: DataFrame) -> DataFrame:
     return rows.select("conv_id", "message", role.alias("role"), unescaped(F.expr("substring(body, at + 1)")).alias("text"), loss.alias("loss"), F.length("segment").cast("bigint").alias("formatted_chars"))
 
 
-def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_SUMMARY = pa.schema([("conv", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted turns in, one row for each conversation out; only running digests are held."""
     now, state = None, None
 
-    def row() -> tuple:
+    def row() -> dict:
         key, n, turns, chars, loss, formatted = state
-        return key, n, turns.hexdigest(), chars, loss.hexdigest(), formatted
+        return dict(zip(_SUMMARY.names, (key, n, turns.hexdigest(), chars, loss.hexdigest(), formatted), strict=True))
 
     for batch in batches:
         out = []
-        for key, role, text, loss, size in zip(batch["conv"], batch["role"], batch["text"], batch["loss"], batch["formatted_chars"], strict=True):
-            key = None if key is None or key != key else key
+        for key, turn, loss, chars, size in zip(*[batch.column(c).to_pylist() for c in ("conv", "turn", "loss", "chars", "formatted_chars")], strict=True):
             if state is None or key != now:
                 if state is not None:
                     out.append(row())
                 now, state = key, [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            state[3] += len(loss)
-            state[4].update(loss.encode("utf-8", "surrogatepass"))
+            state[2].update(turn)
+            state[3] += chars
+            state[4].update(loss)
             state[5] += size
         if out:
-            yield pd.DataFrame(out, columns=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_pylist(out, _SUMMARY)
     if state is not None:
-        yield pd.DataFrame([row()], columns=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield pa.RecordBatch.from_pylist([row()], _SUMMARY)
 
 
 def summary(segments: DataFrame) -> DataFrame:
@@ -120,5 +132,7 @@ def summary(segments: DataFrame) -> DataFrame:
     """
     kind = segments.schema["conv_id"].dataType.simpleString()
     rows = read_back(segments).withColumn("conv", F.col("conv_id").cast("string")).repartition("conv").sortWithinPartitions("conv", "message")
-    found = rows.select("conv", "role", "text", "loss", "formatted_chars").mapInPandas(_digested, "conv string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    turn = F.concat("role", F.lit("\n"), "text", F.lit("\n")).cast("binary")
+    rows = rows.select("conv", turn.alias("turn"), F.col("loss").cast("binary").alias("loss"), F.length("loss").alias("chars"), "formatted_chars")
+    found = rows.mapInArrow(_digested, "conv string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     return found.select(F.col("conv").cast(kind).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

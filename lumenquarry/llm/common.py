@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table. Others, whatever their names, are never read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    """The named columns of a table, dealt to all cores if it is small. Others, whatever their names, are never read."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -85,7 +85,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = F.lit(f"{chat.END}{chat.START}assistant ok").alias("text")
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
-    return chat.summary(chat.rendered(chat.folded(chat.events_of_turns(turns.unionByName(extra)))))
+    return chat.summary(chat.rendered(chat.folded(chat.events_of_turns(turns.unionByName(extra)), rewinds=False)))
 
 
 QUERIES["op4_html_extraction"] = op4_html_extraction

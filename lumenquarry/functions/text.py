@@ -57,9 +57,16 @@ def excerpt(text: Column, size: int = 180) -> Column:
 
 
 def perturbed(text: Column, kind: str) -> Column:
-    """``lower_no_punctuation``, ``upper``, ``truncated`` (60 % of the words) or ``noise``."""
+    """``lower_no_punctuation``, ``upper`` (full case mapping: ß gives SS), ``truncated`` (60 % of the words), ``noise`` or ``typos``.
+
+    Typos: in words of four characters or more, the second and third change places where the word's digest begins with 0 to 3.
+    """
     words = F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != "")
+    def typo(w: Column) -> Column:
+        return F.when((F.length(w) >= 4) & (F.left(F.md5(w), F.lit(1)) < "4"), F.concat(F.left(w, F.lit(1)), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w)))).otherwise(w)
+
     return {
+        "typos": F.array_join(F.transform(words, typo), " "),
         "lower_no_punctuation": F.regexp_replace(F.lower(text), "[.,;:!?'\"()-]", ""),
         "upper": F.upper(text),
         "truncated": F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.floor(F.size(words) * 0.6).cast("int"))), " "),

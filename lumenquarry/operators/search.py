@@ -4,35 +4,71 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import stem, tokens
 
 
-def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, term, tf, length): an inverted index; counting within a document needs no shuffle of texts."""
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("terms")).withColumn("length", F.size("terms").cast("bigint"))
-    return t.select("doc", "length", F.explode("terms").alias("term")).groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
+# English words that say nothing about a text, left out of the index by default.
+STOP_WORDS = "a an and are as at be been but by for from had has have he her his i if in into is it its my no not of on or our she so than that the their them then there these they this to was we were what when which who will with would you your".split()
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+def analysed(text: Column, stop: list[str] | None = None) -> Column:
+    """The stems of a text's tokens but for stop words."""
+    stop = STOP_WORDS if stop is None else stop
+    return F.transform(F.filter(tokens(text), lambda t: ~t.isin(stop)) if stop else tokens(text), stem)
 
 
-def rarest_terms(queries: DataFrame, query: str, text: str, df: DataFrame, n_docs: int, max_df: float = 0.4, most: int = 12) -> DataFrame:
-    """(query, term, df): the rarest known terms of each query that at most ``max_df`` of the documents have."""
-    q = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    known = q.join(df, "term").where(F.col("df") <= F.lit(max_df * n_docs))
-    order = Window.partitionBy("query").orderBy("df", "term")
-    return known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("query", "term", "df")
+def analysed_documents(docs: DataFrame, doc: str, text: str, stop: list[str] | None = None) -> DataFrame:
+    """(doc, terms, length); a null text has no terms."""
+    return docs.select(F.col(doc).alias("doc"), analysed(F.col(text), stop).alias("terms")).withColumn("length", F.size("terms").cast("bigint"))
 
 
-def bm25(index: DataFrame, terms: DataFrame, n_docs: int, average_length: float, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score) of BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)); the terms limit what is read of the index."""
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(average_length)))
-    return terms.join(index, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+def postings(docs: DataFrame, terms: DataFrame | None = None, few: int = 200_000) -> DataFrame:
+    """(doc, length, term, tf) of analysed documents: of all terms, or of those in ``terms`` alone.
+
+    Terms of queries are counted; up to ``few`` are broadcast, so that no other posting is shuffled.
+    """
+    rows = docs.select("doc", "length", F.explode("terms").alias("term"))
+    if terms is not None:
+        wanted = terms.select("term").distinct()
+        rows = rows.join(F.broadcast(wanted) if wanted.count() <= few else wanted, "term", "left_semi")
+    return rows.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """(term, df): terms are made distinct within a document, so that only partial counts are shuffled."""
+    return docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def query_terms(queries: DataFrame, query: str, text: str, df: DataFrame, stop: list[str] | None = None) -> DataFrame:
+    """(query, term, qtf, df): all known terms of each query, and how often it has each."""
+    q = queries.select(F.col(query).alias("query"), F.explode(analysed(F.col(text), stop)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+    return q.join(df, "term")
+
+
+def rarest_terms(terms: DataFrame, n_docs: int, max_df: float = 0.4, most: int = 12, least: int = 3) -> DataFrame:
+    """(query, term, df): for lexical search, the rarest terms of each query that at most ``max_df`` of the documents have, or else its ``least`` rarest."""
+    order, whole = Window.partitionBy("query").orderBy("df", "term"), Window.partitionBy("query")
+    rare = F.col("df") <= F.lit(max_df * n_docs)
+    rows = terms.withColumns({"i": F.row_number().over(order), "rare": rare, "some": F.max(rare).over(whole)})
+    # Ordered by df, rare terms come first.
+    return rows.where((F.col("rare") & (F.col("i") <= most)) | (~F.col("some") & (F.col("i") <= least))).select("query", "term", "df")
+
+
+def okapi_idf(df: DataFrame, n_docs: int, floor: float = 0.25) -> DataFrame:
+    """(term, idf): ln(N - df + 0.5) - ln(df + 0.5); where that is negative, ``floor`` times the mean over all terms."""
+    raw = df.select("term", (F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def bm25(index: DataFrame, terms: DataFrame, idf: DataFrame, average_length: float, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, doc, score) over all terms of the queries, repeated ones as often as they stand there; scores over 0 stay."""
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(average_length)))
+    weighted = terms.select("query", "term", "qtf").join(idf, "term")
+    return weighted.join(index, "term").groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def lexical(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -79,13 +115,31 @@ def adaptive(dense: DataFrame, hybrid: DataFrame, threshold: float) -> DataFrame
     return a.unionByName(b)
 
 
-def expansion_terms(top_docs: DataFrame, index: DataFrame, query_terms: DataFrame, df: DataFrame, n_docs: int, max_df: float = 0.4, most: int = 6) -> DataFrame:
+def expansion_terms(top_docs: DataFrame, docs: DataFrame, own: DataFrame, df: DataFrame, n_docs: int, max_df: float = 0.4, most: int = 6) -> DataFrame:
     """(query, term, df): terms in two or more of a query's first three documents and not in the query, the rarest first."""
-    seen = top_docs.where("rank <= 3").join(index, "doc").groupBy("query", "term").agg(F.count("*").alias("n")).where("n >= 2")
-    fresh = seen.join(query_terms.select("query", "term"), ["query", "term"], "left_anti").join(df, "term").where(F.col("df") <= F.lit(max_df * n_docs))
+    first = top_docs.where("rank <= 3").select("query", "doc")
+    seen = docs.select("doc", F.explode(F.array_distinct("terms")).alias("term")).join(first, "doc").groupBy("query", "term").agg(F.count("*").alias("n")).where("n >= 2")
+    fresh = seen.join(own.select("query", "term"), ["query", "term"], "left_anti").join(df, "term").where(F.col("df") <= F.lit(max_df * n_docs))
     return fresh.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy("df", "term"))).where(F.col("i") <= most).select("query", "term", "df")
 
 
+def selected_evidence(ranked_rows: DataFrame, kind: str, most: dict[str, int]) -> DataFrame:
+    """The first rows of each query and kind: ``most`` says how many of each; other kinds are left out. Adds place."""
+    order = Window.partitionBy("query", kind).orderBy("rank", "doc")
+    limit = F.coalesce(*[F.when(F.col(kind) == k, F.lit(n)) for k, n in most.items()], F.lit(0))
+    return ranked_rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def compared(strategies: dict[str, DataFrame], base: str) -> DataFrame:
+    """(query, doc, a rank for each strategy, movement for each other): ranks side by side; movement is the base's rank less the other's."""
+    rows = None
+    for name, frame in strategies.items():
+        part = frame.select("query", "doc", F.lit(name).alias("strategy"), "rank")
+        rows = part if rows is None else rows.unionByName(part)
+    wide = rows.groupBy("query", "doc").pivot("strategy", list(strategies)).agg(F.min("rank"))
+    return wide.select("query", "doc", *[F.col(n).alias(f"rank_{n}") for n in strategies], *[(F.col(base) - F.col(n)).alias(f"moved_{n}") for n in strategies if n != base])
+
+
 @dataclass(frozen=True)
 class Evidence:
     floor: float = 0.25

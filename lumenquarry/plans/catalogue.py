@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import classify, clusters, grounding, metrics, search
-from ..sources.files import table
+from ..sources.files import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,11 +181,21 @@ def mmr_rerank(spark, sf):
 
 # --- lexical search: items divisible by 100 are queries, against all documents --------------------------------------
 
-_INDEX = """WITH tk AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM documents), ix AS (SELECT doc, len(ts) AS length, unnest(ts) AS term FROM tk),
+_STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+
+
+def _stems(text: str) -> str:
+    cases = " ".join(f"WHEN t LIKE '%{x}' AND length(t) >= {len(x) + 3} THEN left(t, length(t) - {len(x)})" for x in tx.SUFFIXES)
+    return f"list_transform(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+'), lambda t: t NOT IN ({_STOP})), lambda t: CASE {cases} ELSE t END)"
+
+
+_INDEX = f"""WITH tk AS (SELECT doc_id AS doc, {_stems("text")} AS ts FROM documents), ix AS (SELECT doc, len(ts) AS length, unnest(ts) AS term FROM tk),
 tf AS (SELECT doc, length, term, count(*) AS tf FROM ix GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(ts)) AS al FROM tk),
-qt AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 100 = 0),
-rt AS (SELECT query, term, df FROM qt JOIN dfs USING (term), st WHERE df <= 0.4 * n QUALIFY row_number() OVER (PARTITION BY query ORDER BY df, term) <= 12)"""
-_BM25 = _INDEX + """, bm AS (SELECT query, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / al))) AS score FROM rt JOIN tf USING (term), st GROUP BY ALL),
+qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT item_id AS query, unnest({_stems("text")}) AS term FROM benchmark WHERE item_id % 100 = 0) GROUP BY ALL),
+kt AS (SELECT query, term, df, df <= 0.4 * n AS rare, bool_or(df <= 0.4 * n) OVER (PARTITION BY query) AS has_rare, row_number() OVER (PARTITION BY query ORDER BY df, term) AS i FROM qt JOIN dfs USING (term), st),
+rt AS (SELECT query, term, df FROM kt WHERE (rare AND i <= 12) OR (NOT has_rare AND i <= 3))"""
+_BM25 = _INDEX + """, raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, st), idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+bm AS (SELECT query, doc, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / al))) AS score FROM qt JOIN idf USING (term) JOIN tf USING (term), st GROUP BY ALL HAVING score > 0),
 bk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM bm)"""
 _LEX = _BM25 + """, lx AS (SELECT query, doc, sum(tf) / (1 + ln(any_value(length))) AS score FROM rt JOIN tf USING (term) GROUP BY ALL),
 lk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM lx)"""
@@ -193,43 +203,57 @@ _RRF = _LEX + """, u AS (SELECT query, doc, rank, 1.0 AS w FROM bk WHERE rank <=
 fr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(rrf, 12) DESC, best, doc) AS rank FROM fu)"""
 
 
+def _documents(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _lexicon(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    index = search.postings(docs, "doc_id", "text")
-    n, total = docs.agg(F.count("*"), F.sum(F.size(tx.tokens(F.col("text"))))).head()
-    df = search.document_frequency(index)
-    terms = search.rarest_terms(table(spark, sf, "benchmark").where("item_id % 100 = 0"), "item_id", "text", df, n)
-    return index, df, terms, n, (total or 0) / max(n, 1)
+    """Analysed documents, document frequencies, the queries' terms, and the number and mean length of documents."""
+    docs = search.analysed_documents(_documents(spark, sf), "doc_id", "text")
+    n, total = docs.agg(F.count("*"), F.sum("length")).head()
+    df = search.document_frequency(docs)
+    terms = search.query_terms(table(spark, sf, "benchmark").where("item_id % 100 = 0"), "item_id", "text", df)
+    return docs, df, terms, n, (total or 0) / max(n, 1)
+
+
+def _scores(spark, sf):
+    docs, df, terms, n, average = _lexicon(spark, sf)
+    index = search.postings(docs, terms)
+    return search.bm25(index, terms, search.okapi_idf(df, n), average), search.lexical(index, search.rarest_terms(terms, n))
 
 
 @query(_BM25 + " SELECT query, doc, rank::INT AS rank, round(score, 4) AS score FROM bk WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    index, _, terms, n, average = _lexicon(spark, sf)
-    return search.ranked(search.bm25(index, terms, n, average), 10).select("query", "doc", "rank", r4("score", "score"))
+    return search.ranked(_scores(spark, sf)[0], 10).select("query", "doc", "rank", r4("score", "score"))
 
 
 @query(_LEX + " SELECT query, doc, rank::INT AS rank, round(score, 4) AS score FROM lk WHERE rank <= 10")
 def lexical_topk(spark, sf):
-    index, _, terms, _, _ = _lexicon(spark, sf)
-    return search.ranked(search.lexical(index, terms), 10).select("query", "doc", "rank", r4("score", "score"))
+    return search.ranked(_scores(spark, sf)[1], 10).select("query", "doc", "rank", r4("score", "score"))
 
 
 @query(_INDEX + " SELECT term, df FROM dfs")
 def doc_frequency(spark, sf):
-    docs = table(spark, sf, "documents")
-    terms = docs.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))  # distinct within a row: one shuffle of partial counts
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    return search.document_frequency(search.analysed_documents(_documents(spark, sf), "doc_id", "text"))
 
 
 @query(_INDEX + " SELECT query, term, df FROM rt")
 def idf_pruned_terms(spark, sf):
-    return _lexicon(spark, sf)[2]
+    _, _, terms, n, _ = _lexicon(spark, sf)
+    return search.rarest_terms(terms, n)
 
 
 def _fused(spark, sf):
-    index, _, terms, n, average = _lexicon(spark, sf)
-    a, b = search.ranked(search.bm25(index, terms, n, average), 50), search.ranked(search.lexical(index, terms), 50)
-    return search.reciprocal_rank_fusion({"bm25": (a, 1.0), "lexical": (b, 0.25)}), a
+    a, b = (search.ranked(x, 50) for x in _scores(spark, sf))
+    return search.reciprocal_rank_fusion({"bm25": (a, 1.0), "lexical": (b, 0.25)}), a, b
+
+
+@query(_RRF + """, a AS (SELECT query, doc, rank FROM bk WHERE rank <= 10), b AS (SELECT query, doc, rank FROM lk WHERE rank <= 10), c AS (SELECT query, doc, rank FROM fr WHERE rank <= 10)
+SELECT query, doc, a.rank::INT AS rank_bm25, b.rank::INT AS rank_lexical, c.rank::INT AS rank_fused, (a.rank - b.rank)::INT AS moved_lexical, (a.rank - c.rank)::INT AS moved_fused FROM a FULL JOIN b USING (query, doc) FULL JOIN c USING (query, doc)""")
+def strategy_comparison(spark, sf):
+    """The first ten of three strategies side by side, with movements of ranks."""
+    fused, a, b = _fused(spark, sf)
+    return search.compared({"bm25": a.where("rank <= 10"), "lexical": b.where("rank <= 10"), "fused": fused.where("rank <= 10")}, "bm25")
 
 
 @query(_RRF + " SELECT query, doc, rank::INT AS rank, round(rrf, 6) AS rrf FROM fr WHERE rank <= 20")
@@ -248,28 +272,28 @@ def rerank_blend(spark, sf):
 @query(_RRF + """, mg AS (SELECT query, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS m FROM bk WHERE rank <= 50 GROUP BY 1)
 SELECT query, doc, rank::INT AS rank, 'dense' AS stage FROM bk JOIN mg USING (query) WHERE rank <= 5 AND (m IS NULL OR m >= 1.0) UNION ALL SELECT query, doc, rank::INT, 'hybrid' FROM fr JOIN mg USING (query) WHERE rank <= 5 AND m < 1.0""")
 def adaptive_ladder(spark, sf):
-    fused, first = _fused(spark, sf)
+    fused, first, _ = _fused(spark, sf)
     return search.adaptive(first.where("rank <= 50"), fused, 1.0).where("rank <= 5")
 
 
 @query(_BM25 + """, td AS (SELECT query, term, count(*) AS c FROM bk JOIN tf USING (doc) WHERE rank <= 3 GROUP BY ALL HAVING count(*) >= 2)
 SELECT query, term, df FROM td JOIN dfs USING (term), st WHERE df <= 0.4 * n AND NOT EXISTS (SELECT 1 FROM qt WHERE qt.query = td.query AND qt.term = td.term) QUALIFY row_number() OVER (PARTITION BY query ORDER BY df, term) <= 6""")
 def expansion_terms(spark, sf):
-    index, df, terms, n, average = _lexicon(spark, sf)
-    top = search.ranked(search.bm25(index, terms, n, average), 3)
-    own = table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    return search.expansion_terms(top, index, own, df, n)
+    docs, df, terms, n, average = _lexicon(spark, sf)
+    top = search.ranked(search.bm25(search.postings(docs, terms), terms, search.okapi_idf(df, n), average), 3)
+    return search.expansion_terms(top, docs, terms, df, n)
 
 
-_SETS = """WITH q AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS b FROM documents)"""
+_SETS = """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS b FROM documents)"""
 
 
-@query(_SETS + " SELECT doc_id, round(len(list_intersect(a, b)) / len(a), 4) AS containment, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0 END, 4) AS overlap FROM d, q")
+@query(_SETS + " SELECT item_id, doc_id, round(len(list_intersect(a, b)) / len(a), 4) AS containment, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0 END, 4) AS overlap FROM d, q")
 def containment_overlap(spark, sf):
+    """Items divisible by 100, a stated query set, against all documents."""
     words = F.array_distinct(tx.tokens(F.col("text")))
-    q = table(spark, sf, "benchmark").where("item_id = 0").select(words.alias("a"))  # one row
-    d = table(spark, sf, "documents").select("doc_id", words.alias("b")).join(F.broadcast(q))
-    return d.select("doc_id", r4(grounding.containment(F.col("a"), F.col("b")), "containment"), r4(grounding.overlap_coefficient(F.col("a"), F.col("b")), "overlap"))
+    q = table(spark, sf, "benchmark").where("item_id % 100 = 0").select("item_id", words.alias("a"))
+    d = _documents(spark, sf).select("doc_id", words.alias("b")).join(q)
+    return d.select("item_id", "doc_id", r4(grounding.containment(F.col("a"), F.col("b")), "containment"), r4(grounding.overlap_coefficient(F.col("a"), F.col("b")), "overlap"))
 
 
 @query("""WITH k(label, keyword) AS (VALUES ('cause', 'the'), ('cause', 'that'), ('place', 'in'), ('way', 'with the'), ('way', 'by')), h AS (SELECT doc_id, label, sum(len(string_split(keyword, ' '))) AS m FROM documents, k WHERE regexp_matches(lower(text), '(^|[^a-z0-9_])' || keyword) GROUP BY ALL)
@@ -317,10 +341,12 @@ def token_estimates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.estimated_tokens(F.col("text")).alias("tokens"), F.length("text").alias("chars"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(text), '[.,;:!?''\"()-]', '', 'g') AS plain, upper(text) AS loud FROM documents WHERE lang = 'en'")
+@query("""WITH d AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM documents)
+SELECT doc_id, regexp_replace(lower(text), '[.,;:!?''"()-]', '', 'g') AS plain, upper(replace(text, 'ß', 'ss')) AS loud, array_to_string(list_slice(w, 1, greatest(1, floor(len(w) * 0.6)::INT)), ' ') AS cut, 'hi there, ' || text || ' thanks in advance' AS noisy,
+  array_to_string(list_transform(w, lambda x: CASE WHEN length(x) >= 4 AND substr(md5(x), 1, 1) < '4' THEN left(x, 1) || substr(x, 3, 1) || substr(x, 2, 1) || substr(x, 4) ELSE x END), ' ') AS typos FROM d""")
 def perturbed_texts(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    return d.select("doc_id", tx.perturbed(F.col("text"), "lower_no_punctuation").alias("plain"), tx.perturbed(F.col("text"), "upper").alias("loud"))
+    kinds = {"plain": "lower_no_punctuation", "loud": "upper", "cut": "truncated", "noisy": "noise", "typos": "typos"}
+    return _documents(spark, sf).select("doc_id", *[tx.perturbed(F.col("text"), kind).alias(name) for name, kind in kinds.items()])
 
 
 @query()
@@ -330,7 +356,7 @@ def normalize_text(spark, sf):
 
 @query()
 def redact_pii(spark, sf):
-    return tx.redacted(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "redacted.text", "redacted.counts")
+    return tx.redacted(_documents(spark, sf), "text").select("doc_id", "redacted.text", "redacted.counts")
 
 
 @query()

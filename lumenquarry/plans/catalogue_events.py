@@ -197,10 +197,11 @@ def array_anti_join(spark, sf):
     return relational.anti_join_members(table(spark, sf, "customer").select("c_custkey"), "c_custkey", groups, "members")
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 100 = 0) SELECT a.l_orderkey AS left_id, b.l_orderkey AS right_id, count(*) AS shared FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey GROUP BY ALL HAVING count(*) >= 2""")
+@query("""WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_orderkey AS left_id, b.l_orderkey AS right_id, count(*) AS shared FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey % 100 = 0 AND a.l_orderkey <> b.l_orderkey GROUP BY ALL HAVING count(*) >= 2""")
 def array_overlap_join(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_orderkey % 100 = 0").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
-    return relational.overlapping(s, "l_orderkey", s, "l_orderkey", "suppliers").where("left_id < right_id and shared >= 2")
+    """Orders divisible by 100, a stated query set, against all orders."""
+    s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
+    return relational.overlapping(s.where("l_orderkey % 100 = 0"), "l_orderkey", s, "l_orderkey", "suppliers").where("left_id <> right_id and shared >= 2")
 
 
 @query("""WITH s AS (SELECT l_orderkey, list_distinct(list(l_partkey) FILTER (WHERE l_linenumber <= 3)) AS o, list_distinct(list(l_partkey) FILTER (WHERE l_linenumber >= 2)) AS n FROM lineitem GROUP BY 1)

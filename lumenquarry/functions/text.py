@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 SUFFIXES = ["ing", "ed", "ly", "es", "s"]
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 IPV4 = "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}"
-INJECTION = "(?i)(ignore (all |any )?(previous|prior|above) instructions|disregard the (above|system)|you are now|system prompt|reveal your)"
 
 
 def tokens(text: Column) -> Column:
@@ -74,16 +73,23 @@ def perturbed(text: Column, kind: str) -> Column:
     }[kind]
 
 
-_TAG, _CONTROL, _BLANK = re.compile(r"<[^>]+>"), re.compile(r"[\x00-\x1f\x7f]"), re.compile(r"\s+")
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤⁦-⁯﻿]")
+_MARKUP = re.compile(r"<[^>]+>")
+
+
+def _shown(c: str) -> str:
+    """A character as a reader sees it: nothing for format characters (soft hyphens, zero widths, directions), a blank for controls."""
+    kind = unicodedata.category(c)
+    return "" if kind == "Cf" else " " if kind == "Cc" else c
 
 
 def normalise(text: str | None) -> str | None:
-    """NFKC, tags out, entities decoded, invisible and control characters out, blanks collapsed."""
+    """Compatibility forms composed, markup out, entities decoded, then characters as they are shown, with single blanks."""
     if text is None:
         return None
-    out = html.unescape(_TAG.sub(" ", unicodedata.normalize("NFKC", text)))
-    return _BLANK.sub(" ", _CONTROL.sub(" ", _INVISIBLE.sub("", out))).strip()
+    plain = html.unescape(_MARKUP.sub(" ", unicodedata.normalize("NFKC", text)))
+    if not plain.isascii() or not plain.isprintable():
+        plain = "".join(map(_shown, plain))
+    return " ".join(plain.split())
 
 
 # What is redacted, in this order.
@@ -91,8 +97,8 @@ PII = [
     ("EMAIL", re.compile(EMAIL)),
     ("CARD", re.compile(r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])")),
     ("ACCOUNT_ID", re.compile(r"(?i)\b(?:account|acct|customer)[ _-]?(?:id|no|number)?[ :#]*[0-9]{5,12}\b")),
-    ("NATIONAL_ID", re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")),
-    ("IP", re.compile(r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b")),
+    ("NATIONAL_ID", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("IP", re.compile(rf"(?<![\w.]){IPV4}(?![\w]|\.[0-9])")),
     ("PHONE", re.compile(r"(?<![0-9.])\+?[0-9(][0-9 ()./-]{7,}[0-9](?![0-9])")),
 ]
 
@@ -102,14 +108,23 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _counts(kind: str, found: str) -> bool:
+    """Whether what a pattern found is of its kind: check digits, how many digits, or numbers that fit a byte."""
+    digits = re.sub(r"[^0-9]", "", found)
+    if kind == "CARD":
+        return 13 <= len(digits) <= 19 and _luhn(digits)
+    if kind == "IP":
+        return all(int(x) < 256 for x in found.split("."))
+    return kind != "PHONE" or 9 <= len(digits) <= 15
+
+
 def redact(text: str | None) -> tuple[str | None, dict[str, int]]:
     """The text with personal data replaced, and how often each kind was found."""
     counts: dict[str, int] = {}
     for kind, pattern in PII if text else ():
 
         def put(m: re.Match, kind: str = kind) -> str:
-            digits = re.sub(r"[^0-9]", "", m[0])
-            if kind == "CARD" and not (13 <= len(digits) <= 19 and _luhn(digits)) or kind == "PHONE" and not 9 <= len(digits) <= 15:
+            if not _counts(kind, m[0]):
                 return m[0]
             counts[kind] = counts.get(kind, 0) + 1
             return f"[{kind}]"
@@ -128,11 +143,15 @@ def normalised(df: DataFrame, column: str, to: str = "normalised") -> DataFrame:
 
 
 def redacted(df: DataFrame, column: str, to: str = "redacted") -> DataFrame:
-    """Adds struct ``to`` of text and counts (a map)."""
+    """Adds struct ``to`` of text and counts (a map). Texts with neither an @ nor a run of digits don't reach Python."""
 
     @F.pandas_udf("text string, counts map<string,int>")
     def run(s: pd.Series) -> pd.DataFrame:
         rows = [redact(x) for x in s]
         return pd.DataFrame({"text": [r[0] for r in rows], "counts": [r[1] for r in rows]})
 
-    return df.withColumn(to, run(column))
+    # Every kind has an @, or a digit before four or more digits and signs.
+    some = F.col(column).rlike("@|[0-9][0-9 ()./+-]{4,}")
+    found = run(F.when(some, F.col(column)))
+    none = F.struct(F.col(column).alias("text"), F.expr("cast(map() as map<string,int>)").alias("counts"))
+    return df.withColumn(to, F.when(some, found).otherwise(none))

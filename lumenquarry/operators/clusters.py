@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-#: Rows that one agglomerative call takes; above this use threshold_components().
+#: Rows that one agglomerative call takes; larger groups are for threshold_components().
 LARGEST = 2000
 
 
 def average_linkage(df: DataFrame, key: str, vector: str, group: str, cut: float = 0.55) -> DataFrame:
     """(group, key, cluster): average linkage by cosine distance within each group; cluster is its smallest key.
 
-    A group holds the rows of one bounded window; a larger one than LARGEST is an error, never cut.
+    A group holds the rows of one bounded window; a larger one than LARGEST is an error, never cut: its clusters are those of
+    threshold_components().
     """
     import numpy as np
     import pandas as pd
@@ -46,6 +47,59 @@ def average_linkage(df: DataFrame, key: str, vector: str, group: str, cut: float
     return df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v")).groupBy("g").applyInPandas(run, "group bigint, key bigint, cluster bigint")
 
 
+def threshold_components(df: DataFrame, key: str, vector: str, group: str, cut: float = 0.55, block: int = 2000) -> DataFrame:
+    """(group, key, cluster): rows of a group that chains of pairs within cosine distance ``cut`` join; cluster is the smallest key.
+
+    For groups of any size: rows are dealt to blocks of about ``block``, each pair of blocks is one task's matrix product, and only
+    a spanning forest of its links comes out. Rows with a null key or vector are left out; a repeated key is one row.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.select(F.col(group).alias("g"), F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null")
+    rows = rows.groupBy("g", "k").agg(F.first("v").alias("v")).checkpoint()
+    counts = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = rows.withColumn("g0", F.col("g")).join(counts.withColumnRenamed("g", "h"), F.col("g0").eqNullSafe(F.col("h")))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    # Block b meets the blocks from itself on: (i, j) with i <= j.
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
+    sides = dealt.select("g", "k", "v", "b", F.explode(meets).alias("m")).select("g", "k", "v", "b", "m.i", "m.j")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(pdf["v"].tolist(), np.float32)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        k, left = pdf["k"].to_numpy(), (pdf["b"] == pdf["i"]).to_numpy()
+        x, y = np.flatnonzero(left), np.flatnonzero(~left) if (pdf["i"] != pdf["j"]).any() else np.arange(len(k))
+        a, b = np.nonzero(v[x] @ v[y].T >= 1 - cut - 1e-6) if len(x) and len(y) else ((), ())
+        root = dict(zip(k.tolist(), k.tolist(), strict=True))
+
+        def find(z: int) -> int:
+            while root[z] != z:
+                root[z] = z = root[root[z]]
+            return z
+
+        for p, q in zip(k[x[list(a)]].tolist() if len(a) else [], k[y[list(b)]].tolist() if len(b) else [], strict=True):
+            p, q = find(p), find(q)
+            root[max(p, q)] = min(p, q)
+        out = [(z, find(z)) for z in root if find(z) != z]
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(out), "u": [z for z, _ in out], "v": [r for _, r in out]})
+
+    kind = df.schema[group].dataType.simpleString()
+    edges = sides.groupBy("g", "i", "j").applyInPandas(links, f"g {kind}, u bigint, v bigint")
+    edges = edges.unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    labels = rows.select("g", "k", F.col("k").alias("cluster"))
+    same = lambda a, b: F.col(f"{a}.g").eqNullSafe(F.col(f"{b}.g"))
+    while True:
+        near = edges.alias("e").join(labels.alias("l"), same("e", "l") & (F.col("e.v") == F.col("l.k"))).groupBy("e.g", "e.u").agg(F.min("l.cluster").alias("m"))
+        new = labels.alias("l").join(near.alias("n"), same("l", "n") & (F.col("l.k") == F.col("n.u")), "left")
+        new = new.select(F.col("l.g").alias("g"), F.col("l.k").alias("k"), F.col("l.cluster").alias("old"), F.least("l.cluster", F.coalesce("n.m", "l.cluster")).alias("cluster"))
+        jump = new.alias("a").join(new.alias("b"), same("a", "b") & (F.col("a.cluster") == F.col("b.k")))
+        jump = jump.select(F.col("a.g").alias("g"), F.col("a.k").alias("k"), F.col("a.old").alias("old"), F.col("b.cluster").alias("cluster")).checkpoint()
+        labels = jump.drop("old")
+        if not jump.where("old <> cluster").head(1):
+            return labels.select(F.col("g").alias("group"), F.col("k").alias("key"), "cluster")
+
+
 def keywords(docs: DataFrame, cluster: str, text: str, k: int = 8) -> DataFrame:
     """(cluster, term, weight, rank): class-based tf-idf with 1 + ln(tf) and ln((1 + n) / (1 + df)) + 1, n the number of clusters."""
     t = docs.select(F.col(cluster).alias("cluster"), F.explode(tokens(F.col(text))).alias("term")).where("length(term) > 2")

@@ -117,3 +117,52 @@ def report(df: DataFrame, categories: list[str], value: str, alpha: float = 0.01
     enough = (F.col("nr") >= least_rows) & (F.col("nb") >= least_rows)
     alert = F.col("survives") & (F.col("effect") >= 0.1) & enough
     return out.select("signal", "statistic", "p", "effect", "survives", alert.alias("alert"), F.when(~enough, "insufficient_data").when(F.max(alert.cast("int")).over(Window.partitionBy(F.lit(1))) == 1, "alert").otherwise("ok").alias("status"))
+
+
+def _proportion_p(a: int, b: int, na: int, nb: int, exact_below: float) -> float:
+    """Two-sided p of two proportions: Fisher's exact test where an expected count is small, else z; 1 where nothing can differ."""
+    n, both = na + nb, a + b
+    if not na or not nb or both in (0, n):
+        return 1.0
+    if min(both, n - both) * min(na, nb) / n < exact_below:
+        return stats.fisher_exact(a, na - a, b, nb - b)
+    pool = both / n
+    return stats.normal_two_sided((b / nb - a / na) / (pool * (1 - pool) * (1 / na + 1 / nb)) ** 0.5)
+
+
+def category_tests(df: DataFrame, category: str, recent: str, exact_below: float = 10.0) -> DataFrame:
+    """(category, a, b, p, dimension_p): a test of each category's share, and one for all: min(1, k times the least p) of k categories.
+
+    Only counts by category reach Python. Null and '' are 'unknown'; a null side counts as baseline.
+    """
+    sided = df.withColumn("side", F.when(F.col(recent), "recent").otherwise("baseline"))
+    every = Window.partitionBy(F.lit(1))
+    t = counts(sided, category).withColumns({"na": F.sum("a").over(every), "nb": F.sum("b").over(every), "k": F.count("*").over(every)})
+
+    @F.pandas_udf("double")
+    def p(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        return pd.Series([_proportion_p(int(w), int(x), int(y), int(z), exact_below) for w, x, y, z in zip(a, b, na, nb, strict=True)])
+
+    t = t.withColumn("p", p("a", "b", "na", "nb"))
+    return t.withColumn("dimension_p", F.least(F.lit(1.0), F.col("k") * F.min("p").over(every))).select("category", "a", "b", "p", "dimension_p")
+
+
+def over_representation(df: DataFrame, cluster: str, recent: str, least: float = 2.0, level: float = 0.05, surge: float = 0.15) -> DataFrame:
+    """(cluster, size, recent, enrichment, p, kind): clusters that hold more recent rows than chance gives, by the hypergeometric tail.
+
+    p is weighted by cluster size (Bonferroni: p times all rows over the cluster's rows). kind is ``new_topic`` where baseline rows are
+    at most ``surge`` of the cluster, ``surge`` for others that pass ``level`` and ``least``, else null.
+    """
+    every = Window.partitionBy(F.lit(1))
+    t = df.groupBy(cluster).agg(F.count("*").alias("size"), F.count_if(F.col(recent)).alias("recent"))
+    t = t.withColumns({"n": F.sum("size").over(every), "m": F.sum("recent").over(every)})
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, n: pd.Series, m: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([stats.hypergeom_sf(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(k, n, m, size, strict=True)])
+
+    p = F.least(F.lit(1.0), tail("recent", "n", "m", "size") * F.col("n") / F.col("size"))
+    t = t.withColumn("enrichment", F.col("recent") / F.col("size") / (F.col("m") / F.col("n"))).withColumn("p", p)
+    passes = (F.col("p") < level) & (F.col("enrichment") >= least)
+    kind = F.when(passes & (F.col("size") - F.col("recent") <= surge * F.col("size")), "new_topic").when(passes, "surge")
+    return t.select(cluster, "size", "recent", "enrichment", "p", kind.alias("kind"))

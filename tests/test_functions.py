@@ -61,3 +61,40 @@ def test_top_k_against_brute_force(spark):
         cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
         best = sorted((-round(cos(rows[q][1], v), 12), i) for i, v in rows if i != q)[:7]
         assert [round(cos(rows[q][1], rows[got[q, k + 1]][1]), 9) for k in range(7)] == [round(-s, 9) for s, _ in best]
+
+
+def test_small_samples(spark):
+    from math import comb
+
+    from lumenquarry.operators import drift
+
+    rows = [("a", False)] * 9 + [("a", True)] * 1 + [("b", False)] * 3 + [("b", True)] * 7 + [(None, None)] * 2
+    got = {r.category: r for r in drift.category_tests(spark.createDataFrame(rows, "c string, recent boolean"), "c", "recent").collect()}
+    tables = {k: comb(8, k) * comb(14, 10 - k) / comb(22, 10) for k in range(9)}
+    assert got["b"].p == pytest.approx(sum(p for p in tables.values() if p <= tables[7] * (1 + 1e-9)))
+    assert (got["a"].a, got["a"].b, got["unknown"].a) == (9, 1, 2) and got["a"].dimension_p == pytest.approx(3 * min(r.p for r in got.values()))
+    cells = [(1, i < 9) for i in range(10)] + [(2, i < 1) for i in range(90)]
+    out = {r.c: r for r in drift.over_representation(spark.createDataFrame(cells, "c int, recent boolean"), "c", "recent").collect()}
+    assert out[1].kind == "new_topic" and out[1].enrichment == pytest.approx(9) and out[2].kind is None
+    tail = sum(comb(10, k) * comb(90, 10 - k) for k in (9, 10)) / comb(100, 10)
+    assert out[1].p == pytest.approx(10 * tail)
+
+
+def test_threshold_components_against_brute_force(spark):
+    from lumenquarry.operators.clusters import threshold_components
+
+    r = random.Random(5)
+    rows = [(g, i, [r.gauss(0, 1) for _ in range(3)]) for g in (1, None) for i in range(150)] + [(2, None, [1.0, 0.0, 0.0]), (2, 7, [1.0, 0.0, 0.0])]
+    got = {(x.group, x.key): x.cluster for x in threshold_components(spark.createDataFrame(rows, "g int, k bigint, v array<double>"), "k", "v", "g", cut=0.02, block=40).collect()}
+    for g in (1, None):
+        v = {k: [x / sum(y * y for y in vec) ** 0.5 for x in vec] for h, k, vec in rows if h == g}
+        seen = {}
+        for k in sorted(v):
+            todo = [] if k in seen else [k]
+            while todo:
+                a = todo.pop()
+                if a not in seen:
+                    seen[a] = k
+                    todo += [b for b in v if sum(x * y for x, y in zip(v[a], v[b], strict=True)) >= 0.98 - 1e-6]
+        assert {k: got[g, k] for k in v} == seen
+    assert got[2, 7] == 7

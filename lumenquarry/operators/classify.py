@@ -57,3 +57,21 @@ def combined_affect(cues: DataFrame, key: str, weights: list[list[float]], inter
     out = cues.withColumn("z", F.array(*scores)).withColumn("top", F.array_max("z")).withColumn("e", F.transform("z", lambda z: F.exp(z - F.col("top"))))
     out = out.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     return out.select(F.col(key).alias("key"), F.posexplode("e").alias("i", "e"), "total").select("key", F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("i") + 1).alias("label"), (F.col("e") / F.col("total")).alias("p"))
+
+
+def affect_training(rows: DataFrame, cues: str, label: str, c: float = 2.0, iterations: int = 200) -> tuple[list[str], list[list[float]], list[float]]:
+    """(classes, weights, intercepts) for combined_affect(): a multinomial logistic regression with balanced class weights.
+
+    The penalty is half the squared weights over ``c``, for summed losses. Spark fits it over all rows; only the model, of classes times
+    cues, comes to the driver. Rows without cues or label are left out.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    t = rows.where(F.col(cues).isNotNull() & F.col(label).isNotNull()).select(F.col(cues).cast("array<double>").alias("x"), F.col(label).cast("string").alias("name"))
+    counts = t.groupBy("name").agg(F.count("*").alias("n")).orderBy("name").collect()  # one row for each class
+    classes, n = [r["name"] for r in counts], sum(r["n"] for r in counts)
+    known = F.create_map(*[F.lit(z) for i, r in enumerate(counts) for z in (r["name"], F.struct(F.lit(float(i)).alias("label"), F.lit(n / (len(counts) * r["n"])).alias("weight")))])
+    t = t.select(array_to_vector("x").alias("features"), F.element_at(known, F.col("name")).alias("k")).select("features", "k.label", "k.weight")
+    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=iterations, tol=1e-9).fit(t)
+    return classes, model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist()

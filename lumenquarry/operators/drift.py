@@ -35,21 +35,23 @@ def chi2(table: DataFrame, least: float = 5.0) -> DataFrame:
     """(statistic, dof): homogeneity, with categories expected under ``least`` times in the smaller window pooled."""
     every = Window.partitionBy(F.lit(1))
     t = table.withColumns({"na": F.sum("a").over(every), "nb": F.sum("b").over(every)})
-    small = (F.col("a") + F.col("b")) * F.least("na", "nb") / (F.col("na") + F.col("nb")) < least
+    small = (F.col("a") + F.col("b")) * F.least("na", "nb") < least * (F.col("na") + F.col("nb"))
     pooled = t.groupBy(F.when(small, "(other)").otherwise(F.col("category")).alias("category"), "na", "nb").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n, row = F.col("na") + F.col("nb"), F.col("a") + F.col("b")
     ea, eb = row * F.col("na") / n, row * F.col("nb") / n
-    part = (F.col("a") - ea) * (F.col("a") - ea) / ea + (F.col("b") - eb) * (F.col("b") - eb) / eb
+    # Nothing is expected of a window without rows.
+    square = lambda x, e: F.coalesce(F.try_divide((F.col(x) - e) * (F.col(x) - e), e), F.lit(0.0))
+    part = square("a", ea) + square("b", eb)
     return pooled.agg(F.sum(part).alias("statistic"), (F.count("*") - 1).alias("dof"))
 
 
 def proportion_z(table: DataFrame) -> DataFrame:
-    """(category, a, b, delta, z): pooled two-proportion statistics of each category; null where the variance is 0."""
+    """(category, a, b, delta, z): pooled two-proportion statistics of each category; null where the variance is 0 or a window is empty."""
     every = Window.partitionBy(F.lit(1))
     t = table.withColumns({"na": F.sum("a").over(every), "nb": F.sum("b").over(every)})
     pool = (F.col("a") + F.col("b")) / (F.col("na") + F.col("nb"))
-    se = F.sqrt(pool * (1 - pool) * (1 / F.col("na") + 1 / F.col("nb")))
-    delta = F.col("b") / F.col("nb") - F.col("a") / F.col("na")
+    se = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), "na") + F.try_divide(F.lit(1.0), "nb")))
+    delta = F.try_divide("b", "nb") - F.try_divide("a", "na")
     return t.select("category", "a", "b", delta.alias("delta"), F.when(se > 0, delta / se).alias("z"))
 
 
@@ -70,15 +72,15 @@ def ks(df: DataFrame, value: str) -> DataFrame:
     totals = ranged.groupBy("part").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     outer = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumns({"ba": F.coalesce(F.sum("ta").over(outer), F.lit(0)), "bb": F.coalesce(F.sum("tb").over(outer), F.lit(0)), "na": F.sum("ta").over(Window.partitionBy(F.lit(1))), "nb": F.sum("tb").over(Window.partitionBy(F.lit(1)))})
-    gap = F.abs((F.col("ca") + F.col("ba")) / F.col("na") - (F.col("cb") + F.col("bb")) / F.col("nb"))
+    gap = F.abs(F.try_divide(F.col("ca") + F.col("ba"), F.col("na")) - F.try_divide(F.col("cb") + F.col("bb"), F.col("nb")))
     return local.join(before, "part").agg(F.max(gap).alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
 
 
 def jensen_shannon(table: DataFrame) -> DataFrame:
-    """(js): base-2 divergence of the two windows' shares."""
+    """(js): base-2 divergence of the two windows' shares; null where a window is empty."""
     every = Window.partitionBy(F.lit(1))
-    t = table.select((F.col("a") / F.sum("a").over(every)).alias("p"), (F.col("b") / F.sum("b").over(every)).alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
-    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / F.col("m"))).otherwise(0.0)
+    t = table.select(F.try_divide(F.col("a"), F.sum("a").over(every)).alias("p"), F.try_divide(F.col("b"), F.sum("b").over(every)).alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / F.col("m"))).when(F.col(x) == 0, 0.0)
     return t.agg(((F.sum(part("p")) + F.sum(part("q"))) / 2).alias("js"))
 
 
@@ -166,3 +168,17 @@ def over_representation(df: DataFrame, cluster: str, recent: str, least: float =
     passes = (F.col("p") < level) & (F.col("enrichment") >= least)
     kind = F.when(passes & (F.col("size") - F.col("recent") <= surge * F.col("size")), "new_topic").when(passes, "surge")
     return t.select(cluster, "size", "recent", "enrichment", "p", kind.alias("kind"))
+
+
+def dimension_test(df: DataFrame, category: str, recent: str, exact_below: float = 10.0) -> DataFrame:
+    """(omnibus_p, category_p, k, p): chi-square over all categories, the least p of single ones, and both combined. One row."""
+    from .assess import combined_p
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([stats.chi2_sf(a, int(b)) if pd.notna(a) and b > 0 else 1.0 for a, b in zip(x, dof, strict=True)])
+
+    sided = df.withColumn("side", F.when(F.col(recent), "recent").otherwise("baseline"))
+    one = chi2(counts(sided, category)).select(tail("statistic", "dof").alias("omnibus_p"))
+    two = category_tests(df, category, recent, exact_below).agg(F.min("p").alias("category_p"), F.count("*").alias("k"))
+    return one.join(two).select("omnibus_p", "category_p", "k", combined_p(F.col("omnibus_p"), F.col("category_p"), F.col("k")).alias("p"))

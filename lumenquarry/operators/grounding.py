@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..functions.vectors import cosine
+from .review import invented
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -27,11 +29,24 @@ def citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     return flat.join(known, (F.col("answer") == F.col("a")) & (F.lower("cited") == F.lower("source")), "left").select("answer", "cited", "source")
 
 
-def grounded_steps(steps: DataFrame, units: DataFrame, least: float = 0.75) -> DataFrame:
-    """(answer, step, support, grounded): the best containment of a step in any of its answer's cited units."""
-    pairs = steps.select("answer", "step", tokens(F.col("text")).alias("a")).join(units.select(F.col("answer").alias("u"), tokens(F.col("text")).alias("b")), F.col("answer") == F.col("u"), "left")
-    best = pairs.groupBy("answer", "step").agg(F.max(containment(F.col("a"), F.coalesce("b", F.expr("cast(array() as array<string>)")))).alias("support"))
-    return best.withColumn("grounded", F.col("support") >= least)
+def grounded_steps(steps: DataFrame, units: DataFrame, least: float = 0.75, near: float = 0.45, cited: DataFrame | None = None) -> DataFrame:
+    """(answer, step, support, similarity, invented, grounded): a step is grounded if the units of its sources hold enough of its tokens, or
+    one of them is near in meaning, and it states nothing specific that they lack.
+
+    steps: (answer, step, text), units: (answer, text); both may have a column ``vector``. With ``cited`` (answer, step, source), units
+    have a source, and only those of a step's own citations count; else all of its answer's. An answer's units are what was retrieved
+    for it, a list of bounded length. A step without units has support and similarity 0.
+    """
+    vectors = "vector" in steps.columns and "vector" in units.columns
+    of = ["answer"]
+    if cited is not None:
+        units, of = cited.select("answer", "step", "source").distinct().join(units, ["answer", "source"]), ["answer", "step"]
+    parts = F.sort_array(F.collect_list(F.coalesce("text", F.lit(""))))
+    known = units.groupBy(*of).agg(F.array_join(parts, " ").alias("known"), *([F.collect_list("vector").alias("near_to")] if vectors else []))
+    rows = steps.join(known, of, "left").withColumn("known", F.coalesce("known", F.lit("")))
+    similarity = F.coalesce(F.array_max(F.transform("near_to", lambda v: cosine(F.col("vector"), v))), F.lit(0.0)) if vectors else F.lit(0.0)
+    rows = rows.select("answer", "step", containment(tokens(F.col("text")), tokens(F.col("known"))).alias("support"), F.greatest(similarity, F.lit(0.0)).alias("similarity"), F.size(invented(F.col("text"), F.col("known"))).alias("invented"))
+    return rows.withColumn("grounded", ((F.col("support") >= least) | (F.col("similarity") >= near)) & (F.col("invented") == 0))
 
 
 def validation(grounded: DataFrame, least_ratio: float = 0.6) -> DataFrame:
@@ -51,19 +66,31 @@ def policy(confidence: Column, ratio: Column, valid: Column, sufficient: Column,
 
 def lineage(retrieved: DataFrame, selected: DataFrame, cited: DataFrame) -> DataFrame:
     """(answer, from, to, kind): edges query -> source -> evidence -> step. Each frame has answer and source, cited also step."""
-    a = retrieved.select("answer", F.lit("query").alias("from"), F.col("source").alias("to"), F.lit("retrieved").alias("kind"))
-    b = selected.select("answer", F.col("source").alias("from"), F.lit("evidence").alias("to"), F.lit("selected").alias("kind"))
-    c = cited.select("answer", F.col("source").alias("from"), F.col("step").cast("string").alias("to"), F.lit("cited").alias("kind"))
+    a = retrieved.select("answer", F.lit("query").alias("from"), F.col("source").cast("string").alias("to"), F.lit("retrieved").alias("kind"))
+    b = selected.select("answer", F.col("source").cast("string").alias("from"), F.lit("evidence").alias("to"), F.lit("selected").alias("kind"))
+    c = cited.select("answer", F.col("source").cast("string").alias("from"), F.col("step").cast("string").alias("to"), F.lit("cited").alias("kind"))
     return a.unionByName(b).unionByName(c)
 
 
-def broken_lineage(edges: DataFrame) -> DataFrame:
-    """(answer, source, check): sources selected or cited without having been retrieved or selected."""
-    got = edges.where("kind = 'retrieved'").select("answer", F.col("to").alias("source"))
-    chosen = edges.where("kind = 'selected'").select("answer", F.col("from").alias("source"))
-    cited = edges.where("kind = 'cited'").select("answer", F.col("from").alias("source"))
-    one = chosen.join(got, ["answer", "source"], "left_anti").withColumn("check", F.lit("selected_not_retrieved"))
-    return one.unionByName(cited.join(chosen, ["answer", "source"], "left_anti").withColumn("check", F.lit("cited_not_selected")))
+def broken_lineage(edges: DataFrame, steps: DataFrame | None = None, invalid: DataFrame | None = None) -> DataFrame:
+    """(answer, source, check): sources selected without having been retrieved, cited without having been retrieved or selected; cited by a
+    step that isn't there (with ``steps``: answer, step); or cited though found invalid (with ``invalid``: answer, source)."""
+    got = edges.where("kind = 'retrieved'").select("answer", F.col("to").alias("source")).distinct()
+    chosen = edges.where("kind = 'selected'").select("answer", F.col("from").alias("source")).distinct()
+    ends = edges.where("kind = 'cited'").select("answer", F.col("from").alias("source"), F.col("to").alias("step"))
+    cited = ends.select("answer", "source").distinct()
+    both = ["answer", "source"]
+    found = [(chosen.join(got, both, "left_anti"), "selected_not_retrieved"), (cited.join(got, both, "left_anti"), "cited_not_retrieved"), (cited.join(chosen, both, "left_anti"), "cited_not_selected")]
+    if invalid is not None:
+        found.append((cited.join(invalid.select("answer", F.col("source").cast("string").alias("source")), both, "left_semi"), "invalid_citation_survived"))
+    if steps is not None:
+        known = steps.select("answer", F.col("step").cast("string").alias("step"))
+        found.append((ends.join(known, ["answer", "step"], "left_anti").select(*both).distinct(), "step_missing"))
+    out = None
+    for rows, check in found:
+        rows = rows.withColumn("check", F.lit(check))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def case_diff(old: DataFrame, new: DataFrame, key: str, items: str, fields: list[str]) -> DataFrame:

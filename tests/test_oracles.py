@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lumenquarry.plans import catalogue, catalogue_events, catalogue_more, catalogue_review  # noqa: F401
+from lumenquarry.plans import catalogue, catalogue_assess, catalogue_events, catalogue_more, catalogue_review  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

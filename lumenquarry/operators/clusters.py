@@ -100,16 +100,48 @@ def threshold_components(df: DataFrame, key: str, vector: str, group: str, cut:
             return labels.select(F.col("g").alias("group"), F.col("k").alias("key"), "cluster")
 
 
-def keywords(docs: DataFrame, cluster: str, text: str, k: int = 8) -> DataFrame:
-    """(cluster, term, weight, rank): class-based tf-idf with 1 + ln(tf) and ln((1 + n) / (1 + df)) + 1, n the number of clusters."""
-    t = docs.select(F.col(cluster).alias("cluster"), F.explode(tokens(F.col(text))).alias("term")).where("length(term) > 2")
-    tf = t.groupBy("cluster", "term").agg(F.count("*").alias("tf"))
+def keyword_weights(docs: DataFrame, cluster: str, text: str, grams: int = 1, stop: list[str] | None = None, background: DataFrame | None = None) -> DataFrame:
+    """(cluster, term, weight): class-based tf-idf with 1 + ln(tf) and ln((1 + n) / (1 + df)) + 1, n the number of clusters.
+
+    Terms are tokens of three characters or more that aren't in ``stop``, with ``grams`` 2 also pairs of neighbours among them (within a
+    text). A ``background`` with the same text column counts as one more cluster, whose own terms aren't returned. Null texts have no
+    terms; a null cluster is one like any other.
+    """
+    words = F.filter(tokens(F.col(text)), lambda t: (F.length(t) > 2) & ~t.isin(stop) if stop else F.length(t) > 2)
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w") + 1), lambda x, y: F.concat_ws(" ", x, y))
+    rows = docs.select(F.col(cluster).alias("cluster"), F.lit(False).alias("known"), F.col(text))
+    if background is not None:
+        rows = rows.unionByName(background.select(F.lit(None).cast(docs.schema[cluster].dataType).alias("cluster"), F.lit(True).alias("known"), F.col(text)))
+    terms = F.concat("w", pairs) if grams > 1 else F.col("w")
+    t = rows.select("cluster", "known", words.alias("w")).select("cluster", "known", F.explode(terms).alias("term"))
+    tf = t.groupBy("cluster", "known", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count_distinct(cluster).alias("n"))  # one row
+    n = rows.agg(F.count_distinct(F.struct("cluster", "known")).alias("n"))  # one row
     w = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    rows = tf.join(df, "term").join(F.broadcast(n)).select("cluster", "term", w.alias("weight"))
+    return tf.where(~F.col("known")).join(df, "term").join(F.broadcast(n)).select("cluster", "term", w.alias("weight"))
+
+
+def keywords(docs: DataFrame, cluster: str, text: str, k: int = 8, **options) -> DataFrame:
+    """(cluster, term, weight, rank): the k heaviest terms of each cluster, ties by term; options as in keyword_weights()."""
     order = Window.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "term")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return keyword_weights(docs, cluster, text, **options).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def distinct_keywords(docs: DataFrame, cluster: str, text: str, k: int = 8, **options) -> DataFrame:
+    """(cluster, terms): the k heaviest terms of each cluster none of which is part of another, the heaviest first.
+
+    k rounds, each an aggregate that finds every cluster's heaviest term unlike those it has; no cluster's vocabulary comes into one task.
+    """
+    weights = keyword_weights(docs, cluster, text, **options).checkpoint()
+    none = F.expr("cast(array() as array<string>)")
+    chosen = weights.select("cluster").distinct().withColumn("terms", none)
+    for _ in range(k):
+        rows = weights.alias("w").join(chosen.alias("c"), F.col("w.cluster").eqNullSafe(F.col("c.cluster")))
+        fresh = ~F.exists("terms", lambda x: F.contains(x, F.col("term")) | F.contains(F.col("term"), x))
+        best = F.min_by(F.when(fresh, F.col("term")), F.when(fresh, F.struct(-F.round("weight", 9), F.col("term"))))
+        chosen = rows.groupBy(F.col("w.cluster").alias("cluster")).agg(F.first("terms").alias("terms"), best.alias("next"))
+        chosen = chosen.select("cluster", F.concat("terms", F.when(F.col("next").isNotNull(), F.array("next")).otherwise(none)).alias("terms")).checkpoint()
+    return chosen
 
 
 def agreement(df: DataFrame, cluster: str, label: str) -> DataFrame:

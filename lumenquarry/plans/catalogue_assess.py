@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assess, classify, drift, grounding
+from ..operators import assess, classify, clusters, drift, grounding
+from ..operators.search import STOP_WORDS
 from ..sources.files import table
 from ..streaming import events as streams
 from .catalogue import _PAIRS, _dense, query, r4
@@ -240,3 +241,24 @@ def sliding_windows(spark, sf):
     """A day long, every six hours; the streaming form's own function, over a table."""
     w = streams.sliding(_events(spark, sf).select("ts", "value"), "ts", "24 hours", "6 hours", "1 hour", "value")
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", r4("mean", "mean"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query(f"""WITH r AS (SELECT role AS cluster, false AS known, text FROM conversations UNION ALL SELECT NULL, true, text FROM documents),
+w AS (SELECT cluster, known, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({_STOP})) AS w FROM r),
+t AS (SELECT cluster, known, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), f AS (SELECT cluster, known, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT cluster, known FROM r)), k AS (SELECT cluster, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS weight FROM f JOIN d USING (term), n WHERE NOT known)
+SELECT cluster, term, round(weight, 4) AS weight, (row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, term))::INT AS rank FROM k QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, term) <= 8""")
+def ctfidf_bigrams(spark, sf):
+    """Words and pairs that set roles apart from each other and from the documents, which are the background."""
+    docs, known = table(spark, sf, "conversations").select("role", "text"), table(spark, sf, "documents").select("text")
+    return clusters.keywords(docs, "role", "text", grams=2, stop=STOP_WORDS, background=known).withColumn("weight", F.round("weight", 4))
+
+
+@query()
+def distinct_keywords(spark, sf):
+    """The same weights, without terms that hold one another. Tests have a brute-force version."""
+    docs, known = table(spark, sf, "conversations").select("role", "text"), table(spark, sf, "documents").select("text")
+    return clusters.distinct_keywords(docs, "role", "text", grams=2, stop=STOP_WORDS, background=known)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenquarry.operators import assess, classify, drift, grounding
+from lumenquarry.operators import assess, classify, clusters, drift, grounding, search
 from lumenquarry.plans import catalogue_assess
 from lumenquarry.streaming import events as st
 
@@ -104,6 +104,28 @@ def test_extractive_answers_by_brute_force(spark, sf_dir):
         assert got[order] == want
 
 
+def test_distinct_keywords_by_brute_force(spark, sf_dir):
+    got = {r.cluster: r.terms for r in catalogue_assess.distinct_keywords(spark, sf_dir).collect()}
+    docs, known = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", "text"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    weights: dict = {}
+    for r in clusters.keyword_weights(docs, "role", "text", grams=2, stop=search.STOP_WORDS, background=known).collect():
+        weights.setdefault(r.cluster, []).append((-round(r.weight, 9), r.term))
+    assert set(got) == set(weights)
+    for role, rows in weights.items():
+        want: list = []
+        for _, term in sorted(rows):
+            if len(want) < 8 and not any(term in x or x in term for x in want):
+                want.append(term)
+        assert got[role] == want
+
+
+def test_keywords_of_small_and_empty_clusters(spark):
+    d = spark.createDataFrame([("a", "red box"), ("a", None), (None, "box"), ("b", ""), ("b", "of it")], "c string, t string")
+    # In a, red and red box weigh alike and red comes first as a term, so red box is out, and box, which the null cluster has too, follows.
+    assert {r.cluster: r.terms for r in clusters.distinct_keywords(d, "c", "t", 3, grams=2).collect()} == {"a": ["red", "box"], None: ["box"]}
+    assert clusters.distinct_keywords(d.limit(0), "c", "t", 3).count() == 0
+
+
 def _stream(spark, tmp_path, batches, schema):
     folder = tmp_path / "in"
     folder.mkdir()

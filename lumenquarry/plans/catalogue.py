@@ -359,9 +359,11 @@ def redact_pii(spark, sf):
     return tx.redacted(_documents(spark, sf), "text").select("doc_id", "redacted.text", "redacted.counts")
 
 
-@query()
+@query("""WITH t AS (SELECT lang AS cluster, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents), f AS (SELECT cluster, term, count(*) AS tf FROM t WHERE length(term) > 2 GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT lang FROM documents)), k AS (SELECT cluster, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS weight FROM f JOIN d USING (term), n)
+SELECT cluster, term, round(weight, 4) AS weight, (row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, term))::INT AS rank FROM k QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, term) <= 8""")
 def ctfidf_keywords(spark, sf):
-    return clusters.keywords(table(spark, sf, "documents").select("lang", "text"), "lang", "text")
+    return clusters.keywords(table(spark, sf, "documents").select("lang", "text"), "lang", "text").withColumn("weight", F.round("weight", 4))
 
 
 @query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 4) AS mean_chars, max(length(text))::INT AS max_chars FROM conversations GROUP BY 1")

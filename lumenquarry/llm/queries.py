@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, html_text, quality_classifier, quality_rules, secrets, sharding, warc
+from .centroids import clustered
 from .common import table
 from .decontamination import contamination
 from .near_duplicates import near_duplicates
@@ -104,6 +105,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op8_quality_classifier"] = op8_quality_classifier
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+QUERIES["op11_centroid_clustering"] = op11_centroid_clustering
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -140,3 +148,24 @@ e AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars FROM e GROUP BY 1"""
+
+
+def _clustered_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds one after another; list positions stand for components."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: ((p[1] - p[2]) * (p[1] - p[2]))::HUGEINT))"
+    nearest = f"SELECT v.r, v.id, v.x, min(struct_pack(d := {distance}, j := c.j)) AS m FROM v, c{{i}} c GROUP BY 1, 2, 3"
+    floor = "(sum(x[k]) - ((sum(x[k]) % count(*)) + count(*)) % count(*)) // count(*)"
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id AS id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x FROM (SELECT sha256('3:' || coalesce(id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {clusters}))",
+    ]
+    for i in range(rounds):
+        means = f"SELECT j, list(q ORDER BY k) AS x FROM (SELECT m.j AS j, k, {floor} AS q FROM n, unnest(range(1, 65)) t(k) GROUP BY 1, 2) GROUP BY 1"
+        parts.append(f"c{i + 1} AS MATERIALIZED (WITH n AS ({nearest.format(i=i)}), w AS ({means}) SELECT c.j, coalesce(w.x::BIGINT[], c.x) AS x FROM c{i} c LEFT JOIN w ON w.j = c.j)")
+    return f"""WITH {", ".join(parts)}, a AS (SELECT id, m.j AS j, m.d AS d FROM ({nearest.format(i=rounds)})), t AS (SELECT j, sum(d) AS s FROM a GROUP BY 1)
+SELECT a.id AS vec_id, a.j::INT AS cluster, a.d::BIGINT AS distance, t.s::BIGINT AS cluster_inertia, (SELECT sum(s) FROM t)::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a JOIN t USING (j) JOIN c{rounds} c ON c.j = a.j"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustered_sql()

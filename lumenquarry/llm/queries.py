@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, quality_classifier, quality_rules, secrets, sharding, warc
+from . import chat, html_text, quality_classifier, quality_rules, repair, secrets, sharding, warc
 from .centroids import clustered
 from .common import table
 from .decontamination import contamination
@@ -112,6 +112,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op11_centroid_clustering"] = op11_centroid_clustering
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.repaired_all(turns, repair.damaged(turns))
+
+
+QUERIES["op12_conversation_repair"] = op12_conversation_repair
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -169,3 +177,42 @@ SELECT a.id AS vec_id, a.j::INT AS cluster, a.d::BIGINT AS distance, t.s::BIGINT
 
 
 ORACLES["op11_centroid_clustering"] = _clustered_sql()
+
+
+def _repair_sql() -> str:
+    """The program's layers as a recursive query over distinct signatures; CRC-32 from its table of 256 remainders."""
+    step = ", ".join(f"('{x}', '{e}', {q}, {to}, {c})" for x in ("d", *"suaxSUAX") for q, e, to, c in repair.steps(x))
+    inserted = ", ".join(str(x) for x in repair._inserted())
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    one = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    table = "range(256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda v: {one.format('v')})"
+    return f"""WITH RECURSIVE k AS (SELECT {table} AS tab),
+t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_transform(string_split({key}, ''), lambda ch: ord(ch)::BIGINT), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS f FROM conversations, k),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM t, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS c, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM d),
+g AS (SELECT *, body = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(body, 1) NOT IN ('.', '!', '?') AS cut,
+  lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS two FROM o),
+s AS (SELECT *, CASE WHEN blank OR again THEN 'd' ELSE (CASE WHEN c IN ('s', 'u', 'a') THEN CASE WHEN cut THEN upper(c) ELSE c END WHEN cut THEN 'X' ELSE 'x' END) END AS symbol FROM g),
+m AS (SELECT conv_id, string_agg(symbol, '' ORDER BY i) AS sig, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+  count(*) FILTER (WHERE NOT blank AND again) AS duplicate, count(*) FILTER (WHERE NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal FROM s GROUP BY 1),
+cl(q, k, via) AS (VALUES {inserted}), st(symbol, edit, q, goal, cost) AS (VALUES {step}),
+dp AS (SELECT sig, 0 AS i, 0 AS q, 0 AS cost, '' AS audit FROM (SELECT DISTINCT sig FROM m)
+  UNION ALL SELECT sig, i + 1, goal, best.cost, best.audit FROM (
+    SELECT sig, i, goal, min(struct_pack(cost := dp.cost + 2 * cl.k + st.cost, audit := dp.audit || repeat('I', cl.k) || st.edit)) AS best
+    FROM dp JOIN cl ON cl.q = dp.q JOIN st ON st.symbol = substr(sig, i + 1, 1) AND st.q = cl.via WHERE i < length(sig) GROUP BY 1, 2, 3)),
+a AS (SELECT sig, min(struct_pack(cost := cost + 2 * k, audit := audit || repeat('I', k))) AS best FROM dp JOIN cl USING (q) WHERE i = length(sig) AND via IN (0, 3) GROUP BY 1),
+e AS (SELECT conv_id, p, substr(best.audit, p, 1) AS edit, length(replace(substr(best.audit, 1, p), 'I', '')) AS i, length(replace(substr(best.audit, 1, p), 'D', '')) AS n
+  FROM m JOIN a USING (sig), unnest(range(1, length(best.audit) + 1)) x(p)),
+r AS (SELECT e.conv_id, p, edit, n, o.role, CASE WHEN edit = 'I' THEN '' ELSE o.text END AS text,
+  max(CASE WHEN edit = 'K' AND n = 1 AND o.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS lead FROM e LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM e.conv_id AND o.i = e.i WHERE edit <> 'D'),
+h AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (n - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS whole FROM r GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a USING (sig) LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+ORACLES["op12_conversation_repair"] = _repair_sql()

@@ -46,6 +46,12 @@ class Workspace:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_others(self, *names: str) -> None:
+        """Removes all tables but the named ones."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.drop(*[name for s in fs.listStatus(path) if (name := s.getPath().getName()) not in names])
+
 
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -14,6 +14,7 @@ from .common import table
 from .decontamination import contamination
 from .near_duplicates import near_duplicates
 from .packing import pack, pieces
+from .set_join import jaccard_join
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -120,6 +121,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op12_conversation_repair"] = op12_conversation_repair
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES["op13_ngram_jaccard_join"] = op13_ngram_jaccard_join
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -216,3 +224,19 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id IS
 
 
 ORACLES["op12_conversation_repair"] = _repair_sql()
+
+
+def _linked_sql(percent: int, more: str = "") -> str:
+    """All pairs that share a shingle, their exact overlaps, and the least document that links reach."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id WHERE r.c < l.b),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id{more} FROM w JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+ORACLES["op6_near_duplicates"] = _linked_sql(75, ", m.c = w.doc_id AS kept")
+ORACLES["op13_ngram_jaccard_join"] = _linked_sql(80)

@@ -18,7 +18,7 @@ def shingles(text, width=5):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, percent=75):
     """doc_id -> (n_shingles, component_id, kept) by comparing all pairs that share a shingle."""
     sets = {d: shingles(t) for d, t in rows}
     parent = {d: d for d in sets}
@@ -39,7 +39,7 @@ def near_duplicates(rows):
                 if (a, b) not in seen:
                     seen.add((a, b))
                     both = len(sets[a] & sets[b])
-                    if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                         x, y = root(a), root(b)
                         parent[max(x, y)] = min(x, y)
     return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}

@@ -2,6 +2,7 @@ import random
 
 import brute
 import lumenquarry.llm.near_duplicates as nd
+from lumenquarry.llm import families
 from lumenquarry.llm.near_duplicates import near_duplicates
 from lumenquarry.llm.queries import op6_near_duplicates
 
@@ -24,7 +25,7 @@ def test_a_larger_table_against_brute_force(spark):
 
 def test_families_of_many_blocks(spark, monkeypatch):
     """Small blocks and buckets, so that groups take representatives, levels and meetings: members linked with the centre alone, chains and near misses."""
-    monkeypatch.setattr(nd, "BLOCK", 4000)
+    monkeypatch.setattr(families, "BLOCK", 4000)
     monkeypatch.setattr(nd, "SMALL", 4)
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))

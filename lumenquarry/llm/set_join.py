@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
-from .families import Comparison, grouped, int64_lists
+from .families import Comparison, grouped
 from .graph import connected_components
 from .shingles import WordHashes, set_digest, shingle_hashes
 
 WIDTH, PERCENT = 5, 80
 #: Counters of hashed shingles: 2 ** SLOTS of them, summed in slices and held in every task as one byte each.
 SLOTS, SLICES = 20, 64
-#: Bits of a set's parity bitmap.
+#: A set's parity bitmap has a power of two bits: as many as shingles or more, and this at least.
 BITMAP = 512
 #: Index lists of at most so many classes are listed as pairs; that is so many pairs for each class at most.
 SMALL = 32
@@ -103,11 +103,18 @@ def ordered(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """The parity of how many shingles fall on each of BITMAP bits, as int64 words."""
-    odd = np.bincount((shingles & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+    """The parity of how many shingles fall on each of its bits, as int64 words. Both halves of one, combined by exclusive or, are the next smaller one."""
+    bits = max(BITMAP, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _listed(arrays: list[np.ndarray]) -> pa.Array:
+    """int64 arrays as lists; an empty one is an empty list."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int64()))
+
+
 def _signed(width: int, percent: int, ranks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -115,14 +122,11 @@ def _signed(width: int, percent: int, ranks: np.ndarray):
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 sets = [shingle_hashes(t, width, hashes) for t in part.column("text").to_pylist()]
-                full = [i for i, s in enumerate(sets) if len(s)]
                 firsts = [ordered(s, ranks)[: prefix(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in firsts]))).astype(np.int32)
-                bits = np.array([bitmap(sets[i]) for i in full], np.int64).reshape(-1, BITMAP // 64)
                 columns = {
                     "doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "cls": pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    "bits": int64_lists(bits, full, len(sets)), "firsts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts), pa.int64())),
+                    "bits": _listed([bitmap(s) if len(s) else s.view(np.int64) for s in sets]), "firsts": _listed(firsts),
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -139,9 +143,13 @@ def signed(docs: DataFrame, ranks: np.ndarray, width: int = WIDTH, percent: int
 
 
 def _bits_allow(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
-    """Sizes and parity bitmaps don't rule a link out: no more bits differ than shingles may."""
-    ones = sum((F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))) for i in range(BITMAP // 64)), F.lit(0))
+    """Sizes and parity bitmaps don't rule a link out: no more bits differ than shingles may. Sizes of linked sets differ so little that the
+    larger bitmap is at most twice as long, and is folded."""
     sizes = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    short = F.least(F.size(a), F.size(b))
+    folded = lambda x: F.when(F.size(x) > short, F.zip_with(F.slice(x, 1, short), F.slice(x, short + 1, short), xor)).otherwise(x)
+    ones = F.aggregate(F.zip_with(folded(a), folded(b), xor), F.lit(0), lambda s, x: s + F.bit_count(x))
     return sizes & (ones <= n + m - F.lit(2) * F.ceil(needed(n, m, percent)))
 
 

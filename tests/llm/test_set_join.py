@@ -118,3 +118,20 @@ def test_between_two_sides():
                 x, y = sorted((top(roots[a]), top(roots[b])))
                 parent[y] = x
     assert [roots[t] for t in tree] == [top(x) for x in roots]
+
+
+def test_bitmaps_never_rule_a_link_out(spark):
+    from pyspark.sql import functions as F
+
+    r, rows = np.random.default_rng(1), []
+    for n in (3, 450, 511, 512, 513, 900, 1025, 3000):
+        base = r.integers(0, 2**63, n, dtype=np.uint64)
+        for extra in (0, n // 9, n // 4):
+            other = np.unique(np.concatenate([base, r.integers(0, 2**63, extra, dtype=np.uint64)]))
+            base_ = np.unique(base)
+            rows.append((len(base_), set_join.bitmap(base_).tolist(), len(other), set_join.bitmap(other).tolist(), 100 * len(base_) >= 80 * len(other)))
+        far = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        rows.append((len(base_), set_join.bitmap(base_).tolist(), len(far), set_join.bitmap(far).tolist(), False))
+    df = spark.createDataFrame(rows, "n bigint, a array<bigint>, m bigint, b array<bigint>, linked boolean")
+    got = df.withColumn("allow", set_join._bits_allow(F.col("n"), F.col("a"), F.col("m"), F.col("b"), 80)).collect()
+    assert all(x["allow"] for x in got if x["linked"]) and sum(x["allow"] for x in got if not x["linked"]) == 0

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in one block: what is sent to every task is bounded by this.
-BLOCK = 2048
+#: Rows of the corpus and queries in one matrix; bytes of query vectors that are broadcast; tasks that share a group of queries.
+CHUNK, BLOCK, BROADCAST, SALTS = 4096, 512, 64 * 2**20, 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,51 +32,82 @@ def mean_vector(df: DataFrame, keys: list[str], vector: str, to: str = "mean") -
     return parts.groupBy(*keys).agg(ordered.alias(to))
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """(query_id, <key>, score, rank): the k rows with the largest cosine for each query; ties by the smaller key.
-
-    Queries go to the tasks in blocks; each task keeps k rows for each query, and only these are shuffled.
-    """
-    own = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"))
-    blocks = max(1, -(-own.count() // BLOCK))
-    numbered = own.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    rows = corpus.select(F.col(key).alias("c"), F.col(vector).alias("v"))
-    found = None
-    for i in range(blocks):
-        part = numbered.where(F.col("block") == i).select("q", "v").collect() if blocks > 1 else own.collect()
-        ids, matrix = np.array([r["q"] for r in part], np.int64), _unit([r["v"] for r in part])
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-        one = rows.mapInPandas(_partial(shared, k, exclude_self), "query_id bigint, c bigint, score double")
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "c")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("c", key)
-
-
 def _unit(vectors: list) -> np.ndarray:
     m = np.array(vectors, np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(m) else m
 
 
-def _partial(shared, k: int, exclude_self: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+def packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(ids, matrix): unit vectors of up to ``size`` rows of one task as one row. Rows without key or vector are left out; all vectors have one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            c, scores = batch["c"].to_numpy(np.int64), matrix @ _unit(batch["v"].tolist()).T
-            for i, q in enumerate(ids):
-                s = scores[i]
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                m = _unit(part.column("v").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("k").to_numpy().tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    return rows.select(F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null").mapInArrow(run, "ids binary, matrix binary")
+
+
+def best_columns(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of each row and their keys (one row of keys, or one for each row), best first; ties by the smaller key."""
+    keys = np.broadcast_to(keys, scores.shape)
+    if scores.shape[1] > 4 * k:
+        cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        over, tied = scores > cut, scores == cut
+        wanted = k - over.sum(axis=1, keepdims=True)
+        by_key = np.argsort(np.where(tied, keys, np.iinfo(np.int64).max), axis=1, kind="stable") if (tied.sum(axis=1, keepdims=True) > wanted).any() else None
+        if by_key is not None:
+            first = np.zeros_like(tied)
+            np.put_along_axis(first, by_key, np.arange(scores.shape[1])[None, :] < wanted, axis=1)
+            tied &= first
+        at = np.nonzero(over | tied)[1].reshape(len(scores), k)
+        scores, keys = np.take_along_axis(scores, at, axis=1), np.take_along_axis(keys, at, axis=1)
+    order = np.lexsort((keys, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(keys, order, axis=1)
+
+
+def _best(k: int, exclude_self: bool):
+    """Rows of a chunk of the corpus beside a block of queries in, each query's k best of the whole task out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for ids, matrix, qids, qmatrix in zip(*[batch.column(c).to_pylist() for c in ("ids", "matrix", "qids", "qmatrix")], strict=True):
+                c, q = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+                scores = np.frombuffer(qmatrix).reshape(len(q), -1) @ np.frombuffer(matrix).reshape(len(c), -1).T
                 if exclude_self:
-                    s = np.where(c == q, -np.inf, s)
-                cut = np.argpartition(-s, min(k, len(s)) - 1)[:k] if len(s) > 4 * k else np.arange(len(s))
-                if len(s) > 4 * k:  # keep all ties with the last one
-                    cut = np.flatnonzero(s >= s[cut].min())
-                score, key = np.concatenate([best[i][0], s[cut]]), np.concatenate([best[i][1], c[cut]])
-                order = np.lexsort((key, -score))[:k]
-                best[i] = score[order], key[order]
-        for q, (score, key) in zip(ids, best, strict=True):
-            ok = np.isfinite(score)
-            yield pd.DataFrame({"query_id": q, "c": key[ok], "score": score[ok]})
+                    scores[q[:, None] == c[None, :]] = -np.inf
+                found = best_columns(scores, c[None, :], k)
+                if qids in best:
+                    found = best_columns(*(np.concatenate(x, axis=1) for x in zip(best[qids], found, strict=True)), k)
+                best[qids] = found
+        for qids, (scores, keys) in best.items():
+            q = np.repeat(np.frombuffer(qids, np.int64), scores.shape[1])
+            ok = np.isfinite(scores.reshape(-1))
+            yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1)[ok]) for x in (q, keys, scores)], ["query_id", "c", "score"])
 
     return run
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
+    """(query_id, <key>, score, rank): the k rows with the largest cosine for each query; ties by the smaller key.
+
+    Both sides are packed into matrices of bounded size, and a task multiplies chunks of the corpus with blocks of queries and keeps k rows for each query;
+    only these are shuffled. Queries whose counted size is under BROADCAST bytes are broadcast; more are dealt to groups of that size, and meet
+    chunks in an equi-join on (group, salt). Query ids are unique.
+    """
+    rows, components = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).head()
+    blocks = packed(queries.repartition(max(1, -(-rows // BLOCK))), key, vector, BLOCK).select(F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
+    chunks = packed(corpus, key, vector, CHUNK)
+    groups = -(-components * 8 // BROADCAST)
+    if groups <= 1:
+        pairs = chunks.join(F.broadcast(blocks))  # each chunk with a bounded number of blocks
+    else:
+        salts = SALTS
+        dealt = blocks.withColumn("g", F.pmod(F.xxhash64("qids"), F.lit(groups))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = chunks.withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))).join(dealt, ["g", "s"])
+    found = pairs.select("ids", "matrix", "qids", "qmatrix").mapInArrow(_best(k, exclude_self), "query_id bigint, c bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "c")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("c", key)

@@ -71,11 +71,6 @@ def bm25(index: DataFrame, terms: DataFrame, idf: DataFrame, average_length: flo
     return weighted.join(index, "term").groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def lexical(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query, doc, score): occurrences of the query's terms over 1 + ln(length)."""
-    return terms.join(index, "term").groupBy("query", "doc").agg((F.sum("tf") / (1 + F.log(F.first("length")))).alias("score"))
-
-
 def ranked(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """Adds rank by score (rounded, so that sums in another order tie alike), then doc; k of each query stay."""
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", digits)), "doc")
@@ -115,10 +110,30 @@ def adaptive(dense: DataFrame, hybrid: DataFrame, threshold: float) -> DataFrame
     return a.unionByName(b)
 
 
-def expansion_terms(top_docs: DataFrame, docs: DataFrame, own: DataFrame, df: DataFrame, n_docs: int, max_df: float = 0.4, most: int = 6) -> DataFrame:
-    """(query, term, df): terms in two or more of a query's first three documents and not in the query, the rarest first."""
+def ladder(stages: list[tuple[str, DataFrame]], thresholds: list[float]) -> DataFrame:
+    """(query, doc, score, rank, stage): each query's rows of the first stage whose margin is at least its threshold, or else of the last one.
+
+    A stage without a second row has no limit. A stage that gives a query no row passes it on. One plan, split by a column: no loop over queries.
+    """
+    names = [n for n, _ in stages]
+    flags = None
+    for i, (_, frame) in enumerate(stages[:-1]):
+        one = margins(frame).where(F.col("margin").isNull() | (F.col("margin") >= thresholds[i])).select("query", F.lit(i).alias("i"))
+        flags = one if flags is None else flags.unionByName(one)
+    chosen = flags.groupBy("query").agg(F.min("i").alias("stop"))
+    out = None
+    for i, (name, frame) in enumerate(stages):
+        rows = frame.select("query", "doc", "score", "rank")
+        part = rows.join(chosen.where(F.col("stop") == i).select("query"), "query", "left_semi") if i < len(names) - 1 else rows.join(chosen.select("query"), "query", "left_anti")
+        part = part.withColumn("stage", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def expansion_terms(top_docs: DataFrame, index: DataFrame, own: DataFrame, df: DataFrame, n_docs: int, max_df: float = 0.4, most: int = 6) -> DataFrame:
+    """(query, term, df): terms in two or more of a query's first three documents (their postings) and not in the query, the rarest first."""
     first = top_docs.where("rank <= 3").select("query", "doc")
-    seen = docs.select("doc", F.explode(F.array_distinct("terms")).alias("term")).join(first, "doc").groupBy("query", "term").agg(F.count("*").alias("n")).where("n >= 2")
+    seen = index.select("doc", "term").join(first, "doc").groupBy("query", "term").agg(F.count("*").alias("n")).where("n >= 2")
     fresh = seen.join(own.select("query", "term"), ["query", "term"], "left_anti").join(df, "term").where(F.col("df") <= F.lit(max_df * n_docs))
     return fresh.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy("df", "term"))).where(F.col("i") <= most).select("query", "term", "df")
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import classify, clusters, grounding, metrics, search
-from ..sources.files import spread, table
+from ..operators.lexical_index import LexicalIndex, cover_density
+from ..sources.files import kept, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,7 +198,7 @@ rt AS (SELECT query, term, df FROM kt WHERE (rare AND i <= 12) OR (NOT has_rare
 _BM25 = _INDEX + """, raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, st), idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
 bm AS (SELECT query, doc, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / al))) AS score FROM qt JOIN idf USING (term) JOIN tf USING (term), st GROUP BY ALL HAVING score > 0),
 bk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM bm)"""
-_LEX = _BM25 + """, lx AS (SELECT query, doc, sum(tf) / (1 + ln(any_value(length))) AS score FROM rt JOIN tf USING (term) GROUP BY ALL),
+_LEX = _BM25 + """, lx AS (SELECT query, doc, 0.1 * sum(tf) / ln(1 + any_value(length)) AS score FROM rt JOIN tf USING (term) GROUP BY ALL),
 lk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM lx)"""
 _RRF = _LEX + """, u AS (SELECT query, doc, rank, 1.0 AS w FROM bk WHERE rank <= 50 UNION ALL SELECT query, doc, rank, 0.25 FROM lk WHERE rank <= 50), fu AS (SELECT query, doc, sum(w / (60 + rank)) AS rrf, min(rank) AS best FROM u GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(rrf, 12) DESC, best, doc) AS rank FROM fu)"""
@@ -208,18 +209,16 @@ def _documents(spark, sf):
 
 
 def _lexicon(spark, sf):
-    """Analysed documents, document frequencies, the queries' terms, and the number and mean length of documents."""
-    docs = search.analysed_documents(_documents(spark, sf), "doc_id", "text")
-    n, total = docs.agg(F.count("*"), F.sum("length")).head()
-    df = search.document_frequency(docs)
-    terms = search.query_terms(table(spark, sf, "benchmark").where("item_id % 100 = 0"), "item_id", "text", df)
-    return docs, df, terms, n, (total or 0) / max(n, 1)
+    """The kept index, and the known terms of the queries."""
+    docs = f"{sf}/documents.parquet"
+    index = LexicalIndex(spark, kept(spark, "lexical-index", docs, lambda path: LexicalIndex.build(spread(table(spark, sf, "documents").select("doc_id", "text", "lang")), path, attribute="lang")))
+    return index, search.query_terms(table(spark, sf, "benchmark").where("item_id % 100 = 0"), "item_id", "text", index.terms)
 
 
 def _scores(spark, sf):
-    docs, df, terms, n, average = _lexicon(spark, sf)
-    index = search.postings(docs, terms)
-    return search.bm25(index, terms, search.okapi_idf(df, n), average), search.lexical(index, search.rarest_terms(terms, n))
+    index, terms = _lexicon(spark, sf)
+    postings = index.postings(terms)
+    return search.bm25(postings, terms, search.okapi_idf(index.terms, index.n_docs), index.average_length), cover_density(postings, search.rarest_terms(terms, index.n_docs))
 
 
 @query(_BM25 + " SELECT query, doc, rank::INT AS rank, round(score, 4) AS score FROM bk WHERE rank <= 10")
@@ -234,13 +233,13 @@ def lexical_topk(spark, sf):
 
 @query(_INDEX + " SELECT term, df FROM dfs")
 def doc_frequency(spark, sf):
-    return search.document_frequency(search.analysed_documents(_documents(spark, sf), "doc_id", "text"))
+    return _lexicon(spark, sf)[0].terms
 
 
 @query(_INDEX + " SELECT query, term, df FROM rt")
 def idf_pruned_terms(spark, sf):
-    _, _, terms, n, _ = _lexicon(spark, sf)
-    return search.rarest_terms(terms, n)
+    index, terms = _lexicon(spark, sf)
+    return search.rarest_terms(terms, index.n_docs)
 
 
 def _fused(spark, sf):
@@ -279,9 +278,8 @@ def adaptive_ladder(spark, sf):
 @query(_BM25 + """, td AS (SELECT query, term, count(*) AS c FROM bk JOIN tf USING (doc) WHERE rank <= 3 GROUP BY ALL HAVING count(*) >= 2)
 SELECT query, term, df FROM td JOIN dfs USING (term), st WHERE df <= 0.4 * n AND NOT EXISTS (SELECT 1 FROM qt WHERE qt.query = td.query AND qt.term = td.term) QUALIFY row_number() OVER (PARTITION BY query ORDER BY df, term) <= 6""")
 def expansion_terms(spark, sf):
-    docs, df, terms, n, average = _lexicon(spark, sf)
-    top = search.ranked(search.bm25(search.postings(docs, terms), terms, search.okapi_idf(df, n), average), 3)
-    return search.expansion_terms(top, docs, terms, df, n)
+    index, terms = _lexicon(spark, sf)
+    return search.expansion_terms(search.ranked(_scores(spark, sf)[0], 3), index.postings(), terms, index.terms, index.n_docs)
 
 
 _SETS = """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS b FROM documents)"""

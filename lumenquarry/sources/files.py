@@ -102,3 +102,47 @@ def from_cursor(text: str) -> dict:
     import base64
 
     return json.loads(base64.urlsafe_b64decode(text))
+
+
+_KEPT: dict[tuple, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share; where that is unset on one machine, as in tests, a new one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="lumenquarry-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table that is written once: what is read from it later is fixed, whatever is lost."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, source: str, build) -> str:
+    """The folder of something built from the table at ``source`` by ``build(path)``: once for each session and state of the source's files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(path)
+    files = [status] if status.isFile() else list(fs.listStatus(path))
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, name, source, state)
+    if key not in _KEPT:
+        to = scratch(spark, name)
+        build(to)
+        _KEPT[key] = to
+    return _KEPT[key]

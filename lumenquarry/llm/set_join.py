@@ -36,6 +36,8 @@ SLOTS, SLICES = 20, 64
 BITMAP = 512
 #: Index lists of at most so many classes are listed as pairs; that is so many pairs for each class at most.
 SMALL = 32
+#: Texts of an Arrow batch that are taken apart at a time, and words whose hashes a worker keeps.
+PART, WORDS = 250, 100_000
 #: A set derives its overlaps from those of another at this similarity in percent.
 CLOSE = 85
 
@@ -55,14 +57,11 @@ def prefix(n, percent: int = PERCENT):
 
 def _counted(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(2**SLOTS, np.int64)
+        hashes, counts = WordHashes(WORDS), np.zeros(2**SLOTS, np.int64)
         for batch in batches:
-            held: list[np.ndarray] = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                held.append(slots(shingle_hashes(text, width, hashes)))
-                if i % 1000 == 999 or i == batch.num_rows - 1:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held = []
+            for start in range(0, batch.num_rows, PART):
+                sets = [shingle_hashes(t, width, hashes) for t in batch.column("text").slice(start, PART).to_pylist()]
+                counts += np.bincount(slots(np.concatenate(sets)), minlength=len(counts))
         parts = counts.reshape(SLICES, -1)
         full = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["slice", "counts"])
@@ -117,10 +116,10 @@ def _listed(arrays: list[np.ndarray]) -> pa.Array:
 
 def _signed(width: int, percent: int, ranks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, PART):
+                part = batch.slice(start, PART)
                 sets = [shingle_hashes(t, width, hashes) for t in part.column("text").to_pylist()]
                 firsts = [ordered(s, ranks)[: prefix(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 columns = {
@@ -273,7 +272,7 @@ def linked(sets: list[np.ndarray], roots: np.ndarray, asked: np.ndarray, told: n
 
 def _within(width: int, percent: int):
     """(component, block, cls, n, root) for the classes of a block: root is the least class that its links reach."""
-    hashes = WordHashes()
+    hashes = WordHashes(WORDS)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cls")
@@ -288,7 +287,7 @@ def _within(width: int, percent: int):
 
 def _between(width: int, percent: int):
     """Links (u, v) between what the roots of one block stand for and those of another."""
-    hashes = WordHashes()
+    hashes = WordHashes(WORDS)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("root")

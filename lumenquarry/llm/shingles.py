@@ -28,8 +28,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, computed when first met."""
 
+    def __init__(self, most: int = CACHED_WORDS):
+        self.most = most
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

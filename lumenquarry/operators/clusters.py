@@ -2,49 +2,186 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.files import removed, scratch, written
 
-#: Rows that one agglomerative call takes; larger groups are for threshold_components().
+#: Points of a group that are finished in one task; a group of more goes through distributed rounds until so many are left.
 LARGEST = 2000
+#: Points in one matrix of the distributed rounds. Similarities are compared after rounding, so that blocks agree.
+LINKED, DIGITS = 1024, 12
 
 
-def average_linkage(df: DataFrame, key: str, vector: str, group: str, cut: float = 0.55) -> DataFrame:
-    """(group, key, cluster): average linkage by cosine distance within each group; cluster is its smallest key.
+def _turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A pair's turn among equally near ones: a hash of both names, the same from either side."""
+    low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    x = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+
 
-    A group holds the rows of one bounded window; a larger one than LARGEST is an error, never cut: its clusters are those of
-    threshold_components().
+def _first_nearest(near: np.ndarray, k: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(similarity, place, turn) of the column that is nearest to each row; of equally near ones that whose pair has the first turn.
+
+    Pairs so have one order for all, and the first pair of all is always reciprocal.
     """
-    import numpy as np
-    import pandas as pd
+    best, at = near.max(axis=1), near.argmax(axis=1)
+    for i in np.flatnonzero((near == best[:, None]).sum(axis=1) > 1):
+        tied = np.flatnonzero(near[i] == best[i])
+        at[i] = tied[np.lexsort((o[tied], _turn(np.full(len(tied), k[i]), o[tied])))[0]]
+    return best, at, _turn(k, o[at])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > LARGEST:
-            raise ValueError(f"{len(pdf)} rows in one group; average linkage takes {LARGEST}")
-        pdf = pdf.sort_values("k").reset_index(drop=True)
-        v = np.array(pdf["v"].tolist(), float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        near, size, alive = v @ v.T, np.ones(len(v)), np.ones(len(v), bool)
+
+def _merged(v: np.ndarray, n: np.ndarray, k: np.ndarray, cut: float) -> np.ndarray:
+    """Average linkage of points (mean vectors, weights, ascending names) in rounds of reciprocal nearest neighbours: each point's cluster by its place.
+
+    The mean similarity of two clusters of unit vectors is the product of their mean vectors, so a merged cluster is a point again.
+    """
+    owner, alive = np.arange(len(v)), np.arange(len(v))
+    v, n = v.copy(), n.astype(float)
+    while len(alive) > 1:
+        near = np.round(v[alive] @ v[alive].T, DIGITS)
         np.fill_diagonal(near, -np.inf)
-        owner = np.arange(len(v))
-        while alive.sum() > 1:
-            i, j = divmod(int(np.argmax(near)), len(v))
-            if near[i, j] < 1 - cut:
-                break
-            i, j = min(i, j), max(i, j)
-            merged = (size[i] * near[i] + size[j] * near[j]) / (size[i] + size[j])
-            near[i], near[:, i] = merged, merged
-            near[i, i] = -np.inf
-            near[j], near[:, j] = -np.inf, -np.inf
-            near[:, ~alive] = -np.inf
-            size[i] += size[j]
-            alive[j] = False
-            owner[owner == j] = i
-        return pd.DataFrame({"group": pdf["g"], "key": pdf["k"], "cluster": pdf["k"].to_numpy()[owner]})
-
-    return df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v")).groupBy("g").applyInPandas(run, "group bigint, key bigint, cluster bigint")
+        best, nearest, _ = _first_nearest(near, k[alive], k[alive])
+        pairs = [(a, b) for a, b in enumerate(nearest) if a < b and nearest[b] == a and best[a] >= round(1 - cut, DIGITS)]
+        if not pairs:
+            break
+        gone = []
+        for a, b in pairs:
+            x, y = alive[a], alive[b]
+            v[x] = (n[x] * v[x] + n[y] * v[y]) / (n[x] + n[y])
+            n[x] += n[y]
+            owner[owner == y] = x
+            gone.append(b)
+        alive = np.delete(alive, gone)
+    return owner
+
+
+def average_linkage(df: DataFrame, key: str, vector: str, group: str, cut: float = 0.55, weight: str | None = None) -> DataFrame:
+    """(group, key, cluster): average linkage by cosine distance within each group; cluster is its smallest key.
+
+    Groups may have any size. Merging all pairs that are each other's nearest gives the clusters of merging the nearest pair of all, one by one, as
+    average linkage never brings a cluster nearer by a merge. A round finds nearest neighbours as products of blocks, for those points whose
+    neighbour was merged; points without a neighbour within ``cut`` are done. What is left of a group goes to one task once it has at most
+    LARGEST points. ``weight`` counts a row as several. Keys are integers, distinct in a group; rows without key or vector are left out. A zero vector is alone.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(F.col(group).alias("g"), F.col(key).cast("bigint").alias("k"), F.col(vector).alias("v"), w.alias("n")).where("k is not null and v is not null")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("v").to_pylist(), float)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("k"), pa.array([r.tobytes() for r in x], pa.binary()), batch.column("n")], ["g", "k", "v", "n"])
+
+    points = rows.mapInArrow(unit, f"g {kind}, k bigint, v binary, n double")
+    points = written(points, scratch(df.sparkSession, "linkage"))
+    finish = _finisher(kind, cut)
+    sizes = points.groupBy("g").agg(F.count("*").alias("size"))
+    large = sizes.where(F.col("size") > LARGEST).select(F.col("g").alias("h"))
+    in_large = F.col("g").eqNullSafe(F.col("h"))
+    if not large.head(1):
+        return finish(points).select(F.col("g").alias("group"), F.col("k").alias("key"), F.col("c").alias("cluster"))
+    small = finish(points.join(large, in_large, "left_anti"))
+    labels = _rounds(points.join(large, in_large, "left_semi"), kind, cut, finish)
+    return small.unionByName(labels).select(F.col("g").alias("group"), F.col("k").alias("key"), F.col("c").alias("cluster"))
+
+
+def _finisher(kind: str, cut: float):
+    """(g, k, c) of groups of points that fit a task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        k = t.column("k").to_numpy()
+        v = np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(len(k), -1)
+        return t.select(["g", "k"]).append_column("c", pa.array(k[_merged(v, t.column("n").to_numpy(), k, cut)]))
+
+    return lambda points: points.groupBy("g").applyInArrow(run, f"g {kind}, k bigint, c bigint")
+
+
+def _rounds(points: DataFrame, kind: str, cut: float, finish) -> DataFrame:
+    """(g, k, c) of groups of any size: rounds of reciprocal nearest neighbours over blocks of points."""
+    spark, path, i = points.sparkSession, scratch(points.sparkSession, "rounds"), 0
+    members = written(points.select("g", "k", F.col("k").alias("c")), f"{path}/members-0")
+    alive = points.select("g", "k", "v", "n", F.lit(None).cast("bigint").alias("nn"), F.lit(None).cast("double").alias("near"))
+    ended: list[DataFrame] = []  # (g, k, c) of clusters that are final
+    same = lambda a, b: F.col(f"{a}.g").eqNullSafe(F.col(f"{b}.g"))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups = batch.column("g").to_pylist()
+                start = 0
+                for i in range(1, len(groups) + 1):
+                    if i == len(groups) or groups[i] != groups[start] or i - start == LINKED:
+                        part = batch.slice(start, i - start)
+                        yield pa.RecordBatch.from_arrays([part.column("g")[:1], pa.array([part.column("k").to_numpy().tobytes()], pa.binary()), pa.array([b"".join(part.column("v").to_pylist())], pa.binary())], ["g", "ks", "vs"])
+                        start = i
+
+        return rows.select("g", "k", "v").repartitionByRange("g", F.xxhash64("k")).sortWithinPartitions("g").mapInArrow(run, f"g {kind}, ks binary, vs binary")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, ks, vs, ok, ov in zip(batch.column("g"), *[batch.column(c).to_pylist() for c in ("ks", "vs", "oks", "ovs")], strict=True):
+                k, o = np.frombuffer(ks, np.int64), np.frombuffer(ok, np.int64)
+                near = np.round(np.frombuffer(vs).reshape(len(k), -1) @ np.frombuffer(ov).reshape(len(o), -1).T, DIGITS)
+                near[k[:, None] == o[None, :]] = -np.inf
+                best, at, turn = _first_nearest(near, k, o)
+                yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * len(k), g.type), pa.array(k), pa.array(o[at]), pa.array(best), pa.array(turn)], ["g", "k", "nn", "near", "turn"])
+
+    while True:
+        # Points whose nearest neighbour isn't known meet all points of their group, block by block.
+        lost = packed(alive.where("nn is null"))
+        others = packed(alive).select(F.col("g").alias("og"), F.col("ks").alias("oks"), F.col("vs").alias("ovs"))
+        met = lost.join(others, F.col("g").eqNullSafe(F.col("og"))).select("g", "ks", "vs", "oks", "ovs").mapInArrow(nearest, f"g {kind}, k bigint, nn bigint, near double, turn bigint")
+        found = met.groupBy("g", "k").agg(F.min(F.struct((-F.col("near")).alias("far"), "turn", "nn")).alias("m")).select("g", "k", "m.nn", (-F.col("m.far")).alias("near"))
+        known = alive.alias("a").join(found.alias("f"), same("a", "f") & (F.col("a.k") == F.col("f.k")), "left")
+        known = known.select("a.g", "a.k", "a.v", "a.n", F.coalesce("a.nn", "f.nn").alias("nn"), F.coalesce("a.near", "f.near").alias("near"))
+        known = written(known, f"{path}/known-{i}")
+        live = known.where(F.coalesce(F.col("near"), F.lit(-2.0)) >= round(1 - cut, DIGITS))
+        final = known.where(F.coalesce(F.col("near"), F.lit(-2.0)) < round(1 - cut, DIGITS)).select("g", "k", F.col("k").alias("c"))
+        ended.append(written(final, f"{path}/final-{i}"))
+        a, b = live.alias("a"), live.alias("b")
+        pairs = a.join(b, same("a", "b") & (F.col("a.nn") == F.col("b.k")) & (F.col("b.nn") == F.col("a.k")) & (F.col("a.k") < F.col("b.k")))
+        pairs = pairs.select("a.g", F.col("a.k").alias("k"), F.col("b.k").alias("other"), F.col("a.v").alias("v"), F.col("b.v").alias("w"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+        pairs = written(pairs, f"{path}/pairs-{i}")
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+                v = [((x * np.frombuffer(p) + y * np.frombuffer(q)) / (x + y)).tobytes() for x, y, p, q in zip(n, m, batch.column("v").to_pylist(), batch.column("w").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("k"), pa.array(v, pa.binary()), pa.array(n + m)], ["g", "k", "v", "n"])
+
+        moved = pairs.select("g", F.explode(F.array("k", "other")).alias("k"), F.col("k").alias("c"))
+        members = members.alias("x").join(moved.alias("m"), same("x", "m") & (F.col("x.c") == F.col("m.k")), "left").select("x.g", "x.k", F.coalesce("m.c", "x.c").alias("c"))
+        members = written(members, f"{path}/members-{i + 1}")
+        rest = live.alias("a").join(moved.alias("m"), same("a", "m") & (F.col("a.k") == F.col("m.k")), "left_anti")
+        # A neighbour that was merged has to be found anew.
+        rest = rest.join(moved.alias("m"), same("a", "m") & (F.col("a.nn") == F.col("m.k")), "left").select("a.g", "a.k", "a.v", "a.n", F.when(F.col("m.k").isNull(), F.col("a.nn")).alias("nn"), F.when(F.col("m.k").isNull(), F.col("a.near")).alias("near"))
+        new = pairs.mapInArrow(joined, f"g {kind}, k bigint, v binary, n double").withColumns({"nn": F.lit(None).cast("bigint"), "near": F.lit(None).cast("double")})
+        alive = written(rest.unionByName(new), f"{path}/alive-{i}")
+        removed(spark, f"{path}/known-{i}", f"{path}/pairs-{i}", f"{path}/members-{i}", f"{path}/alive-{i - 1}")
+        i += 1
+        sizes = written(alive.groupBy(F.col("g").alias("h")).agg((F.count("*") <= LARGEST).alias("ready")), f"{path}/sizes-{i}")
+        in_sizes = F.col("g").eqNullSafe(F.col("h"))
+        if sizes.where("ready").head(1):
+            ended.append(written(finish(alive.join(sizes.where("ready"), in_sizes, "left_semi").select("g", "k", "v", "n")), f"{path}/finished-{i}"))
+            alive = alive.join(sizes.where("not ready"), in_sizes, "left_semi")
+        if not sizes.where("not ready").head(1):
+            break
+    done = reduce(DataFrame.unionByName, ended)
+    # Points live on in the cluster that their round made of them; that one may be part of a later one.
+    last = done.select(F.col("g").alias("h"), F.col("k").alias("name"), F.col("c").alias("cluster"))
+    return members.join(last, F.col("g").eqNullSafe(F.col("h")) & (F.col("c") == F.col("name"))).select("g", "k", F.col("cluster").alias("c"))
 
 
 def threshold_components(df: DataFrame, key: str, vector: str, group: str, cut: float = 0.55, block: int = 2000) -> DataFrame:

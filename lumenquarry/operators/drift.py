@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .relational import window_between
+from ..functions.quantiles import exact_quantiles
+from .clusters import average_linkage
+from .relational import in_ranges, window_between
 
 
 def sides(df: DataFrame, ts: str, now: Column, recent: str, baseline: str) -> DataFrame:
@@ -66,7 +68,7 @@ def ks(df: DataFrame, value: str) -> DataFrame:
     """(d, n_a, n_b): the two-sample statistic. Equal values are aggregated first, so that the running sums see distinct values only."""
     v = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col("side") == "baseline").alias("a"), F.count_if(F.col("side") == "recent").alias("b"))
     # Two levels of running sums: within ranges of values, then over the ranges' totals, so that no task sorts all values.
-    ranged = v.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    ranged = in_ranges(v, "v")
     inner = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({"ca": F.sum("a").over(inner), "cb": F.sum("b").over(inner)})
     totals = ranged.groupBy("part").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
@@ -85,8 +87,10 @@ def jensen_shannon(table: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return df.groupBy("side").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q.alias("q")).select("side", "n", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"))
+    """(side, n, mean, p10, median, p90), exact, of windows of any size."""
+    q = exact_quantiles(df, value, [0.1, 0.5, 0.9], "side").drop("n")
+    t = df.groupBy("side").agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(q, "side")
+    return t.select("side", "n", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"))
 
 
 def holm(ps: DataFrame, alpha: float = 0.01) -> DataFrame:
@@ -149,14 +153,20 @@ def category_tests(df: DataFrame, category: str, recent: str, exact_below: float
     return t.withColumn("dimension_p", F.least(F.lit(1.0), F.col("k") * F.min("p").over(every))).select("category", "a", "b", "p", "dimension_p")
 
 
-def over_representation(df: DataFrame, cluster: str, recent: str, least: float = 2.0, level: float = 0.05, surge: float = 0.15) -> DataFrame:
-    """(cluster, size, recent, enrichment, p, kind): clusters that hold more recent rows than chance gives, by the hypergeometric tail.
+def over_representation(df: DataFrame, cluster: str, recent: str, least: float = 2.0, level: float = 0.05, surge: float = 0.15, by: str | None = None) -> DataFrame:
+    """(by, cluster, size, recent, enrichment, p, kind): clusters that hold more recent rows than chance gives, by the hypergeometric tail.
 
     p is weighted by cluster size (Bonferroni: p times all rows over the cluster's rows). kind is ``new_topic`` where baseline rows are
-    at most ``surge`` of the cluster, ``surge`` for others that pass ``level`` and ``least``, else null.
+    at most ``surge`` of the cluster, ``surge`` for others that pass ``level`` and ``least``, else null. ``by`` parts the rows into runs of their own.
     """
-    every = Window.partitionBy(F.lit(1))
-    t = df.groupBy(cluster).agg(F.count("*").alias("size"), F.count_if(F.col(recent)).alias("recent"))
+    keys = [by] if by else []
+    t = df.groupBy(*keys, cluster).agg(F.count("*").alias("size"), F.count_if(F.col(recent)).alias("recent"))
+    return enriched(t, cluster, least, level, surge, keys)
+
+
+def enriched(t: DataFrame, cluster: str, least: float, level: float, surge: float, keys: list[str]) -> DataFrame:
+    """over_representation() of counts (keys, cluster, size, recent)."""
+    every = Window.partitionBy(*(keys or [F.lit(1)]))
     t = t.withColumns({"n": F.sum("size").over(every), "m": F.sum("recent").over(every)})
 
     @F.pandas_udf("double")
@@ -164,10 +174,27 @@ def over_representation(df: DataFrame, cluster: str, recent: str, least: float =
         return pd.Series([stats.hypergeom_sf(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(k, n, m, size, strict=True)])
 
     p = F.least(F.lit(1.0), tail("recent", "n", "m", "size") * F.col("n") / F.col("size"))
-    t = t.withColumn("enrichment", F.col("recent") / F.col("size") / (F.col("m") / F.col("n"))).withColumn("p", p)
+    t = t.withColumn("enrichment", F.try_divide(F.col("recent") * F.col("n"), F.col("size") * F.col("m"))).withColumn("p", p)
     passes = (F.col("p") < level) & (F.col("enrichment") >= least)
     kind = F.when(passes & (F.col("size") - F.col("recent") <= surge * F.col("size")), "new_topic").when(passes, "surge")
-    return t.select(cluster, "size", "recent", "enrichment", "p", kind.alias("kind"))
+    return t.select(*keys, cluster, "size", "recent", "enrichment", "p", kind.alias("kind"))
+
+
+def joint_topics(df: DataFrame, key: str, vector: str, recent: str, by: str, cut: float = 0.55, least_rows: int = 3, least: float = 2.0, level: float = 0.05, surge: float = 0.15) -> DataFrame:
+    """(by, cluster, size, recent, enrichment, p, kind): both windows clustered together, then tested for clusters that recent rows crowd.
+
+    Equal vectors are one point with a weight, so repeated complaints neither cost nor change distances; average linkage at cosine distance ``cut`` joins
+    points; clusters of fewer than ``least_rows`` rows aren't tested, but their rows count. A cluster's name is its least key.
+    """
+    points = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(by, F.col(vector).alias("vector")).agg(F.min(key).alias("point"), F.count("*").alias("rows"), F.count_if(F.col(recent)).alias("recent"))
+    points = points.checkpoint()
+    found = average_linkage(points, "point", "vector", by, cut, weight="rows")
+    same = F.col("group").eqNullSafe(F.col(by)) & (F.col("key") == F.col("point"))
+    counts = points.join(found, same).groupBy(by, "cluster").agg(F.sum("rows").alias("size"), F.sum("recent").alias("recent"))
+    # Small clusters stand together as one that is never reported.
+    small = F.col("size") < least_rows
+    counts = counts.groupBy(by, F.when(~small, F.col("cluster")).alias("cluster")).agg(F.sum("size").alias("size"), F.sum("recent").alias("recent"))
+    return enriched(counts, "cluster", least, level, surge, [by]).where("cluster is not null")
 
 
 def dimension_test(df: DataFrame, category: str, recent: str, exact_below: float = 10.0) -> DataFrame:

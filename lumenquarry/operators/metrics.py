@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 
 def retrieval(ranked: DataFrame, relevant_total: DataFrame, k: int = 5) -> DataFrame:
     """Per query: hit, precision, recall, reciprocal rank and nDCG at k from (query, rank, relevant) and (query, total)."""
@@ -27,8 +29,9 @@ def report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def latencies(df: DataFrame, value: str, *by: str) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
-    t = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q.alias("q"), F.max(value).alias("max"))
+    """(by, n, mean, p50, p90, p95, p99, max), exact, of groups of any size; ``by`` isn't null."""
+    q = exact_quantiles(df, value, [0.5, 0.9, 0.95, 0.99], *by).drop("n")
+    t = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max")).join(q, list(by))
     return t.select(*by, "n", "mean", *[F.col("q")[i].alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))], "max")
 
 

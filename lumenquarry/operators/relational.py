@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch, written
+
 
 def conjunction(*predicates: Column | None) -> Column:
     """All predicates that are given."""
@@ -47,6 +49,30 @@ def deleted(target: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return target.join(ids.select(key), key, "left_anti")
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """The rows, written once, with ``part``: the number of their range in the given order. Parts are data, the same whenever they are read."""
+    return written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), scratch(df.sparkSession, "ranges"))
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Adds i, each row's place from 0 in a total order, and n, the number of rows; no task sorts all rows."""
+    rows = in_ranges(df, *order)
+    counts = rows.groupBy("part").agg(F.count("*").alias("c"))
+    every = Window.partitionBy(F.lit(1))  # a row for each range
+    before = F.coalesce(F.sum("c").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", before.alias("before"), F.sum("c").over(every).alias("n"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return rows.join(starts, "part").withColumn("i", F.col("before") + inner).drop("part", "before")
+
+
+def evenly(df: DataFrame, count: int, *order: str) -> DataFrame:
+    """``count`` rows at even distances in a total order, or all rows where there are fewer; equal places give one row."""
+    rows = numbered(df, *order)
+    n = rows.agg(F.max("n").alias("m"))  # one row
+    wanted = rows.sparkSession.range(count).join(n).select(F.floor(F.col("id") * F.col("m") / float(count)).alias("i")).distinct()
+    return rows.join(F.broadcast(wanted), "i", "left_semi").drop("i", "n")
+
+
 def keyset_page(df: DataFrame, sort: str, key: str, after: tuple | None, limit: int) -> DataFrame:
     """The page after the cursor, newest first; one row more than ``limit`` tells that there is another page."""
     if after is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..functions.quantiles import exact_quantiles
 from ..operators import classify, clusters, grounding, metrics, search
 from ..operators.lexical_index import LexicalIndex, cover_density
 from ..sources.files import kept, spread, table
@@ -143,7 +144,7 @@ def nn_similarity(spark, sf):
 def unseen_rate(spark, sf):
     labels = _embeddings(spark, sf).select(F.col("vec_id").alias("query_id"), "label")
     n = _dense(spark, sf, 1).join(labels, "query_id")
-    cut = n.agg(F.percentile(F.when(F.col("label") < 5, F.col("score")), 0.05).alias("cut"))  # one row
+    cut = exact_quantiles(n.where("label < 5"), "score", [0.05]).select(F.col("q")[0].alias("cut"))  # one row
     new = F.col("label") >= 5
     return n.join(F.broadcast(cut)).agg(F.count_if(new).alias("n"), F.count_if(new & (F.col("score") < F.col("cut"))).alias("unseen"))
 
@@ -169,7 +170,7 @@ def cluster_purity_nmi_ari(spark, sf):
 
 @query()
 def agglomerative_clusters(spark, sf):
-    """One window of bounded size for each label: average linkage inside."""
+    """Average linkage within each label, of any size."""
     return clusters.average_linkage(_embeddings(spark, sf), "vec_id", "embedding", "label")
 
 

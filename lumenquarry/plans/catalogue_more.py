@@ -116,14 +116,7 @@ def best_with_ties(spark, sf):
 @query("WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id FROM d WHERE i IN (SELECT floor(j * n / 50.0)::BIGINT FROM range(50) r(j), (SELECT any_value(n) AS n FROM d))")
 def even_sample(spark, sf):
     """Fifty rows at even distances by key, a sampling operator; numbers come from ranges, so that no task sorts all rows."""
-    d = table(spark, sf, "documents").select("doc_id").repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
-    counts = d.groupBy("part").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("part", before.alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("n"))
-    i = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1
-    rows = d.join(starts, "part").withColumn("i", i)
-    wanted = spark.range(50).join(starts.agg(F.max("n").alias("m"))).select(F.floor(F.col("id") * F.col("m") / 50.0).alias("i")).distinct()
-    return rows.join(wanted, "i", "left_semi").select("doc_id")
+    return relational.evenly(table(spark, sf, "documents").select("doc_id"), 50, "doc_id").select("doc_id")
 
 
 @query("WITH c AS (SELECT unnest(generate_series((SELECT max(ts)::DATE FROM events) - INTERVAL 13 DAY, (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day), k AS (SELECT DISTINCT event_type FROM events), e AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events WHERE value > 90 GROUP BY ALL) SELECT k.event_type, c.day, coalesce(n, 0) AS n FROM k CROSS JOIN c LEFT JOIN e ON e.event_type = k.event_type AND e.day = c.day")

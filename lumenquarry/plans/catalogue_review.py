@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, drift, review, search
+from ..operators import clusters, drift, metrics, review, search
 from ..sources.files import table
 from .catalogue import _PAIRS, _dense, _documents, query, r4
 
@@ -155,8 +155,8 @@ def evidence_selection(spark, sf):
 
 @query("""SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean, max(o_totalprice) AS most, round(quantile_cont(o_totalprice, 0.95), 2) AS p95 FROM orders GROUP BY 1""")
 def resource_series(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_orderpriority")
-    return o.agg(F.round(F.avg("o_totalprice"), 2).alias("mean"), F.max("o_totalprice").alias("most"), F.round(F.percentile("o_totalprice", F.lit(0.95)), 2).alias("p95"))
+    m = metrics.latencies(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
+    return m.select("o_orderpriority", F.round("mean", 2).alias("mean"), F.col("max").alias("most"), F.round("p95", 2).alias("p95"))
 
 
 @query()
@@ -179,3 +179,10 @@ def over_represented(spark, sf):
 def vector_components(spark, sf):
     """Chains of near vectors within each label, by blocks."""
     return clusters.threshold_components(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", cut=0.3)
+
+
+@query()
+def joint_topics(spark, sf):
+    """Vectors of both windows (the last fifth is recent) clustered together within halves of the labels, and clusters that recent rows crowd."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 5 == 0).alias("recent"), (F.col("label") % 2).alias("half"))
+    return drift.joint_topics(e, "vec_id", "embedding", "recent", "half", cut=0.8)

@@ -146,3 +146,10 @@ def kept(spark: SparkSession, name: str, source: str, build) -> str:
         build(to)
         _KEPT[key] = to
     return _KEPT[key]
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -35,6 +35,22 @@ def latencies(df: DataFrame, value: str, *by: str) -> DataFrame:
     return t.select(*by, "n", "mean", *[F.col("q")[i].alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))], "max")
 
 
+def flattened(reports: DataFrame, key: str, report: str, depth: int = 8) -> DataFrame:
+    """(key, path, value): the numbers of JSON reports by dotted path; entries of lists by their place from 0. Booleans and what isn't a number are no metrics.
+
+    A report that isn't JSON has no paths. Objects and lists are opened ``depth`` levels deep.
+    """
+    spark = reports.sparkSession
+    level, out = reports.select(F.col(key).alias("key"), F.lit("").alias("path"), F.try_parse_json(F.col(report)).alias("v")).where("v is not null"), None
+    for _ in range(depth):
+        opened = spark.sql("SELECT key, concat(path, if(path = '', '', '.'), coalesce(e.key_, cast(e.pos AS string))) AS path, e.value AS v, schema_of_variant(e.value) AS kind FROM {level}, LATERAL variant_explode(v) AS e(pos, key_, value)", level=level)
+        numbers = opened.where("kind not like 'OBJECT%' and kind not like 'ARRAY%' and kind not in ('BOOLEAN', 'STRING', 'VOID')")
+        part = numbers.select("key", "path", F.expr("try_variant_get(v, '$', 'double')").alias("value")).where("value is not null")
+        out = part if out is None else out.unionByName(part)
+        level = opened.where("kind like 'OBJECT%' or kind like 'ARRAY%'").select("key", "path", "v")
+    return out.withColumnRenamed("key", key)
+
+
 def gate(metrics: DataFrame, checks: DataFrame) -> DataFrame:
     """(path, value, status): ok, below, above or missing for checks (path, min, max)."""
     rows = checks.join(metrics, "path", "left")

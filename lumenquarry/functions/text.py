@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,22 +55,68 @@ def excerpt(text: Column, size: int = 180) -> Column:
     return F.when(F.length(flat) <= size, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(size - 1))), F.lit("…")))
 
 
-def perturbed(text: Column, kind: str) -> Column:
-    """``lower_no_punctuation``, ``upper`` (full case mapping: ß gives SS), ``truncated`` (60 % of the words), ``noise`` or ``typos``.
+#: Perturbations by name: functions from a column to a column. register with ``perturbation``.
+PERTURBATIONS: dict[str, Callable[[Column], Column]] = {}
+
+
+def perturbation(name: str) -> Callable:
+    def add(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        PERTURBATIONS[name] = f
+        return f
+
+    return add
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != "")
+
+
+@perturbation("typos")
+def _typos(text: Column) -> Column:
+    """In about an eighth of the words of four characters or more, as their digest says, two inner characters change places, one is lost, or one stands twice."""
+
+    def number(w: Column, at: int, size: int) -> Column:
+        return F.conv(F.substring(F.md5(w), at, size), 16, 10).cast("int")
 
-    Typos: in words of four characters or more, the second and third change places where the word's digest begins with 0 to 3.
-    """
-    words = F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != "")
     def typo(w: Column) -> Column:
-        return F.when((F.length(w) >= 4) & (F.left(F.md5(w), F.lit(1)) < "4"), F.concat(F.left(w, F.lit(1)), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w)))).otherwise(w)
-
-    return {
-        "typos": F.array_join(F.transform(words, typo), " "),
-        "lower_no_punctuation": F.regexp_replace(F.lower(text), "[.,;:!?'\"()-]", ""),
-        "upper": F.upper(text),
-        "truncated": F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.floor(F.size(words) * 0.6).cast("int"))), " "),
-        "noise": F.concat(F.lit("hi there, "), text, F.lit(" thanks in advance")),
-    }[kind]
+        n = F.length(w)
+        i = 1 + number(w, 2, 2) % F.greatest(n - 2, F.lit(1))  # from 1 to n - 2
+        head, one, two, tail = F.left(w, i), F.substring(w, i + 1, F.lit(1)), F.substring(w, i + 2, F.lit(1)), F.substring(w, i + 3, n)
+        kind = number(w, 4, 1) % 3
+        changed = F.when(kind == 0, F.concat(head, two, one, tail)).when(kind == 1, F.concat(head, two, tail)).otherwise(F.concat(head, one, one, two, tail))
+        return F.when((n >= 4) & (number(w, 1, 1) < 2), changed).otherwise(w)
+
+    return F.array_join(F.transform(_words(text), typo), " ")
+
+
+@perturbation("lower_no_punctuation")
+def _plain(text: Column) -> Column:
+    """Lower case without ASCII punctuation, single blanks."""
+    bare = F.regexp_replace(F.lower(text), "[!-/:-@\\[-`{-~]", "")
+    return F.trim(F.regexp_replace(bare, "[ \\t\\n\\r]+", " "))
+
+
+@perturbation("upper")
+def _upper(text: Column) -> Column:
+    """Full case mapping: ß gives SS."""
+    return F.upper(text)
+
+
+@perturbation("truncated")
+def _truncated(text: Column) -> Column:
+    """The first 60 % of the words, rounded up, four at least."""
+    words = _words(text)
+    return F.array_join(F.slice(words, 1, F.greatest(F.lit(4), F.ceil(F.size(words) * 0.6).cast("int"))), " ")
+
+
+@perturbation("noise")
+def _noise(text: Column) -> Column:
+    return F.concat(F.lit("hi there, "), text, F.lit(" thanks in advance"))
+
+
+def perturbed(text: Column, kind: str) -> Column:
+    """The text after a registered perturbation: typos, lower_no_punctuation, upper, truncated, noise."""
+    return PERTURBATIONS[kind](text)
 
 
 _MARKUP = re.compile(r"<[^>]+>")

@@ -5,15 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What counts as a specific statement in a text.
+# Specific statements that an answer must not make up: where to go, whom to write to, how much, long numbers.
 SPECIFICS = {
-    "urls": "https?://[A-Za-z0-9./?=&_%#-]+",
-    "emails": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}",
-    "money": "[$€£][ ]?[0-9]+(?:[.,][0-9]+)*",
-    "numbers": "[0-9]{5,}",
+    "urls": r"https?://\S+|www\.\S+",
+    "emails": r"[\w.+-]+@[\w-]+\.[\w.-]+",
+    "money": r"[£$€]\s?[0-9][0-9,.]*",
+    "numbers": r"\b[0-9][0-9\s().-]{6,}[0-9]\b",
 }
-#: Signs of commands to a reader that is a model: a verb of dismissal before what was said, and a claim to speak for the system.
-DISMISS, CLAIM = "(?:forget|ignore|disregard)[a-z ]{0,20}(?:instructions|rules|messages)", "(?:system|developer) (?:message|prompt|note)"
+SPECIFIC = "|".join(SPECIFICS.values())
+# Phrases that give orders to a reader that is a model; the first net is for requests, both are for evidence.
+INJECTION = (
+    r"(?i)(ignore (all |any |the )?(previous|prior|above|earlier) (instructions|prompts?|rules)|disregard (the |all )?(system|previous|prior|above)|"
+    r"you are now|reveal (your|the) (system )?prompt|jailbreak|do anything now)"
+)
+EVIDENCE_INJECTION = (
+    r"(?i)((ignore|disregard|forget|override|bypass)\b[^.\n]{0,40}\b(instructions?|prompts?|rules?|guidelines?|system|above|previous|prior|earlier)|"
+    r"\b(new|updated|real) (instructions?|rules?|system prompt)\b|\bfrom now on\b|\byou (must|should|will) (now )?(only )?(respond|reply|output|answer|say|cite)\b|"
+    r"\b(system|assistant|developer) (prompt|message|override|mode)\b|\bdeveloper mode\b|\bjailbreak\b|\bdo anything now\b|"
+    r"\b(reveal|print|repeat|show) (your|the) (system |hidden )?(prompt|instructions)\b|\bdo not (follow|obey) (the )?(rules|instructions|evidence)\b|"
+    r"\brespond only with\b|\bpretend (to be|you are)\b|\bact as (if you|an? (unrestricted|different))\b)"
+)
+# Labels of speakers, tokens that part messages, ids in brackets, characters that don't show.
+ROLE_LABEL = r"\b(SYSTEM|ASSISTANT|USER|HUMAN|DEVELOPER)\s*:|(?m)^\s*(system|assistant|user|human|developer)\s*:"
+ROLE_TOKEN = r"(?im)(<\|[^|>]{1,30}\|>|\[/?(INST|SYS)\]|<<\s*/?SYS\s*>>|^\s*(system|assistant|user|human|ai)\s*:|```+)"
+FORGED_ID = r"\[\s*([A-Za-z]{2,6}[-_ ]?[0-9]{1,8})\s*\]"
+INVISIBLE = "[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
+REMOVED = "[removed: instruction-like text]"
 
 
 def sentences(text: Column, least: int = 0) -> Column:
@@ -23,13 +40,14 @@ def sentences(text: Column, least: int = 0) -> Column:
 
 
 def specifics(text: Column) -> Column:
-    """All specific statements of a text, squashed to letters and digits in lower case."""
-    found = F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)) for p in SPECIFICS.values()])
+    """All specific statements of a text, squashed; each place counts once."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({SPECIFIC})"), F.lit(0))
     return F.filter(F.transform(found, squashed), lambda x: x != "")
 
 
 def squashed(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    """Letters, digits, currency signs, @ and points of a text in lower case; points at the end go."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9£$€@.]", ""), "[.]+$", "")
 
 
 def invented(answer: Column, evidence: Column) -> Column:
@@ -38,11 +56,20 @@ def invented(answer: Column, evidence: Column) -> Column:
     return F.filter(specifics(answer), lambda x: ~F.contains(known, x))
 
 
+def looks_hostile(text: Column) -> Column:
+    """Whether a request holds a phrase of either net, characters that don't show left out. A null text doesn't."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, "")
+    return t.rlike(INJECTION) | t.rlike(EVIDENCE_INJECTION)
+
+
 def neutralised(text: Column) -> Column:
-    """Evidence that can't command a reader: forged ids in brackets become round ones, hostile sentences a mark, role tokens go."""
-    s = F.regexp_replace(F.regexp_replace(text, "\\[([A-Z]+-[0-9]+)\\]", "($1)"), "<\\|[a-z_]+\\|>", "")
-    hostile = lambda x: F.lower(x).rlike(DISMISS) | F.lower(x).rlike(CLAIM)
-    return F.array_join(F.transform(sentences(s), lambda x: F.when(hostile(x), F.lit("[removed]")).otherwise(x)), " ")
+    """Evidence that can't command a reader: characters that don't show and tags go, forged ids in brackets become round ones, sentences with a hostile phrase or
+    a speaker's label become a mark, other role tokens a blank. Entities and compatibility forms are for text.normalised(), before. A null text is empty."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, ""), "<[^>|]+>", " ")
+    parts = F.split(F.regexp_replace(F.regexp_replace(t, FORGED_ID, "($1)"), "([.!?])[ \\t\\r\\n]+|\\n+", "$1\x01"), "\x01")
+    hostile = lambda x: x.rlike(EVIDENCE_INJECTION) | x.rlike(INJECTION) | x.rlike(ROLE_LABEL)
+    safe = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.when(hostile(x), F.lit(REMOVED)).otherwise(F.regexp_replace(x, ROLE_TOKEN, " ")))
+    return F.trim(F.regexp_replace(F.array_join(safe, " "), "[ \\t\\r\\n]+", " "))
 
 
 def rewritten(text: Column, words: dict[str, str]) -> Column:

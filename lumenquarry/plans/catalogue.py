@@ -340,9 +340,14 @@ def token_estimates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.estimated_tokens(F.col("text")).alias("tokens"), F.length("text").alias("chars"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM documents)
-SELECT doc_id, regexp_replace(lower(text), '[.,;:!?''"()-]', '', 'g') AS plain, upper(replace(text, 'ß', 'ss')) AS loud, array_to_string(list_slice(w, 1, greatest(1, floor(len(w) * 0.6)::INT)), ' ') AS cut, 'hi there, ' || text || ' thanks in advance' AS noisy,
-  array_to_string(list_transform(w, lambda x: CASE WHEN length(x) >= 4 AND substr(md5(x), 1, 1) < '4' THEN left(x, 1) || substr(x, 3, 1) || substr(x, 2, 1) || substr(x, 4) ELSE x END), ' ') AS typos FROM d""")
+@query("""WITH d AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM documents),
+k AS (SELECT *, list_transform(w, lambda x: 1 + ('0x' || substr(md5(x), 2, 2))::INT % greatest(length(x) - 2, 1)) AS places FROM d)
+SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS plain, upper(replace(text, 'ß', 'ss')) AS loud,
+  array_to_string(list_slice(w, 1, greatest(4, ceil(len(w) * 0.6)::INT)), ' ') AS cut, 'hi there, ' || text || ' thanks in advance' AS noisy,
+  array_to_string(list_transform(list_zip(w, places), lambda p: CASE WHEN length(p[1]) < 4 OR ('0x' || substr(md5(p[1]), 1, 1))::INT >= 2 THEN p[1]
+    WHEN ('0x' || substr(md5(p[1]), 4, 1))::INT % 3 = 0 THEN left(p[1], p[2]) || substr(p[1], p[2] + 2, 1) || substr(p[1], p[2] + 1, 1) || substr(p[1], p[2] + 3)
+    WHEN ('0x' || substr(md5(p[1]), 4, 1))::INT % 3 = 1 THEN left(p[1], p[2]) || substr(p[1], p[2] + 2)
+    ELSE left(p[1], p[2] + 1) || substr(p[1], p[2] + 1) END), ' ') AS typos FROM k""")
 def perturbed_texts(spark, sf):
     kinds = {"plain": "lower_no_punctuation", "loud": "upper", "cut": "truncated", "noisy": "noise", "typos": "typos"}
     return _documents(spark, sf).select("doc_id", *[tx.perturbed(F.col("text"), kind).alias(name) for name, kind in kinds.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import grounding, quality, relational
+from ..operators import clusters, grounding, quality, relational, review
 from ..sources.files import table
 from ..sources.ingest import validated
 from .catalogue import query, r4
@@ -128,10 +128,19 @@ def calendar_counts(spark, sf):
     return days.join(n, ["event_type", "day"], "left").select("event_type", "day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT conv_id, turn, regexp_matches(text, '(?i)(the (a|an) |ignore (all |any )?(previous|prior|above) instructions)') AS hostile FROM conversations")
+def _injection_sql():
+    from .catalogue_review import _HOSTILE
+
+    clean = f"regexp_replace({_HOSTILE}, '{review.INVISIBLE}', '', 'g')"
+    return f"SELECT conv_id, turn, regexp_matches({clean}, '{review.INJECTION}') OR regexp_matches({clean}, '{review.EVIDENCE_INJECTION}') AS flagged FROM conversations"
+
+
+@query(_injection_sql())
 def injection_flags(spark, sf):
-    hostile = F.col("text").rlike("(?i)(the (a|an) |ignore (all |any )?(previous|prior|above) instructions)")
-    return table(spark, sf, "conversations").select("conv_id", "turn", hostile.alias("hostile"))
+    """Turns, some with hostile sentences added, by both nets."""
+    from .catalogue_review import _added
+
+    return table(spark, sf, "conversations").select("conv_id", "turn", review.looks_hostile(_added()).alias("flagged"))
 
 
 @query("SELECT c_custkey, to_base64(encode('{\"id\":' || c_custkey || '}')) AS token FROM customer")
@@ -141,8 +150,8 @@ def cursor_tokens(spark, sf):
 
 @query("SELECT label, sha1(array_to_string(list_sort(list(vec_id::VARCHAR)), '|')) AS id, count(*) AS size FROM embeddings GROUP BY 1 HAVING count(*) >= 3")
 def recurring_ids(spark, sf):
-    t = table(spark, sf, "embeddings").groupBy("label").agg(F.sha1(F.array_join(F.sort_array(F.collect_list(F.col("vec_id").cast("string"))), "|")).alias("id"), F.count("*").alias("size"))
-    return t.where("size >= 3")
+    found = clusters.recurring(table(spark, sf, "embeddings").withColumn("cluster", F.col("label")), "vec_id", "cluster", "label")
+    return found.select(F.col("top").alias("label"), "id", "size")
 
 
 @query("SELECT toxic, round(avg(quality), 4) AS mean, count(*) AS n, round((count(*) FILTER (WHERE quality = 1) / count(*) + 3.8416 / count(*) / 2 + 1.96 * sqrt(avg(quality) * (1 - avg(quality)) / count(*) + 3.8416 / count(*) / (4 * count(*)))) / (1 + 3.8416 / count(*)), 4) AS high FROM labels GROUP BY 1")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..functions.vectors import cosine, mean_vector
 from ..sources.files import removed, scratch, written
 
 #: Points of a group that are finished in one task; a group of more goes through distributed rounds until so many are left.
@@ -281,6 +282,12 @@ def distinct_keywords(docs: DataFrame, cluster: str, text: str, k: int = 8, **op
     return chosen
 
 
+def cohesion(df: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """(cluster, size, cohesion): the mean cosine of a cluster's vectors to their mean."""
+    centroid = mean_vector(df, [cluster], vector, "centroid")
+    return df.join(centroid, cluster).groupBy(cluster).agg(F.count("*").alias("size"), F.avg(cosine(F.col(vector), F.col("centroid"))).alias("cohesion"))
+
+
 def agreement(df: DataFrame, cluster: str, label: str) -> DataFrame:
     """(purity, ari, nmi) of a clustering against labels, from the contingency table."""
     cells = df.groupBy(F.col(cluster).alias("c"), F.col(label).alias("l")).agg(F.count("*").alias("n"))

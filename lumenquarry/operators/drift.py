@@ -57,11 +57,25 @@ def proportion_z(table: DataFrame) -> DataFrame:
     return t.select("category", "a", "b", delta.alias("delta"), F.when(se > 0, delta / se).alias("z"))
 
 
-def changes(table: DataFrame, p_limit_z: float = 2.5758293035489004, least: float = 0.03) -> DataFrame:
-    """proportion_z() with a flag: new, vanished, up, down or steady."""
-    sure = (F.abs("z") > p_limit_z) & (F.abs("delta") >= least)
-    flag = F.when((F.col("a") == 0) & (F.col("b") >= 3), "new").when((F.col("b") == 0) & (F.col("a") >= 3), "vanished").when(sure & (F.col("delta") > 0), "up").when(sure & (F.col("delta") < 0), "down").otherwise("steady")
-    return proportion_z(table).withColumn("flag", flag)
+def changes(table: DataFrame, level: float = 0.01, least: float = 0.03, least_count: int = 3, exact_below: float = 10.0) -> DataFrame:
+    """(category, a, b, delta, p, psi_share, flag) of counts: each category's change of share, its own test, its share of the stability index, and a flag.
+
+    p is that of Fisher's exact test where an expected count is under ``exact_below``, else of z. The flag is new or vanished where one window has none and the
+    other ``least_count`` or more, up or down where p is under ``level`` and the share changed by ``least`` or more, else steady. Only counts reach Python.
+    """
+    every = Window.partitionBy(F.lit(1))
+    t = table.withColumns({"na": F.sum("a").over(every), "nb": F.sum("b").over(every)})
+
+    @F.pandas_udf("double")
+    def p(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        return pd.Series([_proportion_p(int(w), int(x), int(y), int(z), exact_below) for w, x, y, z in zip(a, b, na, nb, strict=True)])
+
+    parts = psi(table).withColumn("psi_share", F.coalesce(F.try_divide("part", F.sum("part").over(every)), F.lit(0.0))).select("category", "psi_share")
+    delta = F.coalesce(F.try_divide("b", "nb"), F.lit(0.0)) - F.coalesce(F.try_divide("a", "na"), F.lit(0.0))
+    t = t.select("category", "a", "b", delta.alias("delta"), p("a", "b", "na", "nb").alias("p")).join(parts, "category")
+    sure = (F.col("p") < level) & (F.abs("delta") >= least)
+    flag = F.when((F.col("a") == 0) & (F.col("b") >= least_count), "new").when((F.col("b") == 0) & (F.col("a") >= least_count), "vanished").when(sure & (F.col("delta") > 0), "up").when(sure, "down").otherwise("steady")
+    return t.withColumn("flag", flag)
 
 
 def ks(df: DataFrame, value: str) -> DataFrame:
@@ -102,8 +116,18 @@ def holm(ps: DataFrame, alpha: float = 0.01) -> DataFrame:
     return rows.withColumn("survives", failed == 0)
 
 
-def report(df: DataFrame, categories: list[str], value: str, alpha: float = 0.01, least_rows: int = 30) -> DataFrame:
-    """(signal, statistic, p, effect, survives, alert, status): p-values are taken from small aggregates by Arrow functions."""
+#: Least effects by kind of signal: stability index, distance of distributions, rise of a rate.
+GATES = {"distribution": 0.1, "value": 0.15, "rate": 0.05}
+
+
+def report(df: DataFrame, categories: list[str], value: str, alpha: float = 0.01, least_rows: int = 30, rates: dict[str, Column] | None = None, falls: bool = False, gates: dict[str, float] | None = None) -> DataFrame:
+    """(signal, kind, statistic, p, effect, survives, alert, status): one family of tests, corrected together, each with its own gate of effect.
+
+    Columns of ``categories`` are tested as distributions, ``value`` by its two samples (with ``falls`` it alerts only where the mean falls), each of ``rates``, a
+    condition by name, for a rise of its share. An alert survives the correction and reaches its kind's gate; ``gates`` overrides GATES. With fewer than
+    ``least_rows`` rows in a window nothing alerts. p-values are taken from small aggregates by Arrow functions.
+    """
+    gates = GATES | (gates or {})
     @F.pandas_udf("double")
     def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
         return pd.Series([stats.chi2_sf(a, int(b)) if pd.notna(a) else 1.0 for a, b in zip(x, dof, strict=True)])
@@ -115,14 +139,22 @@ def report(df: DataFrame, categories: list[str], value: str, alpha: float = 0.01
     rows = None
     for c in categories:
         table = counts(df, c)
-        part = chi2(table).join(psi(table).agg(F.sum("part").alias("effect"))).select(F.lit(c).alias("signal"), "statistic", chi2_p("statistic", "dof").alias("p"), "effect")
+        part = chi2(table).join(psi(table).agg(F.sum("part").alias("effect"))).select(F.lit(c).alias("signal"), F.lit("distribution").alias("kind"), "statistic", chi2_p("statistic", "dof").alias("p"), "effect")
         rows = part if rows is None else rows.unionByName(part)
-    rows = rows.unionByName(ks(df, value).select(F.lit(value).alias("signal"), F.col("d").alias("statistic"), ks_p("d", "n_a", "n_b").alias("p"), F.col("d").alias("effect")))
+    mean = lambda side: F.avg(F.when(F.col("side") == side, F.col(value)))
+    fell = df.agg((mean("recent") < mean("baseline")).alias("fell"))  # one row
+    one = ks(df, value).select(F.lit(value).alias("signal"), F.lit("value").alias("kind"), F.col("d").alias("statistic"), ks_p("d", "n_a", "n_b").alias("p"), F.col("d").alias("effect"))
+    one = one.join(fell).withColumn("effect", F.when(F.coalesce("fell", F.lit(False)), F.col("effect")).otherwise(0.0) if falls else F.col("effect")).drop("fell")
+    rows = one if rows is None else rows.unionByName(one)
+    for name, condition in (rates or {}).items():
+        t = changes(counts(df.withColumn("hit", F.when(condition, "yes").otherwise("no")), "hit")).where("category = 'yes'")
+        rows = rows.unionByName(t.select(F.lit(name).alias("signal"), F.lit("rate").alias("kind"), F.col("delta").alias("statistic"), "p", F.col("delta").alias("effect")))
     size = df.agg(F.count_if(F.col("side") == "recent").alias("nr"), F.count_if(F.col("side") == "baseline").alias("nb"))
     out = holm(rows, alpha).join(size)
     enough = (F.col("nr") >= least_rows) & (F.col("nb") >= least_rows)
-    alert = F.col("survives") & (F.col("effect") >= 0.1) & enough
-    return out.select("signal", "statistic", "p", "effect", "survives", alert.alias("alert"), F.when(~enough, "insufficient_data").when(F.max(alert.cast("int")).over(Window.partitionBy(F.lit(1))) == 1, "alert").otherwise("ok").alias("status"))
+    gate = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(g))) for k, g in gates.items()])
+    alert = F.col("survives") & (F.col("effect") >= gate) & enough
+    return out.select("signal", "kind", "statistic", "p", "effect", "survives", alert.alias("alert"), F.when(~enough, "insufficient_data").when(F.max(alert.cast("int")).over(Window.partitionBy(F.lit(1))) == 1, "alert").otherwise("ok").alias("status"))
 
 
 def _proportion_p(a: int, b: int, na: int, nb: int, exact_below: float) -> float:

@@ -85,6 +85,11 @@ def offset_page(df: DataFrame, limit: int, offset: int, *order: Column) -> DataF
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, limit: int, offset: int, *order: Column, total: str = "total") -> DataFrame:
+    """offset_page() with the number of all rows beside each; an empty page has no row to tell it."""
+    return offset_page(df, limit, offset, *order).join(F.broadcast(df.agg(F.count("*").alias(total))))
+
+
 def anti_join_members(df: DataFrame, key: str, groups: DataFrame, members: str) -> DataFrame:
     """Rows whose key is in no group's array: the array is exploded first, so that the join has an equality."""
     return df.join(groups.select(F.explode(members).alias(key)).distinct(), key, "left_anti")

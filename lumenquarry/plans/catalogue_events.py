@@ -49,9 +49,11 @@ def proportion_z(spark, sf):
     return drift.proportion_z(drift.counts(_sides(spark, sf), "event_type")).select("category", "a", "b", r4("delta", "delta"), r4("z", "z"))
 
 
-@query(_Z + " SELECT category, CASE WHEN a = 0 AND b >= 3 THEN 'new' WHEN b = 0 AND a >= 3 THEN 'vanished' WHEN abs(z) > 2.5758293035489004 AND abs(delta) >= 0.03 THEN CASE WHEN delta > 0 THEN 'up' ELSE 'down' END ELSE 'steady' END AS flag FROM z")
+@query(_Z.replace("z AS (SELECT category, a, b, delta,", "y AS (SELECT category, ((b + 0.5) / sum(b + 0.5) OVER () - (a + 0.5) / sum(a + 0.5) OVER ()) * ln(((b + 0.5) / sum(b + 0.5) OVER ()) / ((a + 0.5) / sum(a + 0.5) OVER ())) AS part FROM t), z AS (SELECT category, a, b, delta,")
+    + """ SELECT category, a, b, round(delta, 4) AS delta, round(part / sum(part) OVER (), 4) AS psi_share, CASE WHEN a = 0 AND b >= 3 THEN 'new' WHEN b = 0 AND a >= 3 THEN 'vanished' WHEN abs(z) > 2.5758293035489004 AND abs(delta) >= 0.03 THEN CASE WHEN delta > 0 THEN 'up' ELSE 'down' END ELSE 'steady' END AS flag FROM z JOIN y USING (category)""")
 def category_changes(spark, sf):
-    return drift.changes(drift.counts(_sides(spark, sf), "event_type")).select("category", "flag")
+    """Counts here are large enough for z everywhere, which SQL can tell; smaller ones are tested exactly (small_sample_changes)."""
+    return drift.changes(drift.counts(_sides(spark, sf), "event_type"), exact_below=0.0).select("category", "a", "b", r4("delta", "delta"), r4("psi_share", "psi_share"), "flag")
 
 
 @query(_SIDES + ", v AS (SELECT value, count(*) FILTER (WHERE NOT recent) AS a, count(*) FILTER (WHERE recent) AS b FROM s WHERE value IS NOT NULL GROUP BY 1), c AS (SELECT sum(a) OVER w / sum(a) OVER () AS fa, sum(b) OVER w / sum(b) OVER () AS fb FROM v WINDOW w AS (ORDER BY value)) SELECT round(max(abs(fa - fb)), 6) AS d FROM c")
@@ -78,7 +80,7 @@ def holm_correction(spark, sf):
 
 @query()
 def drift_report(spark, sf):
-    return drift.report(_sides(spark, sf), ["event_type"], "value")
+    return drift.report(_sides(spark, sf), ["event_type"], "value", rates={"error_rate": F.col("event_type") == "error"})
 
 
 @query("""WITH l AS (SELECT max(ts::DATE) AS last FROM events), x AS (SELECT event_type, date_diff('day', ts::DATE, last) AS age FROM events, l), c AS (SELECT event_type, count(*) FILTER (WHERE age >= 7) AS early, count(*) FILTER (WHERE age < 7) AS late FROM x WHERE age < 14 GROUP BY 1)
@@ -314,3 +316,18 @@ def param_grid_sweep(spark, sf):
 @query()
 def bootstrap_ci(spark, sf):
     return metrics.bootstrap(table(spark, sf, "labels"), "doc_id", "quality")
+
+
+@query("""SELECT bucket, json_group_object(event_type, n)::VARCHAR AS mix, sum(n)::BIGINT AS n FROM (SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL ORDER BY event_type) GROUP BY 1""")
+def timeline_hour_map(spark, sf):
+    """For each hour a map from event type to its count, as JSON in the order of types."""
+    t = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("bucket"), "event_type").agg(F.count("*").alias("n"))
+    m = t.groupBy("bucket").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("mix"), F.sum("n").alias("n"))
+    return m.select("bucket", F.to_json("mix").alias("mix"), "n")
+
+
+@query("SELECT o_orderkey, o_totalprice::DOUBLE AS price, count(*) OVER () AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def page_with_total(spark, sf):
+    """The third page of twenty, each row beside the number of all rows."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    return relational.page_with_total(o, 20, 40, F.desc("price"), F.asc("o_orderkey"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, mean_vector
+from ..functions.vectors import CHUNK, mean_vector, packed
 
 
 def rules(docs: DataFrame, doc: str, text: str, keywords: DataFrame) -> DataFrame:
@@ -31,13 +35,30 @@ def prototypes(rows: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def prototype_softmax(rows: DataFrame, key: str, vector: str, protos: DataFrame, temperature: float = 0.05) -> DataFrame:
-    """(key, label, p): softmax over cosines with all prototypes, taken from an array that every row gets."""
-    table = F.broadcast(protos.agg(F.sort_array(F.collect_list(F.struct("label", "prototype"))).alias("protos")))  # one row: the taxonomy
-    sims = rows.join(table).select(F.col(key).alias("key"), F.transform("protos", lambda p: F.struct(p["label"].alias("label"), cosine(F.col(vector), p["prototype"]).alias("s"))).alias("sims"))
-    top = F.array_max(F.transform("sims", lambda s: s["s"]))
-    weights = sims.withColumn("top", top).withColumn("e", F.transform("sims", lambda s: F.struct(s["label"].alias("label"), F.exp((s["s"] - F.col("top")) / temperature).alias("e"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x["e"])
-    return weights.withColumn("total", total).select("key", F.explode("e").alias("x"), "total").select("key", F.col("x.label").alias("label"), (F.col("x.e") / F.col("total")).alias("p"))
+    """(key, label, p): softmax over cosines with all prototypes: one matrix product for each chunk of rows, beside one row that holds the taxonomy.
+
+    Keys are integers. Rows without key or vector are left out; so are prototypes without a vector.
+    """
+    kind = protos.schema["label"].dataType.simpleString()
+    known = protos.where("prototype is not null").select(F.col("label").cast("string").alias("label"), F.col("prototype").cast("array<double>").alias("prototype"))
+    table = F.broadcast(known.agg(F.sort_array(F.collect_list(F.struct("label", "prototype"))).alias("protos")))  # one row: the taxonomy
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = np.frombuffer(r["ids"], np.int64)
+                if not r["protos"] or not len(ids):
+                    continue
+                m = np.array([p["prototype"] for p in r["protos"]])
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                z = (np.frombuffer(r["matrix"]).reshape(len(ids), -1) @ m.T) / temperature
+                e = np.exp(z - z.max(axis=1, keepdims=True))
+                e /= e.sum(axis=1, keepdims=True)
+                labels = pa.array([p["label"] for p in r["protos"]] * len(ids), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(m))), labels, pa.array(e.reshape(-1))], ["key", "label", "p"])
+
+    found = packed(rows, key, vector, CHUNK).join(table).mapInArrow(run, "key bigint, label string, p double")
+    return found.withColumn("label", F.col("label").cast(kind))
 
 
 def ensemble(parts: list[tuple[DataFrame, float]], key: str = "key") -> DataFrame:

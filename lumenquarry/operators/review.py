@@ -126,11 +126,28 @@ def proposals(members: DataFrame, cluster: str, label: str, name: str, least: in
 
 
 def decided(taxonomy: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(label_id, description): a taxonomy after decisions (label_id, decision, into, description): accepted labels are added, merged ones go into another."""
-    merged = decisions.where("decision = 'merge'").select("label_id", F.col("into").alias("target"))
-    added = decisions.where("decision = 'accept'").select("label_id", "description").join(taxonomy, "label_id", "left_anti")
-    kept = taxonomy.select("label_id", "description").join(merged, "label_id", "left_anti")
-    return kept.unionByName(added)
+    """A taxonomy (label_id, description and, where there are, arrays keywords and examples) after decisions (label_id, decision, into and the same columns).
+
+    Accepted labels are added where they are new. A merged label, known or proposed, goes into another, which takes over its keywords and examples behind its own, each once.
+    A label merged into one that isn't in the taxonomy goes all the same. Rejected proposals, other decisions and a merge into itself change nothing. Chains of merges go step by step:
+    each decision is about labels of the table it is given.
+    """
+    lists = [c for c in ("keywords", "examples") if c in taxonomy.columns and c in decisions.columns]
+    added = decisions.where("decision = 'accept'").dropDuplicates(["label_id"]).select("label_id", "description", *lists).join(taxonomy.select("label_id"), "label_id", "left_anti")
+    now = taxonomy.select("label_id", "description", *lists).unionByName(added)
+    merges = decisions.where("decision = 'merge' and into <> label_id").select("label_id", F.col("into").alias("target"), *[F.col(c).alias(f"own_{c}") for c in lists])
+    merges = merges.dropDuplicates(["label_id"])
+    kept = now.join(merges.select("label_id"), "label_id", "left_anti")
+    if not lists:
+        return kept
+    # What a merged label had in the taxonomy, and what its decision brings.
+    had = merges.join(now.select("label_id", *lists), "label_id", "left")
+    none = F.array().cast("array<string>")
+    whole = [F.concat(F.coalesce(c, none), F.coalesce(f"own_{c}", none)).alias(c) for c in lists]
+    more = had.select("target", "label_id", *whole).groupBy("target").agg(*[F.array_sort(F.collect_list(F.struct("label_id", F.col(c).alias("xs")))).alias(c) for c in lists])
+    out = kept.alias("k").join(more.alias("m"), F.col("k.label_id") == F.col("m.target"), "left")
+    merged = [F.array_distinct(F.concat(F.coalesce(f"k.{c}", none), F.coalesce(F.flatten(F.transform(f"m.{c}", lambda s: s["xs"])), none))).alias(c) for c in lists]
+    return out.select("k.label_id", "k.description", *merged)
 
 
 def linked(left: DataFrame, right: DataFrame, member: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.quantiles import exact_quantiles
+from ..sources.files import scratch, written
 from .clusters import average_linkage
 from .relational import in_ranges, window_between
 
@@ -219,7 +220,7 @@ def joint_topics(df: DataFrame, key: str, vector: str, recent: str, by: str, cut
     points; clusters of fewer than ``least_rows`` rows aren't tested, but their rows count. A cluster's name is its least key.
     """
     points = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(by, F.col(vector).alias("vector")).agg(F.min(key).alias("point"), F.count("*").alias("rows"), F.count_if(F.col(recent)).alias("recent"))
-    points = points.checkpoint()
+    points = written(points, scratch(df.sparkSession, "points"))
     found = average_linkage(points, "point", "vector", by, cut, weight="rows")
     same = F.col("group").eqNullSafe(F.col(by)) & (F.col("key") == F.col("point"))
     counts = points.join(found, same).groupBy(by, "cluster").agg(F.sum("rows").alias("size"), F.sum("recent").alias("recent"))

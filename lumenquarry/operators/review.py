@@ -170,6 +170,24 @@ def alerts(series: DataFrame, at: str, value: str, threshold: float, periods: in
     return series.withColumn("firing", (F.count(F.when(over, 1)).over(recent) == periods)).where("firing").drop("firing")
 
 
+def fired(series: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule, metric, at, value, run): where a rule (rule, metric, op, threshold, periods) of ``>`` or ``<`` has held for ``periods`` rows of its metric in a row.
+
+    ``series`` has (metric, at, value), one row for each metric and time; run says for how many rows the rule has held. A null value ends a run.
+    """
+    own = Window.partitionBy("rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    holds = F.coalesce(F.when(F.col("op") == ">", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold")), F.lit(False))
+    rows = series.join(rules, "metric").withColumn("holds", holds).withColumn("i", F.row_number().over(Window.partitionBy("rule").orderBy("at")))
+    run = F.col("i") - F.max(F.when(F.col("holds"), F.lit(0)).otherwise(F.col("i"))).over(own)
+    return rows.withColumn("run", run.cast("bigint")).where(F.col("holds") & (F.col("run") >= F.col("periods"))).select("rule", "metric", "at", "value", "run")
+
+
+def collapsed(rows: DataFrame, by: list[str], text: str, key: str) -> DataFrame:
+    """(by, key, alike): of rows whose text has the same letters and digits one stays, that with the least key. A null text is empty. Texts meet as digests."""
+    alike = F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), 256)
+    return rows.groupBy(*by, alike.alias("digest")).agg(F.min(key).alias(key), F.count("*").alias("alike")).drop("digest")
+
+
 def wrongly_rejected(df: DataFrame, rejected: str, retrieved: str) -> Column:
     """Rejected sources that had not been retrieved."""
     return F.array_except(F.coalesce(rejected, F.expr("array()")), F.coalesce(retrieved, F.expr("array()")))

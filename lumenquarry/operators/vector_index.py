@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import _unit, best_columns
+from ..sources.files import scratch, written
 
 #: Rows that centroids and codes are fitted on at most, rows in one block, queries in one block, and components of one part.
 SAMPLE, BLOCK, QUERIES, PART = 20_000, 4096, 256, 8
@@ -146,14 +147,16 @@ class VectorIndex:
         A query that finds fewer than k rows probes twice as many cells, up to all.
         """
         own = queries.select(F.col(key).cast("bigint").alias("query_id"), F.col(vector).alias("v")).where("query_id is not null and v is not null")
+        path, turn = scratch(self.spark, "vector-search"), 0
         done, left, probes = None, own, min(probes or self.probes, len(self.centroids))
         while True:
             found = self._probed(left, k, probes, allowed, exclude_self)
             if probes >= len(self.centroids):
                 break
-            found = found.checkpoint()
+            found = written(found, f"{path}/found-{turn}")
             short = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
-            left = left.join(short, "query_id", "left_anti").checkpoint()
+            left = left.join(short, "query_id", "left_anti")
+            left, turn = written(left, f"{path}/left-{turn}"), turn + 1
             enough = found.join(short, "query_id", "left_semi")
             if not left.head(1):
                 found = enough

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import review
+from ..sources import ingest
 from ..sources.files import scratch, table
 from ..sources.merge import MergeTable
 from .catalogue import query
@@ -77,3 +78,25 @@ def collapsed_evidence(spark, sf):
     """Of evidence that reads alike one piece stays, that of the least id, with how many it stands for."""
     d = table(spark, sf, "documents").select("lang", "doc_id", "text")
     return review.collapsed(d, ["lang"], "text", "doc_id").select("lang", "doc_id", "alike")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment AS seg, c_name AS name, c_acctbal::DOUBLE AS bal, CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE '' END || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) AS id FROM (SELECT *, md5(c_custkey::VARCHAR) AS m FROM customer))
+SELECT c_custkey, concat_ws(',', CASE WHEN seg NOT IN ('BUILDING', 'MACHINERY') THEN 'segment' END, CASE WHEN NOT regexp_full_match(name, '[A-Za-z]+#[0-9]*[02468]') THEN 'name' END, CASE WHEN NOT regexp_full_match(id, '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') THEN 'id' END,
+  CASE WHEN length(seg) NOT BETWEEN 1 AND 9 THEN 'length' END, CASE WHEN bal NOT BETWEEN 0 AND 5000 THEN 'balance' END) AS errors FROM c""")
+def row_validation(spark, sf):
+    """Customers by five checks: a set of values, a pattern, ids, lengths and a range."""
+    m = F.md5(F.col("c_custkey").cast("string"))
+    whole = F.concat(F.when(F.col("c_custkey") % 7 == 0, "x").otherwise(""), *[x for i, (a, n) in enumerate([(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]) for x in ([F.lit("-")] if i else []) + [F.substring(m, a, n)]])
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), whole.alias("id"))
+    checks = {
+        "segment": ingest.not_one_of("c_mktsegment", ["BUILDING", "MACHINERY"]), "name": ingest.not_like("c_name", "[A-Za-z]+#[0-9]*[02468]"), "id": ingest.not_uuid("id"),
+        "length": ingest.length_outside("c_mktsegment", 1, 9), "balance": ingest.out_of_range("c_acctbal", 0, 5000),
+    }
+    return ingest.with_errors(c, checks).select("c_custkey", F.array_join("errors", ",").alias("errors"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority < '3')")
+def unknown_label_rows(spark, sf):
+    """Orders whose priority isn't in a taxonomy of the first two."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return ingest.unknown_labels(o, "o_orderpriority", o.where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("label_id")), "label_id").select("o_orderkey", "o_orderpriority")

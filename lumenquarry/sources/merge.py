@@ -91,7 +91,7 @@ class MergeTable:
                 return F.when(put, n).otherwise(o).alias(c)
 
             rows = both.select(*[chosen(c) for c in names], F.col("old").isNull().alias("_created"), put.alias("_put"), F.col("old").alias("_old"))
-            rows = rows.withColumn("_same", ~F.col("_created") & F.struct(*names).eqNullSafe(F.col("_old"))).withColumn("bucket", self._bucket())
+            rows = rows.withColumn("_same", ~F.col("_created") & self._comparable("").eqNullSafe(self._comparable("_old."))).withColumn("bucket", self._bucket())
             # Counts are facts about the written rows: nothing is evaluated twice.
             rows = self._written(rows.drop("_old"), work, partition="bucket")
             c = rows.agg(F.count_if("_created"), F.count_if(F.col("_put") & ~F.col("_created") & ~F.col("_same")), F.count_if(F.col("_put") & F.col("_same") | ~F.col("_put"))).head()
@@ -101,6 +101,10 @@ class MergeTable:
         self._publish(manifest)
         return counts
 
+    def _comparable(self, prefix: str) -> Column:
+        """All columns of a row as one value that has an equality: maps as sorted entries."""
+        return F.struct(*[F.array_sort(F.map_entries(f"{prefix}{f.name}")) if isinstance(f.dataType, T.MapType) else F.col(f"{prefix}{f.name}") for f in self.schema.fields])
+
     def _written(self, rows: DataFrame, name: str, partition: str | None = None) -> DataFrame:
         writer = rows.repartition(self.buckets, "bucket").write.mode("overwrite") if partition else rows.write.mode("overwrite")
         (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{name}")

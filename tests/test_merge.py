@@ -52,3 +52,20 @@ def test_stream_of_batches(spark, tmp_path):
     assert len(state(t)) == 50 and last["batches"] == {"log": 2}
     run(spark.createDataFrame([(99, "late", None, 1)], SCHEMA), 2)  # a batch number that was taken
     assert t.manifest() == last
+
+
+def test_ingestion_by_bucket(spark, tmp_path):
+    from lumenquarry.sources import ingest
+
+    schema = "id int, text string, seq int, pii map<string,int>, content_hash string"
+    t = MergeTable(spark, str(tmp_path / "t"), "id", schema, buckets=4)
+    batch = spark.createDataFrame([(1, "first a@b.io", 1), (1, "second", 2), (2, "  ", 1), (None, "x", 1), (3, "<b>c</b> a@b.io", 1)], "id int, text string, seq int")
+    got = ingest.ingest_into(t, batch, "text", "seq", 0, "log")
+    assert (got["created"], got["updated"], got["quarantined"]) == (2, 0, 2)
+    before = folders(t)
+    assert ingest.ingest_into(t, batch, "text", "seq", 0, "log")["created"] == 0 and folders(t) == before
+    rows = {r["id"]: (r["text"], r["pii"]) for r in t.read().collect()}
+    assert rows == {1: ("second", {}), 3: ("c [EMAIL]", {"EMAIL": 1})}
+    strict = {"short": ingest.length_outside("text", 7, 99), "missing": ingest.required("id")}
+    errors = [r["errors"] for r in ingest.with_errors(batch, strict).orderBy("seq", "text").collect()]
+    assert errors.count(["short"]) == 2 and errors.count(["short", "missing"]) == 1 and errors.count([]) == 2

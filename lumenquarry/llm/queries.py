@@ -60,7 +60,8 @@ QUERIES["op3_quality_rules"] = op3_quality_rules
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scanned(table(spark, sf_dir, "documents", "doc_id", "text"), secrets.train(secrets.sample(spark)))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.scanned(docs, secrets.train(secrets.sample(spark, secrets.ordinary_words(docs))))
     base, spans = found["secrets"]["base"], found["secrets"]["spans"]
     counts = [F.size(F.filter(base, lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))

@@ -75,3 +75,125 @@ def test_keys_inside_long_runs_and_without_digits(spark, model):
     assert found[0] == [key] and found[1] == [letters] and found[2] == [key, key] and found[3] == [] and found[4] == [] and found[5] == []
     out = {r.doc_id: r.text for r in secrets.redacted(d, model).collect()}
     assert key not in out[6] and "AKIA" not in out[6] and out[0] == f"see {path}[REDACTED]/{path}name"
+
+
+#: But for the runs of alphabet and keyboard and short words of code, the models aren't trained with these words.
+ORDINARY = """Geschwindigkeitsbegrenzung Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungsgesellschaften Bundesausbildungsfoerderungsgesetz
+Arbeiterunfallversicherungsgesetz Kraftfahrzeughaftpflichtversicherung anticonstitutionnellement institutionnalisation electroencefalografista contrarrevolucionario
+desafortunadamente-siempre incomprehensibilities counterrevolutionaries SuperCalifragilisticExpialidocious github/workflows/continuous-integration /usr/lib/python3/dist-packages
+java/util/concurrent/atomic/AtomicReference abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 3-5-1/section-of-Technology org/apache/commons/collections MAX_NUMBER_OF_CONNECTIONS
+getElementsByClassNameAndTag Massachusetts-Institute-of-Technology user-agent-string-parser-2.0 qwertyuiopasdfghjklzxcvbnm erberbeeinheitkeiter thanbleshaningtionnt
+docs/getting-started/installation/index node_modules/react-dom/production internationalization_of_strings 2024-01-15T10-30-00-backup""".split()
+
+
+def keys(alphabet, n, size, rng):
+    return ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(n)]
+
+
+def test_ordinary_strings_and_keys_of_many_alphabets(spark, sf_dir):
+    import random
+    import string
+
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = secrets.train(secrets.sample(spark, secrets.ordinary_words(docs)))
+    held_out = secrets.sample(spark, secrets.ordinary_words(docs), 400, seed=77).collect()
+    sets = {
+        "ordinary": ORDINARY, "mixed": keys(string.ascii_letters + string.digits, 200, 32, rng), "upper hex": keys("0123456789ABCDEF", 150, 40, rng),
+        "lower hex": keys("0123456789abcdef", 150, 30, rng), "base64": keys(string.ascii_letters + string.digits + "+/", 150, 44, rng), "short": keys(string.ascii_letters + string.digits, 150, 20, rng),
+        "held out, secret": [r.text for r in held_out if r.secret], "held out, ordinary": [r.text for r in held_out if not r.secret and len(r.text) >= 20],
+    }
+    rows = [(i, name, f"see {t} here") for name, texts in sets.items() for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "i int, name string, text string").repartition(8)
+    hit: dict[str, list[str]] = {name: [] for name in sets}
+    for r in secrets.scanned(d, model).collect():
+        if r.secrets.spans:
+            hit[r.name].append(r.text)
+    share = {name: len(hit[name]) / len(sets[name]) for name in sets}
+    print(share, hit["ordinary"], hit["held out, ordinary"][:20])
+    assert len(hit["ordinary"]) <= 1, hit["ordinary"]
+    assert share["mixed"] >= 0.99 and share["base64"] >= 0.97 and share["upper hex"] >= 0.9 and share["lower hex"] >= 0.9 and share["short"] >= 0.95, share
+    true, false = len(hit["held out, secret"]), len(hit["held out, ordinary"])
+    assert true / (true + false) >= 0.95 and share["held out, secret"] >= 0.95, share
+
+
+def markov(text, model, base):
+    """Markov spans by plain loops over characters."""
+    at = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    floor, least, n = int(100 * secrets.BITS_EACH), int(100 * secrets.BITS), len(secrets.ALPHABET)
+    covered = {i for s, _, e in base for i in range(s, e)}
+    inside = set()
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        token, pairs, gains = m[0], [], []
+        for a, b in zip(token, token[1:]):
+            gains.append(0 if a == b or (a, b) in pairs[-8:] else model[at[a] * n + at[b]])
+            pairs.append((a, b) if a != b else None)
+        if sum(gains) >= least and sum(gains) >= len(gains) * floor:
+            found = [(0, len(token))]
+        else:
+            runs, cur, raw, begin, best, got, to = [], 0, 0, 0, 0, 0, 0
+            for i, g in enumerate(gains):
+                cur, raw = cur + g - floor, raw + g
+                if cur <= 0 or cur < best - least // 2:
+                    runs.append((begin, to, got))
+                    cur, raw, begin, best, got, to = 0, 0, i + 1, 0, 0, 0
+                elif cur > best:
+                    best, got, to = cur, raw, i + 2
+            runs.append((begin, to, got))
+            found = []
+            for s, e, got in runs:
+                if got < least:
+                    continue
+                inner, ahead, behind = token[s:e], re.split("[/_=-]", token[:s])[-1], re.split("[/_=-]", token[e:])[0]
+                first, last = re.match("[^/_=-]{0,2}[/_=-]+", inner), re.search("[/_=-]+[^/_=-]{0,2}$", inner)
+                s = s + len(first[0]) if ahead and first else s - len(ahead)
+                e = e - len(last[0]) if behind and last else e + len(behind)
+                if e - s >= secrets.SHORTEST and sum(gains[s : e - 1]) >= least:
+                    found.append((s, e))
+        inside |= {m.start() + i for s, e in found for i in range(s, e)}
+    inside -= covered
+    starts = sorted(i for i in inside if i - 1 not in inside)
+    ends = sorted(i + 1 for i in inside if i + 1 not in inside)
+    return list(zip(starts, ends, strict=True))
+
+
+def test_markov_spans_against_brute_force(spark, model):
+    import random
+    import string
+
+    rng = random.Random(8)
+    words, signs = [*secrets.PARTS, *secrets.COMPOUNDS, "Technology", "of", "3", "5", "1"], string.ascii_letters + string.digits
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 30)):
+            key = "".join(rng.choice(signs) for _ in range(rng.randrange(4, 50)))
+            parts.append(rng.choice([key, rng.choice(words), rng.choice(words).title(), f"token={key}", f"AKIA{key.upper()}", "%040x" % rng.getrandbits(160), "é"]) + rng.choice([" ", "/", "-", "_", "", "=", ". "]))
+        texts.append("".join(parts))
+    texts += [" ".join(keys(signs, 700, 24, rng)), "-".join(keys(signs, 300, 20, rng))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    seen = 0
+    for r in secrets.scanned(d, model).collect():
+        base = brute.secrets(texts[r.doc_id])
+        got = [(x.s, x.e) for x in r.secrets.spans if x.k == 3]
+        assert got == markov(texts[r.doc_id], model, base), texts[r.doc_id]
+        seen += len(got)
+    assert seen > 800
+
+
+def test_a_megabyte_of_keys_takes_time_by_its_length(spark, model):
+    import random
+    import string
+    import time
+
+    rng = random.Random(2)
+    seconds = []
+    for n in (2_000, 36_000):
+        text = " ".join(keys(string.ascii_letters + string.digits, n, 28, rng))
+        d = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        began = time.time()
+        spans = secrets.scanned(d, model).collect()[0].secrets.spans
+        seconds.append(time.time() - began)
+        assert len(spans) >= 0.99 * n
+    print(seconds)
+    assert seconds[1] < 40

@@ -29,8 +29,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced."""
-    return secrets.redacted(docs, secrets.train(secrets.sample(spark)))
+    """All documents, with secrets in their texts replaced; a null or empty text stays as it is, repeated rows are treated alike."""
+    return secrets.redacted(docs, secrets.train(secrets.sample(spark, secrets.ordinary_words(docs))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

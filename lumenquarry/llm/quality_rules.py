@@ -1,10 +1,10 @@
 """Quality rules: base counts and divergence from language references. Only DataFrame functions.
 
 Two histograms describe a document: classes of its characters, and common words of several languages (and all
-others) among its words. References are the mean histograms of each language's sound documents, computed over the whole corpus;
-those of the built-in languages are smoothed towards fixed ones, so that few documents or none are enough. A document
-fails where the built-in references and that of its own language are all far in Jensen-Shannon distance and it is
-long enough for this to mean something.
+others) among its words. References are the mean histograms of each of four languages' sound documents, computed over the
+whole corpus and smoothed towards fixed ones, so that few documents or none are enough. A document fails where all
+references are far in Jensen-Shannon distance and it is long enough for this to mean something. Common words tell
+nothing of other languages: their documents are judged by characters alone, however many there are.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_or_empty, unused
+from .common import text_or_empty, unused
 
 # Frequent function words, as they are written inside a sentence.
 COMMON_WORDS = {
@@ -37,6 +37,8 @@ MOST = {"upper": 0.5, "digit": 0.3, "pause": 0.2, "symbol": 0.05}
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = ["lower", "upper", "digit", "pause", "symbol", "other"]
+#: Letters of scripts without capitals, and the marks on them, count as lower. Pauses of several scripts.
+LETTERS, PAUSES = "[\\p{Ll}\\p{Lo}\\p{Lm}\\p{M}]+", "[.,;:!?'\"()\u3001\u3002\uff0c\uff1b\uff1a\uff01\uff1f\uff08\uff09\u300c\u300d\u300a\u300b\u060c\u061b\u061f\u0964-]+"
 
 
 @dataclass(frozen=True)
@@ -47,19 +49,8 @@ class Limits:
     min_words: int = 150
     far_chars: float = 0.26
     far_words: float = 0.26
-    #: Other than built-in languages get a reference with so many documents; a fixed reference weighs as much as so many.
-    least_documents: int = 10
-
-
-@dataclass(frozen=True)
-class References:
-    """Histograms (characters, words) of the built-in languages, and a table (lang, c, w) of other languages to judge.
-
-    c and w are null where a language has documents enough, but few sound ones: the built-in references alone judge it.
-    """
-
-    built_in: dict[str, tuple[list[float], list[float]]]
-    others: DataFrame | None = None
+    #: A fixed reference weighs as much as so many documents.
+    fixed_weight: int = 10
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -70,8 +61,8 @@ def _counts(docs: DataFrame) -> DataFrame:
     """Adds t, w (words) and the lengths that remain as one class of characters after the other is taken out."""
     df = docs.withColumn("t", F.trim(text_or_empty("text"), F.lit(" \t\n\x0b\f\r")))
     df = df.withColumn("w", F.when(F.col("t") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("t", SPACE + "+")))
-    df = df.withColumn("r0", F.array_join("w", "")).withColumn("r1", _without(F.col("r0"), "\\p{Ll}+")).withColumn("r2", _without(F.col("r1"), "\\p{Lu}+"))
-    df = df.withColumn("r3", _without(F.col("r2"), "[0-9]+")).withColumn("r4", _without(F.col("r3"), "[.,;:!?'\"()-]+")).withColumn("r5", _without(F.col("r4"), SYMBOLS + "+"))
+    df = df.withColumn("r0", F.array_join("w", "")).withColumn("r1", _without(F.col("r0"), LETTERS)).withColumn("r2", _without(F.col("r1"), "\\p{Lu}+"))
+    df = df.withColumn("r3", _without(F.col("r2"), "[0-9]+")).withColumn("r4", _without(F.col("r3"), PAUSES)).withColumn("r5", _without(F.col("r4"), SYMBOLS + "+"))
     # The common words alone, each between two bars. A capital first letter is as good.
     written = [x for w in WORDS for x in (w, w.capitalize())]
     found = F.filter("w", lambda x: x.isin(written))
@@ -97,32 +88,30 @@ def _fixed(language: str) -> tuple[list[float], list[float]]:
     return PROSE, [*words, 1 - sum(words)]
 
 
-def references(docs: DataFrame, limits: Limits = Limits()) -> References:
-    """Mean histograms of each language's sound documents that pass the length guards.
+def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[list[float], list[float]]]:
+    """Histograms (characters, words) of each language of COMMON_WORDS, one row each on the driver.
 
-    A row for each built-in language comes to the driver; those of others, without a limit to their number, stay a table.
-    Null is a language like others, and the same as an empty one.
+    They are means over the language's sound documents that pass the length guards, and over ``fixed_weight`` documents like
+    the fixed histogram. Null texts and rows of other languages or none have no part; repeated rows count each time; an empty table gives the
+    fixed histograms.
     """
-    df = _histograms(_counts(docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))))
-    long = (F.col("n_words") >= limits.min_words) & (F.col("word_chars") >= limits.min_chars)
-    sound = long
+    lang = F.col("lang").cast("string")
+    df = _histograms(_counts(docs.select("text", lang.alias("lang")).where(F.col("lang").isin(list(COMMON_WORDS)))))
+    sound = (F.col("n_words") >= limits.min_words) & (F.col("word_chars") >= limits.min_chars)
     for name, most in MOST.items():
         sound &= F.col("char_hist")[CLASSES.index(name)] <= most
-    mean = lambda x: F.avg(F.when(sound, x))
-    means = [mean(F.col("char_hist")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [mean(F.col("word_hist")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    c, w = F.array(*[f"c{i}" for i in range(len(CLASSES))]), F.array(*[f"w{i}" for i in range(len(WORDS) + 1)])
-    rows = df.groupBy("lang").agg(F.count_if(long).alias("n_long"), F.count_if(sound).alias("n"), *means).select("lang", "n_long", "n", c.alias("c"), w.alias("w"))
-    rows = Workspace(docs.sparkSession, "references").keep(rows, "languages")
-    known = F.col("lang").isin(list(COMMON_WORDS))
-    found = {r["lang"]: r for r in rows.where(known & (F.col("n") > 0)).collect()}
-    built_in, k = {}, limits.least_documents
+    total = lambda x: F.coalesce(F.sum(F.when(sound, x)), F.lit(0.0))
+    c, w = ([total(F.col(h)[i]) for i in range(n)] for h, n in (("char_hist", len(CLASSES)), ("word_hist", len(WORDS) + 1)))
+    names = [f"x{i}" for i in range(len(c) + len(w))]
+    rows = df.groupBy("lang").agg(F.count_if(sound).alias("n"), *[x.alias(name) for x, name in zip(c + w, names, strict=True)]).collect()
+    found = {r["lang"]: (r["n"], [r[x] for x in names]) for r in rows}
+    out, k = {}, limits.fixed_weight
     for language in COMMON_WORDS:
-        n, own = (found[language]["n"], found[language]) if language in found else (0, None)
-        built_in[language] = tuple([(n * x + k * y) / (n + k) for x, y in zip(own[h], fixed, strict=True)] if own else fixed for h, fixed in zip("cw", _fixed(language), strict=True))
-    others = rows.where(~known & (F.col("n_long") >= k))
-    enough = F.col("n") >= k
-    others = others.select("lang", F.when(enough, F.col("c")).alias("c"), F.when(enough, F.col("w")).alias("w"))
-    return References(built_in, others if others.head(1) else None)
+        fixed = _fixed(language)
+        n, sums = found.get(language, (0, [0.0] * len(names)))
+        both = [(x + k * y) / (n + k) for x, y in zip(sums, [*fixed[0], *fixed[1]], strict=True)]
+        out[language] = both[: len(CLASSES)], both[len(CLASSES) :]
+    return out
 
 
 def _js(shares: str, reference: list[float] | Column) -> Column:
@@ -154,43 +143,35 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(F.when(F.size("starts") > 0, total), F.lit(0)).cast("bigint"))
 
 
-def judged(docs: DataFrame, refs: References | dict, limits: Limits = Limits()) -> DataFrame:
+def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], limits: Limits = Limits()) -> DataFrame:
     """All columns of docs, and one struct ``quality`` with the counts, both distances, base_failed and kept.
 
-    The nearest of the built-in references and, where docs has a column lang, that of a document's own language counts. Documents
-    of other languages with too few long documents for a reference are judged by the base rule alone; null is a
-    language of its own. A null text has no words: it fails the base rule, as any text of under 50 words. With {} for references
-    only the base rule decides. Repeated rows are judged alike.
+    The nearest of the references counts. Where docs has a column lang, documents of no language that has a reference, null and
+    empty ones too, are judged by the base rule and their characters. A null text has no words: it fails the base
+    rule, as any text of under 50 words. With {} for references only the base rule decides. Repeated rows are judged alike; an
+    empty table gives an empty one.
     """
     inner = docs.toDF(*[c if c == "text" else f"column {i}" for i, c in enumerate(docs.columns)])
-    df = inner
-    refs = refs if isinstance(refs, References) else References(dict(refs))
-    lang = F.coalesce(F.col(inner.columns[docs.columns.index("lang")]).cast("string"), F.lit("")) if "lang" in docs.columns else None
-    joined = lang is not None and refs.others is not None
-    if joined:
-        df = df.join(refs.others.select(F.col("lang").alias("own lang"), F.col("c").alias("own c"), F.col("w").alias("own w")), lang == F.col("own lang"), "left")
-    df = _repeat_words(_histograms(_counts(df)))
+    df = _repeat_words(_histograms(_counts(inner)))
     lines = F.filter(F.split(text_or_empty("text"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"))
 
     def nearest(shares: str, i: int) -> Column:
-        if not refs.built_in:
-            return F.lit(0.0)
-        own = [F.when(F.col(f"own {'cw'[i]}").isNotNull(), _js(shares, F.col(f"own {'cw'[i]}")))] if joined else []
-        return F.least(*[_js(shares, x[i]) for x in refs.built_in.values()], *own, F.lit(1.0))  # least() skips nulls
+        return F.least(*[_js(shares, x[i]) for x in refs.values()], F.lit(1.0)) if refs else F.lit(0.0)
 
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
     df = df.withColumn("char_js", nearest("char_hist", 0)).withColumn("word_js", nearest("word_hist", 1)).withColumn("base_failed", failed)
-    strange = ((F.col("word_chars") >= limits.min_chars) & (F.col("char_js") > limits.far_chars)) | ((F.col("n_words") >= limits.min_words) & (F.col("word_js") > limits.far_words))
-    if lang is not None:
-        known = lang.isin(list(refs.built_in))
-        strange &= (known | F.col("own lang").isNotNull()) if joined else known
+    far_words = (F.col("n_words") >= limits.min_words) & (F.col("word_js") > limits.far_words)
+    if "lang" in docs.columns:
+        lang = F.coalesce(F.col(inner.columns[docs.columns.index("lang")]).cast("string"), F.lit(""))
+        far_words &= lang.isin(list(refs))
+    strange = ((F.col("word_chars") >= limits.min_chars) & (F.col("char_js") > limits.far_chars)) | far_words
     verdict = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_js", "word_js", "base_failed", (~F.col("base_failed") & ~strange).alias("kept"))
     return df.select(*[F.col(c).alias(d) for c, d in zip(inner.columns, docs.columns, strict=True)], verdict.alias(unused(docs, "quality")))
 
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The documents, with all their columns, that pass."""
+    """The documents, with all their columns, that pass. Null and empty texts don't; repeated rows pass or go together."""
     name = unused(docs, "quality")
     found = judged(docs, references(docs, limits), limits)
     # What isn't deterministic stays where it is: a plain filter would be copied down into every step above the scan.

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import brute
 from lumenquarry.llm import quality_rules as q
@@ -53,10 +54,10 @@ def test_junk_goes_and_clean_text_stays(spark):
     clean = [prose(i) for i in range(60)]
     junk = [" ".join(w.upper() + "!!" for w in prose(i).split()) for i in range(2)] + [" ".join(w + "###" for w in prose(i).split()) for i in range(2)] + [listing(i) for i in range(2)]
     d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + junk)], "doc_id bigint, text string, lang string")
-    rare = [(i + 100, t, "xx") for i, t in enumerate(junk)]  # a language without a reference
+    rare = [(i + 100, t, "xx") for i, t in enumerate(junk)]  # a language without a reference: characters alone decide
     d = d.unionByName(spark.createDataFrame(rare, d.schema))
     kept = {r.doc_id for r in q.kept_documents(d).collect() if r.lang == "en"}
-    assert {r.doc_id for r in q.kept_documents(d).collect() if r.lang == "xx"} == {i for i, _, _ in rare}
+    assert {r.doc_id for r in q.kept_documents(d).collect() if r.lang == "xx"} == {i for i, _, _ in rare[4:]}
     assert kept == set(range(60)) and not any(brute.quality(t)[5] for t in clean + junk)
 
 
@@ -87,3 +88,54 @@ def test_languages_beyond_the_32nd_are_judged_and_junk_founds_no_reference(spark
     noise = [" ".join(w + "###" for w in _prose(i).split()) for i in range(12)]
     rows = [*sound, (noise[0], "l32"), *[(t, "zz") for t in noise], *[(t, None) for t in shout], (shout[0], "en"), (noise[0], "fr")]
     assert _kept(spark, rows) == set(range(len(sound)))
+
+
+def _brute_histograms(text):
+    import unicodedata
+
+    classes = [0] * len(q.CLASSES)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    for c in "".join(words):
+        kind = unicodedata.category(c)
+        name = "lower" if kind in ("Ll", "Lo", "Lm") or kind[0] == "M" else "upper" if kind == "Lu" else "digit" if c in "0123456789" else "pause" if re.fullmatch(q.PAUSES, c) else "symbol" if c in "#*$%&|<>" else "other"
+        classes[q.CLASSES.index(name)] += 1
+    n, m = sum(classes), len(words)
+    share = [sum(w in (x, x.capitalize()) for w in words) / m if m else 0.0 for x in q.WORDS]
+    return m, n, [x / n if n else 0.0 for x in classes], [*share, max(0.0, 1 - sum(share))]
+
+
+def _brute_distance(p, r):
+    kl = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+    return math.sqrt(max(0.0, (kl(p, r) + kl(r, p)) / 2))
+
+
+def test_verdicts_of_the_whole_table_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    hist = {r.doc_id: _brute_histograms(r.text) for r in docs}
+    limits, refs = q.Limits(), {}
+    for lang, words in q.COMMON_WORDS.items():
+        sound = [h for r in docs if r.lang == lang for h in [hist[r.doc_id]] if h[0] >= limits.min_words and h[1] >= limits.min_chars and all(h[2][q.CLASSES.index(c)] <= most for c, most in q.MOST.items())]
+        counts = dict(zip(words, q.OCCURRENCES[lang], strict=True))
+        fixed = [counts.get(w, 0) / 1000 for w in q.WORDS]
+        k, n = limits.fixed_weight, len(sound)
+        mean = lambda at, fixed: [(sum(h[at][i] for h in sound) + k * x) / (n + k) for i, x in enumerate(fixed)]  # noqa: B023, E731
+        refs[lang] = mean(2, q.PROSE), mean(3, [*fixed, 1 - sum(fixed)])
+    gone = 0
+    for r in op3_quality_rules(spark, sf_dir).collect():
+        m, n, chars, words = hist[r.doc_id]
+        char_js, word_js = (min(_brute_distance(p, x[i]) for x in refs.values()) for i, p in enumerate((chars, words)))
+        assert abs(r.char_js - char_js) < 1e-6 and abs(r.word_js - word_js) < 1e-6, r.doc_id
+        want = not r.base_failed and not (n >= limits.min_chars and char_js > limits.far_chars) and not (m >= limits.min_words and word_js > limits.far_words)
+        assert r.kept == want
+        gone += not r.kept and not r.base_failed
+    assert 0 < gone < len(docs) / 5
+
+
+def test_other_languages_get_one_verdict_alone_and_among_many(spark):
+    chinese = [" ".join("".join(chr(0x4E00 + random.Random(f"{i} {k}").randrange(3000)) for _ in range(4)) + ("\u3002" if i % 6 == 0 else "") for i in range(160)) for k in range(12)]
+    italian, shout = _prose(1, ("che", "il", "per", "non")), " ".join(w.upper() + "!!" for w in _prose(1).split())
+    for lang in ("zh", None, ""):
+        for text, keep in ((chinese[0], True), (italian, True), (shout, False)):
+            assert _kept(spark, [(text, lang)]) == ({0} if keep else set())
+        many = [*chinese, *[_prose(i, ("che", "il", "per", "non")) for i in range(12)], shout]
+        assert _kept(spark, [(t, lang) for t in many]) == set(range(24))

@@ -4,7 +4,8 @@ A page is a sequence of blocks, each with the path of block elements from the ro
 the punctuation of its blocks are summed and divided by their number; both ratios are smoothed over the paths in
 page order, fused by multiplication, and paths over the threshold (a share of the standard deviation) are content. The
 article is the smallest element around all content blocks and the headline, or the article or main element around that; all its
-blocks are kept, but for those in menus, forms, notices, adverts or reader comments.
+blocks are kept, but for those in menus, forms, notices, adverts, reader comments or elements that aren't shown. Where only the body is around
+them all, what stands before the one headline and outside its element isn't the article's, nor what follows the last content block's element.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame
 # Elements that start a block, elements whose text isn't shown, and elements that aren't the article.
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title button select option iframe object canvas audio video".split())
+HIDDEN = frozenset("head title button label select option iframe object canvas audio video".split())
 BESIDE = frozenset("nav header footer aside menu dialog".split())
 #: Parts of names that tell what isn't the article, and parts that may stand beside them in a name.
 BESIDE_PART = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|sidebar|complementary|contentinfo|footer|masthead|comments?|replies|respond|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|widget|login|search", re.I)
 NEUTRAL_PART = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|bar|box|list|links?|buttons?|icons?|area|section|block|wrap(?:per)?|container|inner|outer|form|signup|thread|user|reader|posts?|articles?|stories|items?|[0-9]+", re.I)
 SITE_HEADER = re.compile(r"(?:(?:site|main|global|top)[-_]+)?header", re.I)
+AUTHOR_BOX = re.compile(r"(?:(?:post|entry)[-_]+)?(?:author|writer)[-_]+(?:box|bio|card|info|profile)|about[-_]+(?:the[-_]+)?(?:author|writer)", re.I)
+#: What makes an attribute style hide its element.
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 #: Elements that mark an article, and those that can be one.
 ARTICLE = frozenset("article main".split())
 AROUND = frozenset("html body main article section div form".split())
@@ -55,12 +59,24 @@ def _names(rest: str) -> tuple[list[str], str]:
     return names, classes
 
 
+def _unseen(rest: str) -> bool:
+    """Whether a tag's attribute hidden or style hides its element."""
+    small = rest.lower()
+    if "hidden" not in small and "none" not in small:
+        return False
+    for name, *values in _ATTRIBUTE.findall(rest):
+        value = values[0] or values[1] or values[2]
+        if (name.lower() == "hidden" and value.lower() != "until-found") or (name.lower() == "style" and UNSEEN.search(value)):
+            return True
+    return False
+
+
 @functools.lru_cache(10_000)
 def _suggests(name: str) -> bool:
     """Whether a whole name, each part of it, suggests what isn't the article."""
     parts = [x for x in re.split("[-_]+", name) if x]
     known = [bool(BESIDE_PART.fullmatch(x)) for x in parts]
-    return bool(SITE_HEADER.fullmatch(name)) or (any(known) and all(k or NEUTRAL_PART.fullmatch(x) for k, x in zip(known, parts, strict=True)))
+    return bool(SITE_HEADER.fullmatch(name) or AUTHOR_BOX.fullmatch(name)) or (any(known) and all(k or NEUTRAL_PART.fullmatch(x) for k, x in zip(known, parts, strict=True)))
 
 
 class Element:
@@ -187,6 +203,12 @@ def _parsed(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if tag == "br":
             parts.append(" ")
         if tag not in BLOCKS:
+            # An inline element that isn't shown, with those of its kind inside.
+            if end:
+                if hidden and hidden[-1][0] == tag:
+                    hidden.pop()
+            elif tag not in VOID and not rest.endswith("/") and ((hidden and hidden[-1][0] == tag) or _unseen(rest)):
+                hidden.append((tag, len(stack), ends[tag] > 0))
             continue
         flush()
         if end:
@@ -207,7 +229,7 @@ def _parsed(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             top = stack[-1]
             path = paths.setdefault((top.path, tag, classes), len(paths) + 1)
             # The header of an article holds its headline.
-            beside = top.beside or tag == "head" or (tag in BESIDE and not (tag == "header" and _outermost(top)))
+            beside = top.beside or tag == "head" or (tag not in ("html", "body") and _unseen(rest)) or (tag in BESIDE and not (tag == "header" and _outermost(top)))
             stack.append(Element(top, tag, path, beside, tag == "form" or (tag not in NEVER and any(map(_suggests, names)))))
             open_tags[tag] += 1
             elements.append(stack[-1])
@@ -286,6 +308,33 @@ def _top(found: list[tuple[Element, str]], content: set[int]) -> Element:
     return _outermost(top) or top
 
 
+def _holder(e: Element) -> Element:
+    """The lowest element that can be an article and holds e, itself included."""
+    while e.parent and e.tag not in AROUND:
+        e = e.parent
+    return e
+
+
+def _between(kept: list[tuple[Element, str]], content: set[int]) -> list[tuple[Element, str]]:
+    """Blocks from the one headline's element, if there is one, to the end of the last content block's element.
+
+    Of the body itself only blocks count that no element of their own holds.
+    """
+
+    def belongs(e: Element, around: Element) -> bool:
+        return _holder(e) is around or (around.tag not in ("", "html", "body") and _common(e, around) is around)
+
+    heads = [i for i, (e, _) in enumerate(kept) if e.tag == "h1"]
+    first = heads[0] if len(heads) == 1 else 0
+    while first and belongs(kept[first - 1][0], _holder(kept[heads[0]][0])):
+        first -= 1
+    last = max((i for i, (e, _) in enumerate(kept) if e.path in content and i >= first), default=len(kept) - 1)
+    around = _holder(kept[last][0])
+    while last + 1 < len(kept) and belongs(kept[last + 1][0], around):
+        last += 1
+    return kept[first : last + 1]
+
+
 def main_text(page: str | None, share: float = 0.5) -> str:
     elements, found = _parsed(page or "")
     found = [b for b in found if not b[0].beside]
@@ -305,10 +354,14 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     threshold = share * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     content = [p for p, x in zip(order, fused, strict=True) if x >= threshold] or order
     # A path without any mark passes by its neighbours alone: it doesn't widen the article.
-    top = _top(found, set([p for p in content if paths[p][1]] or content))
+    chosen = set([p for p in content if paths[p][1]] or content)
+    top = _top(found, chosen)
     for e in elements:
         e.inside = e is top or (e.parent is not None and e.parent.inside)
-    return "\n".join(text for e, text in found if e.inside)
+    kept = [(e, text) for e, text in found if e.inside]
+    if top.tag in ("", "html", "body"):
+        kept = _between(kept, chosen)
+    return "\n".join(text for _, text in kept)
 
 
 def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,7 +371,8 @@ def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each page. A null or empty page, or one without an article, has an empty text.
+    """page_id, url, text, n_chars of each page. A null or empty page, or one without an article, has an empty text; an
+    empty table gives an empty one.
 
     pages has page_id, url and html; other columns aren't read. Repeated rows give repeated results.
     """

@@ -117,3 +117,35 @@ def test_names_that_only_hold_a_word_do_not_drop_the_article():
     assert main_text(f"<body><div data-id='menu' data-role=search title='class=ad'><p>{a}</p></div><p>More, of it.</p></body>") == f"{a}\nMore, of it."
     comments = f"<body><div><h1>Head</h1><p>{_prose(3)}</p></div><div class=comments><p>{_prose(40)}</p></div></body>"
     assert main_text(comments) == f"Head\n{_prose(3)}"
+
+
+def test_pages_without_semantic_elements_and_names(spark, sf_dir):
+    """The tables' articles are found with article renamed to div, and with all names removed besides."""
+    import re
+
+    def wrong(change):
+        return sum(main_text(change(p)) != w for p, w in zip(pages, wanted, strict=True)) / len(pages)
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    wanted = [main_text(p) for p in pages]
+    renamed = lambda p: re.sub(r"<(/?)(?:article|main)\b", r"<\1div", p)
+    bare = lambda p: re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", renamed(p))
+    assert wrong(renamed) == 0 and wrong(bare) == 0
+
+
+def test_what_is_not_shown_stays_out():
+    a = _prose(8)
+    page = f"<body><article><h1>Head</h1><div hidden><p>Secret, one.</p></div><p style='color:red; display: none'>Secret, two.</p><p>{a} <span hidden>three <span>four</span></span>end</p><label>Mail, please</label><div class=author-box><p>She writes, a lot.</p></div></article></body>"
+    assert main_text(page) == f"Head\n{a} end"
+    assert main_text(page.replace("article>", "div>")) == f"Head\n{a} end"
+    assert main_text(f"<body style='visibility:hidden'><p>{a}</p><p data-x=hidden title='hidden'>More, of it.</p></body>") == f"{a}\nMore, of it."
+
+
+def test_ratios_end_an_article_that_has_no_element(monkeypatch):
+    from lumenquarry.llm import html_text
+
+    a = [_prose(6, i) for i in range(5)]
+    page = f"<body><div>Buy now, cheap.</div><h1>Head</h1>{''.join(f'<p>{x}</p>' for x in a)}<div><h2>Contact</h2><section><p>Mail us, now.</p></section></div></body>"
+    assert main_text(page).split("\n") == ["Head", *a]
+    monkeypatch.setattr(html_text, "_smooth", lambda values, radius=1: [1.0] * len(values))
+    assert main_text(page).split("\n") == ["Head", *a, "Contact", "Mail us, now."]

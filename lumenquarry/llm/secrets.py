@@ -46,18 +46,20 @@ COMPOUNDS = (
 ).split()
 #: Runs in the order of the alphabet or the keyboard.
 RUNS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567890123456789", "qwertyuiopasdfghjklzxcvbnm", "zyxwvutsrqponmlkjihgfedcba"]
-#: Bounds of the training sample: documents that words are taken from, characters of each, words.
+#: Bounds of the training sample: documents that words are taken from, on average, characters of each, words.
 DOCUMENTS, CHARACTERS, WORDS = 2000, 50_000, 4000
 
 
 def ordinary_words(docs: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) -> list[str]:
-    """At most ``words`` distinct words of the corpus, from at most ``documents`` documents of at most CHARACTERS characters.
+    """At most ``words`` distinct words of the corpus, from about ``documents`` documents; longer ones than CHARACTERS aren't taken.
 
     Words stand alone, in letters of which the first alone may be a capital, and are too short for a candidate: no key is among
-    them. Which documents and words are taken depends on their hashes. A null text has no words; an empty table gives [].
+    them. Hashes alone decide which documents (a share by the number of rows) and words are taken. A null text has no words; an
+    empty table gives [].
     """
+    share = documents / max(1, docs.count())
     key = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
-    some = docs.where(F.length("text") <= CHARACTERS).select("text", key.alias("h")).orderBy("h", "text").limit(documents)
+    some = docs.where((F.pmod(key, F.lit(2**40)) < F.lit(int(min(1.0, share) * 2**40))) & (F.length("text") <= CHARACTERS))
     word = F.explode(F.array_distinct(F.filter(F.split("text", "[^A-Za-z0-9+/_=-]+"), lambda w: w.rlike("^[A-Za-z][a-z]{3,17}$"))))
     found = some.select(word.alias("w")).select(F.lower("w").alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(words)
     return [r["w"] for r in found.collect()]

@@ -38,7 +38,7 @@ SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = ["lower", "upper", "digit", "pause", "symbol", "other"]
 #: Letters of scripts without capitals, and the marks on them, count as lower. Pauses of several scripts.
-LETTERS, PAUSES = "[\\p{Ll}\\p{Lo}\\p{Lm}\\p{M}]+", "[.,;:!?'\"()\u3001\u3002\uff0c\uff1b\uff1a\uff01\uff1f\uff08\uff09\u300c\u300d\u300a\u300b\u060c\u061b\u061f\u0964-]+"
+LETTERS, PAUSES = "[\\p{Lo}\\p{Lm}\\p{M}]+", "[.,;:!?'\"()\u3001\u3002\uff0c\uff1b\uff1a\uff01\uff1f\uff08\uff09\u300c\u300d\u300a\u300b\u060c\u061b\u061f\u0964-]+"
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     """Adds t, w (words) and the lengths that remain as one class of characters after the other is taken out."""
     df = docs.withColumn("t", F.trim(text_or_empty("text"), F.lit(" \t\n\x0b\f\r")))
     df = df.withColumn("w", F.when(F.col("t") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("t", SPACE + "+")))
-    df = df.withColumn("r0", F.array_join("w", "")).withColumn("r1", _without(F.col("r0"), LETTERS)).withColumn("r2", _without(F.col("r1"), "\\p{Lu}+"))
+    df = df.withColumn("r0", F.array_join("w", "")).withColumn("r1", _without(_without(F.col("r0"), "\\p{Ll}+"), LETTERS)).withColumn("r2", _without(F.col("r1"), "\\p{Lu}+"))
     df = df.withColumn("r3", _without(F.col("r2"), "[0-9]+")).withColumn("r4", _without(F.col("r3"), PAUSES)).withColumn("r5", _without(F.col("r4"), SYMBOLS + "+"))
     # The common words alone, each between two bars. A capital first letter is as good.
     written = [x for w in WORDS for x in (w, w.capitalize())]

@@ -57,13 +57,13 @@ class Retrieval:
 def _bm25(r: Retrieval, queries: DataFrame, k: int, allowed: list | None) -> DataFrame:
     terms = r._terms(queries)
     idf = search.okapi_idf(r.lexical.terms, r.lexical.n_docs)
-    return search.ranked(search.bm25(r.lexical.postings(terms, allowed), terms, idf, r.lexical.average_length), k)
+    return search.ranked(search.bm25(r.lexical.postings(terms, allowed, positions=False), terms, idf, r.lexical.average_length), k)
 
 
 @strategy("lexical")
 def _lexical(r: Retrieval, queries: DataFrame, k: int, allowed: list | None) -> DataFrame:
     terms = search.rarest_terms(r._terms(queries), r.lexical.n_docs)
-    return search.ranked(cover_density(r.lexical.postings(terms, allowed), terms), k)
+    return search.ranked(cover_density(r.lexical.postings(terms, allowed, positions=False), terms), k)
 
 
 @strategy("phrase")

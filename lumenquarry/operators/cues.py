@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.files import scratch, written
 from .classify import affect_training, combined_affect
 
 #: Words that stand for a cue, lower case. Each cue is the share of a text's tokens that are among its words.
@@ -27,16 +28,21 @@ NAMES = [*WORDS, *FORM]
 def cues(text: Column) -> Column:
     """An array of 14 numbers from 0 to 1: WORDS as shares of tokens, then per character or word !, ?, capitals and digits, runs of ! or ?, and ln(1 + tokens) / 10, at most 1. A null text has zeros."""
     t = F.coalesce(text, F.lit(""))
-    words = tokens(t)
-    n, chars = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(t), F.lit(1))
+    chars = F.greatest(F.length(t), F.lit(1))
+    known = sorted({w for words in WORDS.values() for w in words})
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    among = lambda ws: lambda w: w.isin(ws)
 
-    def among(known: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(known))) / n
+    def of(words: Column) -> Column:
+        # A text is cut into tokens once; cues count among the few of them that some cue knows.
+        size = words["n"]
+        n = F.greatest(size, F.lit(1))
+        shares = [F.size(F.filter(words["hits"], among(ws))) / n for ws in WORDS.values()]
+        form = [count("!") / n, count("[?]") / n, count("[A-Z]") / chars, count("[0-9]") / chars, count("[!?]{2,}") / n, F.log(1 + size) / 10]
+        return F.array(*[F.least(x, F.lit(1.0)) for x in [*shares, *form]])
 
-    shares = [among(known) for known in WORDS.values()]
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    form = [count("!") / n, count("[?]") / n, count("[A-Z]") / chars, count("[0-9]") / chars, count("[!?]{2,}") / n, F.log(1 + F.size(words)) / 10]
-    return F.array(*[F.least(x, F.lit(1.0)) for x in [*shares, *form]])
+    seen = F.transform(F.array(tokens(t)), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(known)).alias("hits")))
+    return F.element_at(F.transform(seen, of), 1)
 
 
 class AffectModel:
@@ -49,14 +55,18 @@ class AffectModel:
     @classmethod
     def train(cls, rows: DataFrame, text: str, label: str, path: str) -> AffectModel:
         """Fits all labelled rows and writes the model; rows without a label are left out."""
-        classes, weights, intercepts = affect_training(rows.select(cues(F.col(text)).alias("cues"), F.col(label).alias("label")), "cues", "label")
+        # Fourteen numbers a row, written once: training passes over them many times, over the texts once.
+        known = written(rows.select(cues(F.col(text)).alias("cues"), F.col(label).alias("label")), scratch(rows.sparkSession, "cues"))
+        classes, weights, intercepts = affect_training(known, "cues", "label")
         model = list(zip(classes, map(float, intercepts), [[float(w) for w in ws] for ws in weights], strict=True))
         rows.sparkSession.createDataFrame(model, "class string, intercept double, weights array<double>").write.mode("overwrite").parquet(path)
         return cls(rows.sparkSession, path)
 
     def scored(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         """(key, label, p) for each class of each row."""
-        return combined_affect(rows.select(F.col(key).alias("key"), cues(F.col(text)).alias("cues")), "key", self.weights, self.intercepts, self.classes)
+        # Written once, as each class's score reads all cues.
+        known = written(rows.select(F.col(key).alias("key"), cues(F.col(text)).alias("cues")), scratch(rows.sparkSession, "cues"))
+        return combined_affect(known, "key", self.weights, self.intercepts, self.classes)
 
     def predicted(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         """(key, label, p): the likeliest class of each row, ties by name."""

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the corpus and queries in one matrix; bytes of query vectors that are broadcast; tasks that share a group of queries.
-CHUNK, BLOCK, BROADCAST, SALTS = 4096, 512, 64 * 2**20, 64
+CHUNK, BLOCK, BROADCAST, SALTS = 4096, 2048, 64 * 2**20, 64
+#: Queries and rows that are multiplied at a time. Scores are compared after rounding, so that equal vectors tie wherever they lie.
+TILE, DIGITS = 512, 12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,23 +70,44 @@ def best_columns(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarr
     return np.take_along_axis(scores, order, axis=1), np.take_along_axis(keys, order, axis=1)
 
 
+def _numbers(column: pa.Array, i: int, kind: type) -> np.ndarray:
+    """The numbers in one binary value, not copied."""
+    return np.frombuffer(column[i].as_buffer(), kind)
+
+
+def merge_best(scores: np.ndarray, keys: np.ndarray, found: np.ndarray, names: np.ndarray) -> None:
+    """Puts scores ``found`` of columns ``names`` among each row's k best, in place: only what reaches a row's last one is sorted."""
+    k = scores.shape[1]
+    r, c = np.nonzero(found >= scores[:, -1:] - 10.0**-DIGITS)
+    new = np.round(found[r, c], DIGITS)
+    some = np.unique(r)
+    r = np.concatenate([r, np.repeat(some, k)])
+    x, y = np.concatenate([new, scores[some].reshape(-1)]), np.concatenate([names[c], keys[some].reshape(-1)])
+    order = np.lexsort((y, -x, r))
+    r = r[order]
+    first = order[np.arange(len(r)) - np.searchsorted(r, r) < k]  # every row that changes had k and keeps k
+    scores[some], keys[some] = x[first].reshape(-1, k), y[first].reshape(-1, k)
+
+
 def _best(k: int, exclude_self: bool):
     """Rows of a chunk of the corpus beside a block of queries in, each query's k best of the whole task out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for ids, matrix, qids, qmatrix in zip(*[batch.column(c).to_pylist() for c in ("ids", "matrix", "qids", "qmatrix")], strict=True):
-                c, q = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
-                scores = np.frombuffer(qmatrix).reshape(len(q), -1) @ np.frombuffer(matrix).reshape(len(c), -1).T
-                if exclude_self:
-                    scores[q[:, None] == c[None, :]] = -np.inf
-                found = best_columns(scores, c[None, :], k)
-                if qids in best:
-                    found = best_columns(*(np.concatenate(x, axis=1) for x in zip(best[qids], found, strict=True)), k)
-                best[qids] = found
+            for i in range(batch.num_rows):
+                c, q = _numbers(batch.column("ids"), i, np.int64), _numbers(batch.column("qids"), i, np.int64)
+                m, n = _numbers(batch.column("matrix"), i, np.float64).reshape(len(c), -1), _numbers(batch.column("qmatrix"), i, np.float64).reshape(len(q), -1)
+                scores, keys = best.setdefault(q.tobytes(), (np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)))
+                shared = exclude_self and np.isin(q, c).any()
+                for a in range(0, len(q), TILE):
+                    for b in range(0, len(c), TILE):
+                        found = n[a : a + TILE] @ m[b : b + TILE].T
+                        if shared:
+                            found[q[a : a + TILE, None] == c[None, b : b + TILE]] = -np.inf
+                        merge_best(scores[a : a + TILE], keys[a : a + TILE], found, c[b : b + TILE])
         for qids, (scores, keys) in best.items():
-            q = np.repeat(np.frombuffer(qids, np.int64), scores.shape[1])
+            q = np.repeat(np.frombuffer(qids, np.int64), k)
             ok = np.isfinite(scores.reshape(-1))
             yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1)[ok]) for x in (q, keys, scores)], ["query_id", "c", "score"])
 

@@ -3,7 +3,7 @@
 Cells are centroids of unit vectors. A row's residual to its cell's centroid is cut into parts, and each part is replaced by the nearest
 of up to 256 code vectors. Rows of a cell lie in blocks of bounded size (ids, codes, unit vectors, attributes), in files by cell; a large cell has
 many blocks and is no task of its own. A query reads the blocks of its nearest cells and no others: codes rank a block's rows, and
-the best of them are scored exactly. Where a filter leaves fewer than k rows, a query goes on with twice as many cells.
+all that could be among the best, by how far codes are from their rows, are scored exactly. Where a filter leaves fewer than k rows, a query goes on with twice as many cells.
 
 Centroids and codes are fitted on a sample of at most SAMPLE rows, chosen by hashes of keys; every row is indexed.
 """
@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import _unit, best_columns
+from ..functions.vectors import DIGITS, _unit, best_columns
 from ..sources.files import scratch, written
 
 #: Rows that centroids and codes are fitted on at most, rows in one block, queries in one block, and components of one part.
 SAMPLE, BLOCK, QUERIES, PART = 20_000, 4096, 256, 8
-#: Rows of a block that codes choose for exact scores, for each row that is asked for, and at least.
-CHOSEN, LEAST_CHOSEN = 8, 64
+#: Up to so many rows of a sample are all fitted on; of more, a quarter is held out to calibrate the number of cells.
+HELD = 400
+#: Rows held out that are asked for when the number of cells is calibrated.
+ASKED = 300
 _BLOCKS = "cell int, ids binary, codes binary, vectors binary, attributes array<string>"
 
 
@@ -46,17 +48,25 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
 
 
-def _calibrated(x: np.ndarray, c: np.ndarray, target: float, k: int = 10, queries: int = 300) -> int:
-    """The least number of cells that hold ``target`` of the k rows of a sample that are nearest to some of its rows."""
-    q = x[:queries]
+def _calibrated(q: np.ndarray, x: np.ndarray, c: np.ndarray, target: float, own: np.ndarray, k: int = 10) -> int:
+    """The least number of cells that hold ``target`` of the k rows x nearest to each of q, of which row ``own`` is itself (-1: none)."""
     scores = q @ x.T
-    scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    at = np.flatnonzero(own >= 0)
+    scores[at, own[at]] = -np.inf
     near = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
     place = np.argsort(np.argsort((c * c).sum(axis=1)[None, :] - 2 * q @ c.T, axis=1), axis=1)
     found = np.sort(np.take_along_axis(place, _nearest(x, c)[near], axis=1).reshape(-1))
     return int(found[min(int(np.ceil(target * len(found))), len(found)) - 1]) + 1 if len(found) else 1
 
 
+def reachable(about: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
+    """Columns that could be among some row's k best, where scores ``about`` are off by at most ``off`` by column."""
+    if about.shape[1] <= k:
+        return np.arange(about.shape[1])
+    least = -np.partition(off - about, k - 1, axis=1)[:, k - 1 : k]
+    return np.flatnonzero((about + off >= least - 1e-9).any(axis=0))
+
+
 def _blocks(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
     """Rows sorted by cell as tables of one cell and at most ``size`` rows."""
     held: list[pa.RecordBatch] = []
@@ -80,11 +90,13 @@ def _blocks(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa
 
 
 class VectorIndex:
-    """An index in a folder: ``model`` (centroids and codes, a fixed size) and ``blocks`` by cell."""
+    """An index in a folder: ``model`` (centroids, codes and the rows held out, a bounded size) and ``blocks`` by cell."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         rows = spark.read.parquet(f"{path}/model").orderBy("part", "i").collect()
+        held = [r for r in rows if r["part"] == -3]
+        self.held, self.attributes, self.target = np.array([r["x"] for r in held]), [r["attribute"] for r in held], next(r["x"][1] for r in rows if r["part"] == -2)
         self.parts = max(r["part"] for r in rows) + 1
         self.probes = int(next(r["x"][0] for r in rows if r["part"] == -2))
         self.centroids = np.array([r["x"] for r in rows if r["part"] == -1])
@@ -102,14 +114,21 @@ class VectorIndex:
         if not n:
             raise ValueError("no vectors to index")
         share = min(1.0, 1.5 * sample / n)
-        chosen = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select(vector).limit(sample)
-        x = _unit([r[0] for r in chosen.collect()])  # the bounded sample
-        centroids = k_means(x, cells or int(np.clip(2 * n**0.5, 8, 4096)), seed=seed)
+        chosen = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+        chosen = chosen.select(vector, F.col(attribute).cast("string") if attribute else F.lit(None).cast("string")).limit(sample).collect()  # the bounded sample
+        x, attributes = _unit([r[0] for r in chosen]), [r[1] for r in chosen]
+        # Centroids lean towards the rows that they are fitted on, so others tell how many cells a search needs.
+        held = np.arange(len(x)) % 4 == 0 if len(x) > HELD else np.ones(len(x), bool)
+        fitted, attributes, held = x[~held] if len(x) > HELD else x, [a for a, h in zip(attributes, held, strict=True) if h], x[held]
+        centroids = k_means(fitted, cells or int(np.clip(2 * n**0.5, 8, 4096)), seed=seed)
+        centroids = np.unique(np.round(centroids, 9), axis=0)  # equal ones, as of copies, would share rows by chance
         residuals = x - centroids[_nearest(x, centroids)]
         parts = [residuals[:, i : i + PART] for i in range(0, x.shape[1], PART)]
-        model = [(-2, 0, [float(_calibrated(x, centroids, target))]), *[(-1, i, c.tolist()) for i, c in enumerate(centroids)]]
-        model += [(p, i, c.tolist()) for p, part in enumerate(parts) for i, c in enumerate(k_means(part, 256, seed=seed))]
-        vectors.sparkSession.createDataFrame(model, "part int, i int, x array<double>").write.mode("overwrite").parquet(f"{path}/model")
+        probes = _calibrated(held[:ASKED], held, centroids, target, np.arange(len(held))[:ASKED])
+        model = [(-3, i, r.tolist(), a) for i, (r, a) in enumerate(zip(held, attributes, strict=True))]
+        model += [(-2, 0, [float(probes), target], None), *[(-1, i, c.tolist(), None) for i, c in enumerate(centroids)]]
+        model += [(p, i, c.tolist(), None) for p, part in enumerate(parts) for i, c in enumerate(k_means(part, 256, seed=seed))]
+        vectors.sparkSession.createDataFrame(model, "part int, i int, x array<double>, attribute string").write.mode("overwrite").parquet(f"{path}/model")
         index = cls(vectors.sparkSession, path)
         index._write(rows, key, vector, attribute, "overwrite")
         return index
@@ -144,11 +163,12 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, probes: int | None = None, key: str = "vec_id", vector: str = "embedding", allowed: list | None = None, exclude_self: bool = True) -> DataFrame:
         """(query_id, <key>, score, rank): about the k rows with the largest cosine, among those whose attribute is ``allowed``; ties by the smaller key.
 
-        A query that finds fewer than k rows probes twice as many cells, up to all.
+        How many cells are probed is calibrated among the rows held out that are ``allowed``, as those lie further away than the nearest of
+        all; where too few of these are, all cells are. A query that finds fewer than k rows probes twice as many cells, up to all.
         """
         own = queries.select(F.col(key).cast("bigint").alias("query_id"), F.col(vector).alias("v")).where("query_id is not null and v is not null")
         path, turn = scratch(self.spark, "vector-search"), 0
-        done, left, probes = None, own, min(probes or self.probes, len(self.centroids))
+        done, left, probes = None, own, min(probes or self._cells(k, allowed), len(self.centroids))
         while True:
             found = self._probed(left, k, probes, allowed, exclude_self)
             if probes >= len(self.centroids):
@@ -166,6 +186,18 @@ class VectorIndex:
         out = found if done is None else done.unionByName(found)
         return out.withColumnRenamed("c", key)
 
+    def _cells(self, k: int, allowed: list | None) -> int:
+        """How many cells a search for k rows probes."""
+        if allowed is None:
+            return self.probes
+        names = {str(a) for a in allowed}
+        ok = np.flatnonzero([a in names for a in self.attributes])
+        if len(ok) <= max(k, 10):
+            return len(self.centroids)
+        place = {i: j for j, i in enumerate(ok.tolist())}
+        own = np.array([place.get(i, -1) for i in range(len(self.held))])[:ASKED]
+        return max(self.probes, _calibrated(self.held[:ASKED], self.held[ok], self.centroids, self.target, own))
+
     def _probed(self, queries: DataFrame, k: int, probes: int, allowed: list | None, exclude_self: bool) -> DataFrame:
         centroids, codes = self.centroids, self.codes
         names = None if allowed is None else {str(x) for x in allowed}
@@ -195,13 +227,11 @@ class VectorIndex:
                         ids, x, code = ids[ok], x[ok], code[ok]
                     if not len(ids):
                         continue
-                    some = max(CHOSEN * k, LEAST_CHOSEN)
-                    if len(ids) > some:
-                        about = sum((y[:, p * PART : (p + 1) * PART] @ c.T)[:, code[:, p]] for p, c in enumerate(codes))
-                        at = np.argpartition(-about, some - 1, axis=1)[:, :some]
-                        scores, keys = np.einsum("qd,qrd->qr", y, x[at]), ids[at]
-                    else:
-                        scores, keys = y @ x.T, np.broadcast_to(ids, (len(q), len(ids)))
+                    about = sum((y[:, p * PART : (p + 1) * PART] @ c.T)[:, code[:, p]] for p, c in enumerate(codes))
+                    read = np.concatenate([c[code[:, p]] for p, c in enumerate(codes)], axis=1)
+                    off = np.linalg.norm(x - centroids[r["cell"]] - read, axis=1)
+                    at = reachable(about, off, k + exclude_self)
+                    scores, keys = np.round(y @ x[at].T, DIGITS), np.broadcast_to(ids[at], (len(q), len(at)))
                     if exclude_self:
                         scores = np.where(keys == q[:, None], -np.inf, scores)
                     scores, keys = best_columns(scores, keys, k)

@@ -99,3 +99,30 @@ def test_odd_vectors(spark, tmp_path):
     assert index.search(df.where("false"), 5).count() == 0
     with pytest.raises(ValueError):
         VectorIndex.build(df.where("false"), str(tmp_path / "k"))
+
+
+def test_index_of_copies_finds_what_a_filter_leaves(spark, tmp_path):
+    """Queries whose own copies a filter leaves out have neighbours in further cells."""
+    x = np.random.default_rng(3).normal(size=(400, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i % 400].tolist(), i % 400 % 10) for i in range(4000)], "vec_id bigint, embedding array<float>, label int").repartition(4).cache()
+    asked = df.where("vec_id % 20 < 10 and vec_id < 400")
+    index = VectorIndex.build(df, str(tmp_path / "i"), attribute="label")
+    rows = recall(index.search(asked, 10, allowed=[0, 1]), vx.top_k(df.where("label < 2"), asked, 10)).collect()
+    assert len(rows) == 200 and np.mean([r["recall"] for r in rows]) >= 0.95
+
+
+def test_codes_leave_out_nothing_that_could_be_among_the_best():
+    from lumenquarry.operators.vector_index import reachable
+
+    r = np.random.default_rng(4)
+    exact, off = r.normal(size=(20, 300)), r.uniform(0, 0.3, 300)
+    at = reachable(exact + r.uniform(-1, 1, (20, 300)) * off, off, 5)
+    assert len(at) < 300 and set(np.argsort(-exact, axis=1)[:, :5].reshape(-1)) <= set(at)
+
+
+def test_equal_vectors_tie_by_key_wherever_they_lie(spark):
+    x = np.random.default_rng(5).normal(size=(7, 61))
+    df = spark.createDataFrame([(i, x[i % 7].tolist()) for i in range(1501)], "vec_id bigint, embedding array<double>").coalesce(1)
+    got = vx.top_k(df, df.where("vec_id in (0, 703, 1500)"), 12).collect()
+    want = {q: [i for i in range(1501) if i % 7 == q % 7 and i != q][:12] for q in (0, 703, 1500)}
+    assert {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want} == want

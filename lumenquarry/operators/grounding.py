@@ -30,20 +30,23 @@ def citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     return flat.join(known, (F.col("answer") == F.col("a")) & (F.lower("cited") == F.lower("source")), "left").select("answer", "cited", "source")
 
 
-def grounded_steps(steps: DataFrame, units: DataFrame, least: float = 0.75, near: float = 0.45, cited: DataFrame | None = None) -> DataFrame:
+def grounded_steps(steps: DataFrame, units: DataFrame, least: float = 0.75, near: float = 0.45, cited: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(answer, step, support, similarity, invented, grounded): a step is grounded if the units of its sources hold enough of its tokens, or
     one of them is near in meaning, and it states nothing specific that they lack.
 
     steps: (answer, step, text), units: (answer, text); both may have a column ``vector``. With ``cited`` (answer, step, source), units
     have a source, and only those of a step's own citations count; else all of its answer's. An answer's units are what was retrieved
-    for it, a list of bounded length. A step without units has support and similarity 0.
+    for it, a list of bounded length. A step without units has support and similarity 0. ``parts`` deals answers to so many tasks, once for all
+    joins, where the sizes of shuffles would leave tasks too large.
     """
+    if parts:
+        steps, units, cited = (df if df is None else df.repartition(parts, "answer") for df in (steps, units, cited))
     vectors = "vector" in steps.columns and "vector" in units.columns
     of = ["answer"]
     if cited is not None:
         units, of = cited.select("answer", "step", "source").distinct().join(units, ["answer", "source"]), ["answer", "step"]
-    parts = F.sort_array(F.collect_list(F.coalesce("text", F.lit(""))))
-    known = units.groupBy(*of).agg(F.array_join(parts, " ").alias("known"), *([F.collect_list("vector").alias("near_to")] if vectors else []))
+    texts = F.sort_array(F.collect_list(F.coalesce("text", F.lit(""))))
+    known = units.groupBy(*of).agg(F.array_join(texts, " ").alias("known"), *([F.collect_list("vector").alias("near_to")] if vectors else []))
     rows = steps.join(known, of, "left").withColumn("known", F.coalesce("known", F.lit("")))
     similarity = F.coalesce(F.array_max(F.transform("near_to", lambda v: cosine(F.col("vector"), v))), F.lit(0.0)) if vectors else F.lit(0.0)
     rows = rows.select("answer", "step", containment(tokens(F.col("text")), tokens(F.col("known"))).alias("support"), F.greatest(similarity, F.lit(0.0)).alias("similarity"), F.size(invented(F.col("text"), F.col("known"))).alias("invented"))

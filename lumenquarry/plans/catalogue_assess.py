@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assess, classify, clusters, drift, grounding
 from ..operators.search import STOP_WORDS
-from ..sources.files import table
+from ..sources.files import table, tasks
 from ..streaming import events as streams
 from .catalogue import _PAIRS, _dense, query, r4
 
@@ -36,13 +36,15 @@ g AS (SELECT answer, step, len(list_intersect(a, b)) / len(a) AS support, lacks:
 
 def _steps(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("quantity"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    n = tasks(rows.count())
+    lines = rows.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("quantity"))
     lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     price = F.when(F.col("quantity") > 40, " for $77").otherwise("")
     steps = lines.select(F.col("l_orderkey").alias("answer"), F.col("l_partkey").alias("step"), F.concat("p_name", F.lit(" of size "), "p_size", price).alias("text"), F.col("l_partkey").alias("source"))
     known = F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" of size "), "p_size")).otherwise(""))
     units = lines.select(F.col("l_orderkey").alias("answer"), F.col("l_partkey").alias("source"), known.alias("text"))
-    return grounding.grounded_steps(steps.drop("source"), units, cited=steps.select("answer", "step", "source"))
+    return grounding.grounded_steps(steps.drop("source"), units, cited=steps.select("answer", "step", "source"), parts=n)
 
 
 @query(_STEPS + " SELECT answer, step, round(support, 4) AS support, invented, grounded FROM g")
@@ -62,6 +64,7 @@ SELECT count(*) AS answered, round(1 - sum(bad) / sum(n), 4) AS faithfulness, ro
 def answer_quality(spark, sf):
     steps = _steps(spark, sf).select("answer", "step", F.col("support").alias("containment"), "grounded", (F.col("step") % 2 == 0).alias("cited"))
     cites = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("answer"), (F.col("l_linenumber") <= 3).alias("valid"), (F.col("l_returnflag") == "N").alias("relevant"))
+    cites = cites.repartition(tasks(cites.count()), "answer")
     scores = assess.answer_scores(steps, cites)
     return scores.select("answered", *[F.round(c, 4).alias(c) for c in scores.columns[1:]])
 

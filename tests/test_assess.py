@@ -169,3 +169,16 @@ def test_job_machine_follows_the_batch_form(spark, tmp_path):
     last = {r.job_id: (r.status, r.attempts) for r in rows}
     flat = spark.createDataFrame([tuple(r.values()) for b in batches for r in b], "job_id bigint, seq int, event string")
     assert last == {r.job_id: (r.status, r.attempts) for r in st.job_states(flat).collect()} == {1: ("queued", 1), 2: ("succeeded", 1)}
+
+
+def test_steps_are_dealt_by_answers_into_tasks_by_rows(spark, sf_dir, monkeypatch):
+    """A shuffle's bytes tell little of what its rows take in memory, so tasks are counted by rows; results stay."""
+    from lumenquarry.plans import catalogue_assess
+    from lumenquarry.sources import files
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    few = catalogue_assess.step_grounding(spark, sf_dir).collect()
+    monkeypatch.setattr(files, "TASK_ROWS", 500)
+    many = catalogue_assess.step_grounding(spark, sf_dir)
+    assert f", {-(-rows // 500)}), REPARTITION_BY_NUM" in many._jdf.queryExecution().toString()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many.collect()))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch, written
+
+#: Groups up to which the brackets go to every task. A join by group would sort each group's rows in one task.
+SENT = 10_000
 #: Of the sketch: its ranks are off by at most one in so many.
 ACCURACY = 2000
 
@@ -14,7 +18,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], *by: str, accura
 
     Two passes. The first makes a mergeable sketch of each group and takes a bracket of values around each wanted rank. The second counts the values below
     each bracket and, value by value, those inside, which are few of a group's rows; only these counts are sorted. No task holds a
-    group. A group without values has n 0 and a null q; a table without rows gives none, or one row with n 0 where there is no ``by``.
+    group: up to SENT groups, brackets are broadcast. The first pass runs at once. A group without values has n 0 and a null q; a table without rows gives none, or one row with n 0 where there is no ``by``.
     """
     ends = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-2.0 / accuracy, 2.0 / accuracy)]
     v = F.col(value).cast("double")
@@ -33,18 +37,21 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], *by: str, accura
         for i, q in enumerate(qs)
     ]
     stats = stats.select(*[F.col(c).alias(f"by_{c}") for c in by], "n", F.array(*bracket).alias("brackets"))
+    stats = written(stats, scratch(df.sparkSession, "brackets"))
     same = [F.col(c).eqNullSafe(F.col(f"by_{c}")) for c in by]
-    both = rows.where("v is not null").join(stats, same) if by else rows.where("v is not null").join(F.broadcast(stats))
+    sent = F.broadcast if not by or stats.count() <= SENT else lambda few: few
+    both = rows.where("v is not null").join(sent(stats), same or None)
     # Rows below a bracket count for it as they pass; rows inside stay, by value.
     below = both.groupBy(*[f"by_{c}" for c in by]).agg(*[F.count_if(F.col("v") < F.col("brackets")[i]["lo"]).alias(f"b{i}") for i in range(len(qs))])
     below = below.select(*[f"by_{c}" for c in by], F.array(*[f"b{i}" for i in range(len(qs))]).alias("below"))
     inside = both.where(F.exists("brackets", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"])))
-    inside = inside.groupBy(*[f"by_{c}" for c in by], "v").agg(F.count("*").alias("c"), F.first("brackets").alias("brackets"))
+    # Numbers alone are aggregated by hash; brackets come back by their group, as an aggregate that held them would sort its rows.
+    inside = inside.groupBy(*[F.col(f"by_{c}").alias(c) for c in by], "v").agg(F.count("*").alias("c")).join(sent(stats), same or None)
     inside = inside.select(*[f"by_{c}" for c in by], "v", "c", F.explode(F.filter("brackets", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))).alias("b"))
     order = Window.partitionBy(*[f"by_{c}" for c in by], "b.i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.sum("c").over(order))
     keys = [F.col(f"by_{c}").alias(f"in_{c}") for c in by]
-    joined = inside.select(*keys, "v", "b", "upto").join(below, [F.col(f"in_{c}").eqNullSafe(F.col(f"by_{c}")) for c in by]) if by else inside.join(F.broadcast(below))
+    joined = inside.select(*keys, "v", "b", "upto").join(sent(below), [F.col(f"in_{c}").eqNullSafe(F.col(f"by_{c}")) for c in by] or None)
     total = F.col("upto") + F.get("below", F.col("b.i"))
     at = joined.select(*[F.col(f"in_{c}") for c in by], "v", "b", total.alias("total")).groupBy(*[f"in_{c}" for c in by], "b.i").agg(
         F.min(F.when(F.col("total") > F.col("b.k"), F.col("v"))).alias("low"), F.min(F.when(F.col("total") > F.col("b.k") + 1, F.col("v"))).alias("high"), F.first("b.part").alias("part"),
@@ -52,5 +59,5 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], *by: str, accura
     value_at = F.col("low") + F.when(F.col("part") > 0, (F.col("high") - F.col("low")) * F.col("part")).otherwise(0.0)
     found = at.groupBy(*[f"in_{c}" for c in by]).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value_at.alias("x")))), lambda s: s["x"]).alias("q"))
     sizes = stats.select(*[f"by_{c}" for c in by], "n")
-    out = sizes.join(found, [F.col(f"by_{c}").eqNullSafe(F.col(f"in_{c}")) for c in by], "left") if by else sizes.join(F.broadcast(found), how="left")
+    out = sizes.join(sent(found), [F.col(f"by_{c}").eqNullSafe(F.col(f"in_{c}")) for c in by] or None, "left")
     return out.select(*[F.col(f"by_{c}").alias(c) for c in by], "n", "q")

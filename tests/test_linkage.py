@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenquarry.functions import quantiles
 from lumenquarry.functions.quantiles import exact_quantiles
 from lumenquarry.operators import clusters, drift, relational
 
@@ -90,6 +91,17 @@ def test_exact_quantiles(spark, n):
     assert exact_quantiles(df.where("false"), "v", [0.5]).head()["n"] == 0
 
 
+def test_quantiles_of_few_groups_sort_no_group(spark, monkeypatch):
+    """Neither a join nor an aggregate puts a group's rows into one task: only counted values are sorted. With more groups than are sent, values are the same."""
+    df = spark.range(50_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 50).cast("double").alias("v"))
+    found = exact_quantiles(df, "v", [0.5, 0.95], "g")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    got = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(quantiles, "SENT", 2)
+    assert got == sorted(map(tuple, exact_quantiles(df, "v", [0.5, 0.95], "g").collect())) and [r[1] for r in got] == [16667, 16667, 16666]
+
+
 def test_places_in_an_order(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(7)
     rows = {r["x"]: (r["i"], r["n"]) for r in relational.numbered(df, "x").collect()}

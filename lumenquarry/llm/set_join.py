@@ -34,8 +34,10 @@ WIDTH, PERCENT = 5, 80
 SLOTS, SLICES = 20, 64
 #: A set's parity bitmap has a power of two bits: as many as shingles or more, and this at least.
 BITMAP = 512
-#: Index lists of at most so many classes are listed as pairs; that is so many pairs for each class at most.
-SMALL = 32
+#: Index lists of at most so many classes are listed as pairs, in two numbers each.
+SMALL = 256
+#: Bytes of a shingle that index lists are made by, and entries of lists that one task brings together.
+TOKEN, ENTRIES = 5, 1_000_000
 #: Texts of an Arrow batch that are taken apart at a time, and words whose hashes a worker keeps.
 PART, WORDS = 250, 100_000
 #: A set derives its overlaps from those of another at this similarity in percent.
@@ -108,12 +110,28 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def prefix_length(n: Column, percent: int = PERCENT) -> Column:
+    return n - F.ceil(F.lit(percent) * n / 100) + 1
+
+
 def _listed(arrays: list[np.ndarray]) -> pa.Array:
     """int64 arrays as lists; an empty one is an empty list."""
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int64()))
 
 
+def tokens(shingles: np.ndarray) -> np.ndarray:
+    """What index lists know of shingles: their first TOKEN bytes, one row each. Different shingles with equal tokens make a list longer, nothing else."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN]
+
+
+def _numbers(packed: np.ndarray) -> np.ndarray:
+    """Tokens as numbers."""
+    wide = np.zeros((len(packed) // TOKEN, 8), np.uint8)
+    wide[:, 8 - TOKEN :] = packed.reshape(-1, TOKEN)
+    return wide.view(">u8").reshape(-1).astype(np.int64)
+
+
 def _signed(width: int, percent: int, ranks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(WORDS)
@@ -121,11 +139,11 @@ def _signed(width: int, percent: int, ranks: np.ndarray):
             for start in range(0, batch.num_rows, PART):
                 part = batch.slice(start, PART)
                 sets = [shingle_hashes(t, width, hashes) for t in part.column("text").to_pylist()]
-                firsts = [ordered(s, ranks)[: prefix(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+                firsts = [tokens(ordered(s, ranks)[: prefix(len(s), percent)]).tobytes() if len(s) else b"" for s in sets]
                 columns = {
                     "doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "cls": pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    "bits": _listed([bitmap(s) if len(s) else s.view(np.int64) for s in sets]), "firsts": _listed(firsts),
+                    "bits": _listed([bitmap(s) if len(s) else s.view(np.int64) for s in sets]), "firsts": pa.array(firsts, pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -133,9 +151,9 @@ def _signed(width: int, percent: int, ranks: np.ndarray):
 
 
 def signed(docs: DataFrame, ranks: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key, n_shingles, cls, bits, firsts of each row; firsts is the prefix in order, empty for a document without words."""
+    """doc_id, text_key, n_shingles, cls, bits, firsts of each row; firsts has the tokens of the prefix in order, none for a document without words."""
     rows = docs.select("doc_id", "text", F.xxhash64(text_or_empty("text")).alias("text_key"))
-    return rows.mapInArrow(_signed(width, percent, ranks), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, n_shingles bigint, cls binary, bits array<bigint>, firsts array<bigint>")
+    return rows.mapInArrow(_signed(width, percent, ranks), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, n_shingles bigint, cls binary, bits array<bigint>, firsts binary")
 
 
 # --- Index lists over all classes
@@ -157,28 +175,92 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as all of them need; how many tells their count."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def _widened(packed: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // count}").astype(np.int64)
+
+
+def _packed_entries(buckets: int):
+    """(bucket, tokens, base, cls, n, i): what the prefixes of a batch of classes put into the index lists of one bucket, in some ten bytes an entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_cls = batch.column("cls").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(all_cls >> 32)) + 1), batch.num_rows]  # classes of one part are told by small numbers
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(begin, end - begin)
+                firsts = part.column("firsts").to_pylist()
+                lengths = np.array([len(x) // TOKEN for x in firsts], np.int64)
+                token = _numbers(np.frombuffer(b"".join(firsts), np.uint8))
+                if not len(token):
+                    continue
+                cls = part.column("cls").to_numpy()
+                base = int(cls.min())
+                i = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                of, n = np.repeat(cls - base, lengths), np.repeat(part.column("n").to_numpy(), lengths)
+                bucket = token % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
+                rows = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([bucket[x[0]] for x in rows], pa.int32()), pa.array([tokens((token[x] << (64 - 8 * TOKEN)).view(np.uint64)).tobytes() for x in rows], pa.binary()),
+                        pa.array([base] * len(rows), pa.int64()), *[pa.array([_narrow(y[x]) for x in rows], pa.binary()) for y in (of, n, i)],
+                    ],
+                    ["bucket", "tokens", "base", "cls", "n", "i"],
+                )
+
+    return run
+
+
+def _brought_together(table: pa.Table) -> pa.Table:
+    """The entries of a bucket's lists that have several."""
+    token = _numbers(np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint8))
+    counts = [len(x) // TOKEN for x in table.column("tokens").to_pylist()]
+    cls, n, i = (np.concatenate([_widened(x, c) for x, c in zip(table.column(name).to_pylist(), counts, strict=True)]) for name in ("cls", "n", "i"))
+    cls = cls + np.repeat(table.column("base").to_numpy(), counts)
+    order = np.lexsort((cls, token))  # the first of a list is its lead
+    starts = np.flatnonzero(np.diff(token[order], prepend=-1))
+    sizes = np.diff(np.append(starts, len(order)))
+    order, size, lead = order[np.repeat(sizes > 1, sizes)], np.repeat(sizes, sizes), np.repeat(cls[order[starts]], sizes)
+    return pa.table({"token": token[order], "cls": cls[order], "n": n[order], "i": i[order].astype(np.int32), "size": size[size > 1], "lead": lead[size > 1]})
+
+
+def index_lists(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(token, cls, n, i, size, lead) of all lists of several classes, shuffled once: i is the token's place in the prefix, lead the list's least class."""
+    n = F.col("n")
+    entries = classes.agg(F.coalesce(F.sum(prefix_length(n, percent)), F.lit(0))).head()[0]
+    packed = classes.select("cls", "n", "firsts").mapInArrow(_packed_entries(max(1, -(-entries // ENTRIES))), "bucket int, tokens binary, base bigint, cls binary, n binary, i binary")
+    return packed.groupBy("bucket").applyInArrow(_brought_together, "token bigint, cls bigint, n bigint, i int, size bigint, lead bigint")
+
+
 def coarse_groups(classes: DataFrame, work: Workspace, percent: int = PERCENT) -> DataFrame:
     """(cls, component): two classes that some index list doesn't rule out as a pair have one component. Classes alone are left out."""
-    entries = classes.select("cls", "n", F.posexplode("firsts").alias("i", "token"))
-    lists = work.keep(entries.groupBy("token").agg(F.count("*").alias("size"), F.min("cls").alias("lead")).where("size > 1"), "lists")
     # Early: a set of this size and a larger one can have their first common shingle here.
     early = F.col("i") <= F.col("n") - F.ceil(needed(F.col("n"), F.col("n"), percent))
-    members = work.keep(entries.join(lists, "token").withColumns({"early": early, "band": _band(F.col("n"), percent)}), "members")
+    members = work.keep(index_lists(classes, percent).withColumns({"early": early, "band": _band(F.col("n"), percent)}), "members")
     light = classes.select("cls", "n", "bits")
     lead = light.select(F.col("cls").alias("lead"), F.col("n").alias("m"), F.col("bits").alias("other"))
     stars = members.where("cls <> lead").select("cls", "lead").distinct().join(light, "cls").join(lead, "lead")
     stars = stars.where(_bits_allow(F.col("n"), F.col("bits"), F.col("m"), F.col("other"), percent)).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
     stars = work.keep(connected_components(stars, work, "stars").withColumnRenamed("node", "cls"), "stars")
     rows = work.keep(members.drop("lead").join(stars, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "placed")
+    work.drop("members")
     apart = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     apart = work.keep(rows.join(work.keep(apart, "apart"), "token", "left_semi"), "spread")
-    # Short lists: pairs, of which positions, sizes and bitmaps leave few.
-    few = work.keep(apart.where(F.col("size") <= SMALL).join(light.drop("n"), "cls").select("token", "cls", "component", "n", "i", "bits"), "few")
+    # Short lists: pairs, of which positions and sizes leave some, and bitmaps few. A bitmap goes to the distinct pairs alone, not to each entry.
+    few = apart.where(F.col("size") <= SMALL).select("token", "cls", "component", "n", "i")
     a, b = few.alias("a"), few.alias("b")
     both = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component"))
+    sized = F.lit(100) * F.least("a.n", "b.n") >= F.lit(percent) * F.greatest("a.n", "b.n")
     reach = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= needed(F.col("a.n"), F.col("b.n"), percent)
-    pairs = a.join(b, both & reach & _bits_allow(F.col("a.n"), F.col("a.bits"), F.col("b.n"), F.col("b.bits"), percent))
-    pairs = pairs.select(F.col("b.component").alias("u"), F.col("a.component").alias("v")).distinct()
+    pairs = a.join(b, both & sized & reach).select(F.col("a.cls").alias("cls"), F.col("b.cls").alias("lead"), F.col("a.component").alias("v"), F.col("b.component").alias("u"))
+    pairs = work.keep(pairs.distinct(), "pairs").join(light, "cls").join(lead, "lead")
+    pairs = pairs.where(_bits_allow(F.col("n"), F.col("bits"), F.col("m"), F.col("other"), percent)).select("u", "v").distinct()
     # Long lists: blocks by band. The smaller set of a pair is early, in the same band as the larger one or in the next lower; late ones alone
     # are skipped. The least component of a band's early entries stands for the block.
     long = apart.where(F.col("size") > SMALL)

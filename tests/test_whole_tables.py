@@ -24,7 +24,7 @@ def by_sql(name, sf_dir):
     return {r[0] for r in c.execute(f"SELECT DISTINCT query FROM ({entry.oracle_sql()[name]})").fetchall()}
 
 
-@pytest.mark.parametrize("name", ["idf_pruned_terms"])
+@pytest.mark.parametrize("name", ["idf_pruned_terms", "strategy_comparison"])
 def test_every_item_is_a_query(name, spark, sf_dir, items):
     got = {r["query"] for r in entry.queries()[name](spark, sf_dir).select("query").distinct().collect()}
     assert got == items == by_sql(name, sf_dir)

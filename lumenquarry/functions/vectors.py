@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the corpus and queries in one matrix; bytes of query vectors that are broadcast; tasks that share a group of queries.
+from ..sources.files import removed, scratch, written
+
+#: Rows of the corpus and queries in one matrix; bytes of query vectors that are broadcast; tasks that share a group of queries at most.
 CHUNK, BLOCK, BROADCAST, SALTS = 4096, 2048, 64 * 2**20, 64
 #: Queries and rows that are multiplied at a time. Scores are compared after rounding, so that equal vectors tie wherever they lie.
 TILE, DIGITS = 512, 12
@@ -118,19 +120,28 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     """(query_id, <key>, score, rank): the k rows with the largest cosine for each query; ties by the smaller key.
 
     Both sides are packed into matrices of bounded size, and a task multiplies chunks of the corpus with blocks of queries and keeps k rows for each query;
-    only these are shuffled. Queries whose counted size is under BROADCAST bytes are broadcast; more are dealt to groups of that size, and meet
-    chunks in an equi-join on (group, salt). Query ids are unique.
+    only these are shuffled. Queries whose counted size is under BROADCAST bytes are broadcast. More are dealt to groups of that size, which meet the corpus
+    one after another: both sides are written once, and nothing is repeated on disk, however many queries there are. Query ids are unique.
     """
     rows, components = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).head()
     blocks = packed(queries.repartition(max(1, -(-rows // BLOCK))), key, vector, BLOCK).select(F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
     chunks = packed(corpus, key, vector, CHUNK)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "c")
+
+    def met(some: DataFrame, others: DataFrame) -> DataFrame:
+        pairs = some.join(F.broadcast(others)).select("ids", "matrix", "qids", "qmatrix")  # each chunk with a bounded number of blocks
+        found = pairs.mapInArrow(_best(k, exclude_self), "query_id bigint, c bigint, score double")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("c", key)
+
     groups = -(-components * 8 // BROADCAST)
     if groups <= 1:
-        pairs = chunks.join(F.broadcast(blocks))  # each chunk with a bounded number of blocks
-    else:
-        salts = SALTS
-        dealt = blocks.withColumn("g", F.pmod(F.xxhash64("qids"), F.lit(groups))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = chunks.withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))).join(dealt, ["g", "s"])
-    found = pairs.select("ids", "matrix", "qids", "qmatrix").mapInArrow(_best(k, exclude_self), "query_id bigint, c bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "c")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("c", key)
+        return met(chunks, blocks)
+    spark = corpus.sparkSession
+    path = scratch(spark, "top-k")
+    chunks = written(chunks.repartition(min(SALTS, 2 * spark.sparkContext.defaultParallelism)), f"{path}/corpus")
+    blocks = written(blocks.withColumn("g", F.pmod(F.xxhash64("qids"), F.lit(groups))), f"{path}/queries", "g")
+    for (g,) in blocks.select("g").distinct().orderBy("g").collect():  # one for each group
+        one = met(chunks, blocks.where(F.col("g") == g).drop("g"))
+        written(one, f"{path}/found/g={g}")
+    removed(spark, f"{path}/corpus", f"{path}/queries")
+    return spark.read.schema(one.schema).parquet(f"{path}/found/*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..functions.vectors import cosine, mean_vector
+from ..sources.files import few, removed, scratch, written
 from .clusters import distinct_keywords
 
 
@@ -28,16 +29,18 @@ def proposed(
     Examples are the members nearest to the centroid. Clusters of fewer than ``least`` rows are left out. Null vectors, texts and labels don't count.
     Keywords are heavier in the cluster than in the others and in ``background``; ties go by term and by key.
     """
-    rows, own = members.where("cluster is not null"), Window.partitionBy("cluster")
-    sized = rows.withColumn("size", F.count("*").over(own)).where(F.col("size") >= least)
-    centroid = mean_vector(sized.where("vector is not null"), ["cluster"], "vector", "centroid")
-    near = sized.join(centroid, "cluster", "left").withColumn("near", cosine(F.col("vector"), F.col("centroid")))
-    order = own.orderBy(F.desc_nulls_last(F.round("near", 9)), "key")
-    placed = near.withColumn("place", F.row_number().over(order))
-    facts = placed.groupBy("cluster").agg(
-        F.count("*").alias("size"), F.avg("near").alias("cohesion"), F.avg("top").alias("top_similarity"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= examples, F.struct("place", "text")))), lambda s: s["text"]).alias("examples"),
-    )
+    spark, own = members.sparkSession, Window.partitionBy("cluster")
+    path = scratch(spark, "proposals")
+    # Written once, whatever members cost; texts are then read for keywords and for examples alone, and never pass by cluster.
+    rows = written(members.where("cluster is not null").withColumn("row", F.monotonically_increasing_id()), f"{path}/members")
+    sizes = written(rows.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least), f"{path}/sizes")
+    sized = rows.join(few(sizes), "cluster")
+    centroid = written(mean_vector(sized.where("vector is not null"), ["cluster"], "vector", "centroid"), f"{path}/centroids")
+    near = written(sized.join(few(centroid, 20_000), "cluster", "left").select("cluster", "key", "row", "top", cosine(F.col("vector"), F.col("centroid")).alias("near")), f"{path}/near")
+    first = near.withColumn("place", F.row_number().over(own.orderBy(F.desc_nulls_last(F.round("near", 9)), "key"))).where(F.col("place") <= examples)
+    first = written(first.select("cluster", "row", "place"), f"{path}/first")
+    shown = rows.select("row", "text").join(few(first), "row").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]).alias("examples"))
+    facts = near.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("near").alias("cohesion"), F.avg("top").alias("top_similarity")).join(shown, "cluster")
     votes = sized.where("nearest is not null").groupBy("cluster", "nearest").agg(F.count("*").alias("n"))
     winner = votes.groupBy("cluster").agg(F.min_by("nearest", F.struct(-F.col("n"), F.col("nearest"))).alias("nearest"), F.max("n").alias("n"))
     words = distinct_keywords(sized, "cluster", "text", keywords, stop=stop, background=background).withColumnRenamed("terms", "keywords")
@@ -47,7 +50,10 @@ def proposed(
     out = out.join(existing.select(F.col("label_id").alias("nearest"), "team"), "nearest", "left")
     label = F.when(F.col("extends"), F.col("nearest")).otherwise(free_names(slug(F.array_join(F.slice("keywords", 1, 2), "_"), default="emerging_issue")))
     out = _with_taken(out, existing).withColumn("label_id", label)
-    return out.select("cluster", "size", F.when(F.col("extends"), "extend_existing").otherwise("new_class").alias("recommendation"), "label_id", "keywords", "examples", "nearest", "team", "agreement", "top_similarity", "cohesion")
+    out = out.select("cluster", "size", F.when(F.col("extends"), "extend_existing").otherwise("new_class").alias("recommendation"), "label_id", "keywords", "examples", "nearest", "team", "agreement", "top_similarity", "cohesion")
+    out = written(out, f"{path}/proposed")
+    removed(spark, *[f"{path}/{name}" for name in ("members", "sizes", "centroids", "near", "first")])
+    return out
 
 
 def _with_taken(rows: DataFrame, existing: DataFrame) -> DataFrame:
